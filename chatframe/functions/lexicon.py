@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatframe.functions.lists import WordLists
-from chatframe.functions.text import SPACES, lookup, round_half_even
+from chatframe.functions.text import SPACES, is_in, lookup, round_half_even
 from chatframe.schema import (
     HIGH_CONFIDENCE, LABEL_THRESHOLD, MEDIUM_CONFIDENCE, NEGATIVE, NEUTRAL, POSITIVE,
     STRONG_MOOD,
@@ -63,7 +63,7 @@ def mixed_case(tokens: Column) -> Column:
 
 def positions_in(words: Column, table: dict) -> Column:
     """Zero-based positions of the words that are keys of ``table``."""
-    marked = F.transform(words, lambda w, i: F.when(w.isin(*table), i))
+    marked = F.transform(words, lambda w, i: F.when(is_in(w, table), i))
     return F.filter(marked, lambda i: i.isNotNull())
 
 
@@ -88,10 +88,10 @@ def valence_at(i: Column, tokens: Column, low: Column, mixed: Column, lists: Wor
         factor = (
             F.when((prev == "never") & (d == 2) & so_near, NEVER_SO[2])
             .when((prev == "never") & (d == 3) & (so_near | so_far), NEVER_SO[3])
-            .when(prev.isin(*lists.negations) | prev.contains("n't"), NEGATE)
+            .when(is_in(prev, lists.negations) | prev.contains("n't"), NEGATE)
             .otherwise(1.0)
         )
-        return F.when(prev.isNull() | prev.isin(*lexicon), v).otherwise(
+        return F.when(prev.isNull() | is_in(prev, lexicon), v).otherwise(
             (v + signed * weight) * factor
         )
 
@@ -188,19 +188,19 @@ def subjective_terms(words: Column, lists: WordLists) -> Column:
         entry = lookup(F.get(words, i), table)
         strength = F.coalesce(lookup(before(i, 1), intensifiers), F.lit(1.0))
         negated = before(i, 1).isin(*SUBJECTIVITY_NEGATIONS) | (
-            before(i, 1).isin(*intensifiers) & before(i, 2).isin(*SUBJECTIVITY_NEGATIONS)
+            is_in(before(i, 1), intensifiers) & before(i, 2).isin(*SUBJECTIVITY_NEGATIONS)
         )
         return F.struct(
             (
-                clamp(entry["col1"] * strength)
+                clamp(entry[0] * strength)
                 * F.when(negated, SUBJECTIVITY_NEGATE).otherwise(1.0)
             ).alias("polarity"),
-            clamp(entry["col2"] * strength).alias("subjectivity"),
+            clamp(entry[1] * strength).alias("subjectivity"),
         )
 
     def counts(i: Column) -> Column:
-        merged = F.get(words, i).isin(*intensifiers) & F.get(words, i + F.lit(1)).isin(*table)
-        return ~F.coalesce(merged, F.lit(False))
+        merged = is_in(F.get(words, i), intensifiers) & is_in(F.get(words, i + F.lit(1)), table)
+        return ~merged
 
     return F.transform(F.filter(positions_in(words, table), counts), term)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+import zlib
+from collections.abc import Iterable, Mapping
 from functools import reduce
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,29 +100,37 @@ def letter_words(message: Column) -> Column:
 def lookup(key: Column, table: Mapping[str, object]) -> Column:
     """``table[key]`` or NULL.
 
-    A hash-set test answers for absent words; present ones go through a two-level
-    map (first two characters, then the word), as a map search is linear.
+    A map search is linear in Spark, so the table becomes an array of small maps,
+    addressed by a checksum of the word: the cost per word does not depend on the
+    length of the list.  The array is one constant in the plan.
     """
     if not table:
         return F.lit(None)
+    size = 2 * len(table)
+    buckets: list[dict[str, object]] = [{} for _ in range(size)]
+    for word, value in table.items():
+        buckets[zlib.crc32(word.encode()) % size][word] = value
+    value_type = _sql_type(next(iter(table.values())))
+    constant = F.from_json(
+        F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{value_type}>>"
+    )
+    return F.element_at(F.get(constant, (F.crc32(key) % size).cast("int")), key)
+
 
-    def value(v: object) -> Column:
-        return F.struct(*map(F.lit, v)) if isinstance(v, tuple) else F.lit(v)
+def _sql_type(value: object) -> str:
+    if isinstance(value, tuple):
+        return "array<double>"
+    return {bool: "boolean", float: "double", str: "string"}[type(value)]
 
-    def literal_map(items: list[tuple[str, Column]]) -> Column:
-        return F.create_map(*chain.from_iterable((F.lit(k), v) for k, v in items))
 
-    groups: dict[str, list[tuple[str, Column]]] = {}
-    for k, v in table.items():
-        groups.setdefault(k[:2], []).append((k, value(v)))
-    two_level = literal_map([(p, literal_map(items)) for p, items in groups.items()])
-    found = F.element_at(F.element_at(two_level, F.substring(key, 1, 2)), key)
-    return F.when(key.isin(*table), found)
+def is_in(key: Column, words: Iterable[str]) -> Column:
+    """Membership in a word list; NULL for a NULL key never counts as a member."""
+    return lookup(key, dict.fromkeys(words, True)).isNotNull()
 
 
 def clean_words(words: Column, lists: WordLists) -> Column:
     """Stopwords out, verb lemmas in, words of up to two letters out; order kept."""
-    kept = F.filter(words, lambda w: ~w.isin(*lists.stopwords))
+    kept = F.filter(words, lambda w: ~is_in(w, lists.stopwords))
     base = F.transform(kept, lambda w: F.coalesce(lookup(w, lists.lemmas), w))
     return F.filter(base, lambda w: F.char_length(w) > 2)
 

@@ -1,4 +1,9 @@
-"""Words, phrases and emoji: frequencies, top lists, keywords per sender."""
+"""Words, phrases and emoji: frequencies, top lists, keywords per sender.
+
+Messages without text need no filter here: their word list is empty and explodes to
+nothing.  A filter on ``cleaned_message`` would be pushed below the cleaning and make
+every message be cleaned twice.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatframe.functions.text import ngrams_of, round_half_even, words_of
-from chatframe.operators.enrich import has_cleaned_text
 
 
 def word_frequency(enriched: DataFrame) -> DataFrame:
     """``(chat_id, word, count)`` over all cleaned messages."""
     return (
-        enriched.filter(has_cleaned_text())
-        .select("chat_id", F.explode(words_of(F.col("cleaned_message"))).alias("word"))
+        enriched.select("chat_id", F.explode(words_of(F.col("cleaned_message"))).alias("word"))
         .groupBy("chat_id", "word")
         .agg(F.count("*").alias("count"))
     )
@@ -30,11 +33,10 @@ def ngram_frequency(enriched: DataFrame, n: int) -> DataFrame:
     """``(chat_id, phrase, count)`` of ``n`` neighbouring words of one message."""
     if n < 1:
         raise ValueError("n must be at least 1")
+    words = words_of(F.col("cleaned_message"))
     return (
-        enriched.filter(has_cleaned_text())
-        .select(
-            "chat_id", F.explode(ngrams_of(words_of(F.col("cleaned_message")), n)).alias("phrase")
-        )
+        enriched.select("chat_id", words.alias("words"))
+        .select("chat_id", F.explode(ngrams_of(F.col("words"), n)).alias("phrase"))
         .groupBy("chat_id", "phrase")
         .agg(F.count("*").alias("count"))
     )
@@ -42,8 +44,7 @@ def ngram_frequency(enriched: DataFrame, n: int) -> DataFrame:
 
 def emoji_frequency(enriched: DataFrame) -> DataFrame:
     return (
-        enriched.filter(F.col("emoji_count") > 0)
-        .select("chat_id", F.explode("emoji_list").alias("emoji"))
+        enriched.select("chat_id", F.explode("emoji_list").alias("emoji"))
         .groupBy("chat_id", "emoji")
         .agg(F.count("*").alias("count"))
     )
@@ -92,14 +93,14 @@ def sender_keywords(enriched: DataFrame, n: int = 10, vocabulary: int = 500) ->
     unit length per sender.  Chats with fewer than two writing senders have none.
     """
     counts = (
-        enriched.filter(has_cleaned_text())
-        .select("chat_id", "sender", F.explode(words_of(F.col("cleaned_message"))).alias("term"))
+        enriched.select(
+            "chat_id", "sender", F.explode(words_of(F.col("cleaned_message"))).alias("term")
+        )
         .groupBy("chat_id", "sender", "term")
         .agg(F.count("*").alias("count"))
     )
     writers = (
-        enriched.filter(has_cleaned_text())
-        .groupBy("chat_id", "sender")
+        counts.groupBy("chat_id", "sender")
         .agg(F.count("*").alias("n"))
         .groupBy("chat_id")
         .agg(F.count("*").alias("documents"))

@@ -1,0 +1,18 @@
+"""How input rows are laid out over tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_small(df: DataFrame, *key: str) -> DataFrame:
+    """Give every core work when the input has fewer splits than there are cores.
+
+    Text work is bound by the processor, and a small file is one split.  Large inputs
+    have far more splits than cores and stay as they are, without a shuffle.  ``key``
+    must be (nearly) unique, so that the rows spread evenly.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *key)

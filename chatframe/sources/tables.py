@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chatframe.sources.layout import spread_small
+
 CHAT_MESSAGES = """
 SELECT doc_id AS msg_seq, lang AS chat_id, source AS sender,
        timestampadd(MINUTE, CAST((doc_id - doc_id % 4) * 211
@@ -52,4 +54,5 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = CHAT_MESSAGES
     for name in TABLES:
         query = query.replace(f"FROM {name}", f"FROM parquet.`{sf_dir}/{name}.parquet`")
-    return spark.sql(query).select("chat_id", "msg_seq", "datetime", "sender", "message")
+    rows = spark.sql(query).select("chat_id", "msg_seq", "datetime", "sender", "message")
+    return spread_small(rows, "chat_id", "msg_seq")
