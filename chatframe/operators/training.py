@@ -356,29 +356,16 @@ def regression_predictions(model, test: DataFrame, labels: list[str]) -> DataFra
 # --- the whole training ----------------------------------------------------------------
 
 
-def _model_table(spark: SparkSession, vocab: DataFrame, weights: DataFrame) -> list:
-    """Terms of run 0 with their weights: at most ``MAX_FEATURES`` rows."""
-    return (
+def model_of(vocab: DataFrame, weights: DataFrame, priors: DataFrame) -> SentimentModel:
+    """The naive Bayes model of run 0; at most ``MAX_FEATURES`` terms reach the driver."""
+    bias = sorted((r["label"], r["bias"]) for r in priors.filter("run = 0").collect())
+    rows = (
         vocab.filter("run = 0")
         .join(weights.filter("run = 0"), ["run", "term"])
         .groupBy("term", "idf")
         .agg(F.array_sort(F.collect_list(F.struct("label", "weight"))).alias("w"))
         .collect()
     )
-
-
-def fit_naive_bayes(sample: DataFrame) -> SentimentModel:
-    """The naive Bayes model of the training part (run 0)."""
-    runs = runs_of(sample).filter("run = 0")
-    counts = term_counts(sample)
-    vocab = vocabulary(counts, runs)
-    weights = naive_bayes_weights(features(counts, runs, vocab), runs, vocab)
-    return _as_model(sample.sparkSession, vocab, weights, class_priors(runs))
-
-
-def _as_model(spark, vocab, weights, priors) -> SentimentModel:
-    bias = sorted((r["label"], r["bias"]) for r in priors.filter("run = 0").collect())
-    rows = _model_table(spark, vocab, weights)
     return SentimentModel(
         NAIVE_BAYES, [x for x, _ in bias], [b for _, b in bias],
         {r["term"]: (r["idf"], *[w["weight"] for w in r["w"]]) for r in rows},
@@ -433,7 +420,7 @@ def train_classifier(rows: DataFrame) -> ClassifierResult:
     best = max(candidates, key=lambda name: candidates[name]["f1_score"])
     sizes = {r[0]: r[1] for r in runs.filter("run = 0").groupBy("part").count().collect()}
     if best == NAIVE_BAYES:
-        model = _as_model(spark, vocab, weights, class_priors(runs))
+        model = model_of(vocab, weights, class_priors(runs))
     else:
         model = _regression_model(vocab, regressions[0], labels)
     won = candidates[best]

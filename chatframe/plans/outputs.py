@@ -19,6 +19,14 @@ def _with_peak(counts: DataFrame, place: str) -> DataFrame:
     return counts.withColumn("is_peak", F.row_number().over(chat) == 1)
 
 
+def hourly_feed(messages: DataFrame) -> DataFrame:
+    return _with_peak(activity.hourly_activity(messages), "hour")
+
+
+def weekday_feed(messages: DataFrame) -> DataFrame:
+    return _with_peak(activity.weekday_activity(messages), "position")
+
+
 def trend_feed(scored: DataFrame) -> DataFrame:
     """Weekly trend of chats with at least two points, with the sign of each."""
     points = mood.sentiment_over_time(scored, "W")
@@ -45,8 +53,8 @@ def chart_feeds(scored: DataFrame) -> dict[str, DataFrame]:
     return {
         "word_cloud": terms.word_weights(scored),
         "top_words": terms.top_words(scored),
-        "hourly_activity": _with_peak(activity.hourly_activity(scored), "hour"),
-        "weekday_activity": _with_peak(activity.weekday_activity(scored), "position"),
+        "hourly_activity": hourly_feed(scored),
+        "weekday_activity": weekday_feed(scored),
         "monthly_activity": activity.monthly_activity(scored),
         "participation": stats.participation(scored),
         "top_bigrams": terms.top_bigrams(scored),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.sql_parts import label, rnd, statement
+from checks.sql_parts import EMOJI, URL, WS, label, rnd, statement
 
 
 def top(table: str, term: str, n: int) -> str:
@@ -248,3 +248,402 @@ FROM total t""",
     "label_distribution": distribution("text_scored"),
     "label_distribution_all": distribution("scored"),
 }
+
+
+# --- parsing ---------------------------------------------------------------------------
+
+ORACLES["parsed_messages"] = statement(
+    "SELECT * REPLACE (row_number() OVER (PARTITION BY chat_id ORDER BY datetime, msg_seq) AS msg_seq)"
+    " FROM messages",
+    "messages",
+)
+ORACLES["parse_report"] = statement(
+    """
+SELECT chat_id, CASE chat_id WHEN 'de' THEN 'android 12-hour' WHEN 'team' THEN 'ios 12-hour'
+                             ELSE 'android 24-hour' END AS layout,
+       count(*) AS message_blocks, 0 AS bad_timestamps, 0 AS system_notices, count(*) AS parsed_messages,
+       count(DISTINCT sender) AS senders, min(date) AS date_start, max(date) AS date_end, 'ok' AS status
+FROM messages GROUP BY chat_id""",
+    "messages",
+)
+
+# --- training --------------------------------------------------------------------------
+
+GRAMS = """
+SELECT chat_id, msg_seq, term, count(*) AS n
+FROM (SELECT t.chat_id, t.msg_seq, t.word AS term FROM terms t SEMI JOIN {rows} USING (chat_id, msg_seq)
+      UNION ALL
+      SELECT t.chat_id, t.msg_seq,
+             t.word || ' ' || lead(t.word) OVER (PARTITION BY t.chat_id, t.msg_seq ORDER BY t.pos)
+      FROM terms t SEMI JOIN {rows} USING (chat_id, msg_seq))
+WHERE term IS NOT NULL GROUP BY ALL"""
+
+
+def hashed(purpose: str) -> str:
+    return f"md5('{purpose}|42|' || chat_id || '|' || msg_seq)"
+
+
+TRAINING: dict[str, tuple[str, tuple[str, ...]]] = {
+    "base": ("SELECT * FROM scored WHERE is_text AND cleaned_message <> ''", ("scored",)),
+    "tier": (
+        """
+SELECT CASE WHEN count(*) FILTER (sentiment_confidence = 'High') >= 30
+             AND count(DISTINCT sentiment_label) FILTER (sentiment_confidence = 'High') >= 2 THEN 1
+            WHEN count(*) FILTER (sentiment_confidence <> 'Low') >= 30
+             AND count(DISTINCT sentiment_label) FILTER (sentiment_confidence <> 'Low') >= 2 THEN 2
+            ELSE 3 END AS t FROM base""",
+        ("base",),
+    ),
+    "chosen": (
+        """
+SELECT base.* FROM base, tier
+WHERE t = 3 OR sentiment_confidence = 'High' OR (t = 2 AND sentiment_confidence = 'Medium')""",
+        ("base", "tier"),
+    ),
+    "sample": (
+        f"""
+SELECT chat_id, msg_seq, cleaned_message, sentiment_label
+FROM (SELECT *, row_number() OVER (PARTITION BY sentiment_label ORDER BY {hashed('sample')}) AS r FROM chosen)
+WHERE r <= (SELECT least(300, min(n)) FROM (SELECT count(*) AS n FROM chosen GROUP BY sentiment_label))""",
+        ("chosen",),
+    ),
+    "quota": (
+        """
+SELECT sentiment_label, floor(e) + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, sentiment_label)
+                                             <= t - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS q
+FROM (SELECT sentiment_label, ceil(sum(c) OVER () * 0.2::DOUBLE) AS t,
+             ceil(sum(c) OVER () * 0.2::DOUBLE) * c / sum(c) OVER () AS e
+      FROM (SELECT sentiment_label, count(*) AS c FROM sample GROUP BY ALL))""",
+        ("sample",),
+    ),
+    "split": (
+        f"""
+SELECT chat_id, msg_seq, sentiment_label, CASE WHEN r <= q THEN 'test' ELSE 'train' END AS part
+FROM (SELECT *, row_number() OVER (PARTITION BY sentiment_label ORDER BY {hashed('split')}) AS r FROM sample)
+JOIN quota USING (sentiment_label)""",
+        ("sample", "quota"),
+    ),
+    "folds": (
+        f"""
+SELECT chat_id, msg_seq, sentiment_label,
+       (ntile(5) OVER (PARTITION BY sentiment_label ORDER BY {hashed('fold')}) - 1)::INT AS fold
+FROM sample""",
+        ("sample",),
+    ),
+    "runs": (
+        """
+SELECT 0 AS run, part, chat_id, msg_seq, sentiment_label FROM split
+UNION ALL
+SELECT r::INT, CASE WHEN fold = r - 1 THEN 'test' ELSE 'train' END, chat_id, msg_seq, sentiment_label
+FROM folds, range(1, 6) t(r)""",
+        ("split", "folds"),
+    ),
+    "counts": (GRAMS.format(rows="sample"), ("terms", "sample")),
+    "vocab": (
+        """
+SELECT run, term, position, ln((1 + d.n) / (1 + df)) + 1 AS idf
+FROM (SELECT run, term, count(*) AS df,
+             row_number() OVER (PARTITION BY run ORDER BY sum(n) DESC, term) AS position
+      FROM counts JOIN runs USING (chat_id, msg_seq) WHERE part = 'train'
+      GROUP BY run, term HAVING count(*) >= 2)
+JOIN (SELECT run, count(*) AS n FROM runs WHERE part = 'train' GROUP BY run) d USING (run)
+WHERE position <= 5000""",
+        ("counts", "runs"),
+    ),
+    "weighted": (
+        """
+SELECT run, part, chat_id, msg_seq, sentiment_label, term,
+       w / sqrt(sum(w * w) OVER (PARTITION BY run, chat_id, msg_seq)) AS weight
+FROM (SELECT *, (1 + ln(n)) * idf AS w FROM counts JOIN runs USING (chat_id, msg_seq)
+      JOIN vocab USING (run, term))""",
+        ("counts", "runs", "vocab"),
+    ),
+    "priors": (
+        """
+SELECT run, sentiment_label AS label, ln(count(*) / sum(count(*)) OVER (PARTITION BY run)) AS bias
+FROM runs WHERE part = 'train' GROUP BY run, sentiment_label""",
+        ("runs",),
+    ),
+    "bayes": (
+        """
+SELECT run, label, term,
+       ln((s + 0.1::DOUBLE) / (sum(s) OVER c + 0.1::DOUBLE * count(*) OVER c)) AS weight
+FROM (SELECT v.run, p.label, v.term, coalesce(x.s, 0.0::DOUBLE) AS s
+      FROM vocab v JOIN priors p USING (run)
+      LEFT JOIN (SELECT run, sentiment_label, term, sum(weight) AS s FROM weighted
+                 WHERE part = 'train' GROUP BY ALL) x
+        ON x.run = v.run AND x.sentiment_label = p.label AND x.term = v.term)
+WINDOW c AS (PARTITION BY run, label)""",
+        ("vocab", "priors", "weighted"),
+    ),
+    "guesses": (
+        """
+SELECT run, chat_id, msg_seq, sentiment_label AS label, p.label AS prediction
+FROM runs JOIN priors p USING (run)
+LEFT JOIN (SELECT w.run, chat_id, msg_seq, b.label, sum(w.weight * b.weight) AS e
+           FROM weighted w JOIN bayes b ON w.run = b.run AND w.term = b.term WHERE part = 'test' GROUP BY ALL) x
+  USING (run, chat_id, msg_seq, label)
+WHERE part = 'test'
+QUALIFY row_number() OVER (PARTITION BY run, chat_id, msg_seq
+                           ORDER BY bias + coalesce(e, 0) DESC, p.label) = 1""",
+        ("runs", "priors", "weighted", "bayes"),
+    ),
+    "confusion": (
+        "SELECT run, label, prediction, count(*) AS n FROM guesses GROUP BY ALL", ("guesses",)
+    ),
+    "report": (
+        """
+SELECT a.run, a.label, a.support, a.hits, coalesce(a.hits / p.predicted, 0.0) AS precision,
+       a.hits / a.support AS recall,
+       CASE WHEN a.hits > 0 THEN 2 * a.hits / (a.support + p.predicted) ELSE 0.0 END::DOUBLE AS f1
+FROM (SELECT run, label, count(*) AS support, count(*) FILTER (label = prediction) AS hits
+      FROM guesses GROUP BY run, label) a
+LEFT JOIN (SELECT run, prediction AS label, count(*) AS predicted FROM guesses GROUP BY run, prediction) p
+  USING (run, label)""",
+        ("guesses",),
+    ),
+    "run_scores": (
+        """
+SELECT run, sum(hits) / sum(support) AS accuracy, sum(f1 * support) / sum(support) AS weighted_f1
+FROM report GROUP BY run""",
+        ("report",),
+    ),
+    "known": (
+        f"""
+SELECT chat_id, msg_seq, label, e / sqrt(sq) AS evidence
+FROM (SELECT chat_id, msg_seq, label, sum((1 + ln(n)) * idf * b.weight) AS e,
+             sum(((1 + ln(n)) * idf) ^ 2) AS sq
+      FROM ({GRAMS.format(rows='messages')}) g
+      JOIN vocab v ON v.run = 0 AND v.term = g.term JOIN bayes b ON b.run = 0 AND b.term = g.term
+      GROUP BY ALL)""",
+        ("terms", "messages", "vocab", "bayes"),
+    ),
+    "likelihood": (
+        """
+SELECT m.chat_id, m.msg_seq, p.label, p.bias + coalesce(k.evidence, 0) AS score
+FROM messages m CROSS JOIN (SELECT * FROM priors WHERE run = 0) p
+LEFT JOIN known k ON k.chat_id = m.chat_id AND k.msg_seq = m.msg_seq AND k.label = p.label""",
+        ("messages", "priors", "known"),
+    ),
+    "best": (
+        """
+SELECT chat_id, msg_seq, label FROM likelihood
+QUALIFY row_number() OVER (PARTITION BY chat_id, msg_seq ORDER BY score DESC, label) = 1""",
+        ("likelihood",),
+    ),
+    "predicted": (
+        """
+SELECT s.*, CASE WHEN is_text AND cleaned_message <> '' THEN b.label ELSE 'Neutral' END AS predicted_sentiment
+FROM scored s JOIN best b USING (chat_id, msg_seq)""",
+        ("scored", "best"),
+    ),
+}
+
+
+def trained(final: str, *needs: str) -> str:
+    return statement(final, *needs, extra=TRAINING)
+
+
+ORACLES |= {
+    "run_modes": statement(
+        """
+SELECT chat_id, count(*) FILTER (NOT is_media AND NOT is_deleted) AS text_messages,
+       CASE WHEN count(*) FILTER (NOT is_media AND NOT is_deleted) < 50 THEN 'NO_ML' ELSE 'FULL' END AS mode
+FROM messages GROUP BY chat_id""",
+        "messages",
+    ),
+    "training_sample": trained("SELECT * FROM sample", "sample"),
+    "train_test_split": trained("SELECT * FROM split", "split"),
+    "cross_validation_folds": trained("SELECT * FROM folds", "folds"),
+    "model_vocabulary": trained(f"SELECT * REPLACE ({rnd('idf', 6)} AS idf) FROM vocab", "vocab"),
+    "tfidf_features": trained(
+        f"SELECT * EXCLUDE (run) REPLACE ({rnd('weight', 6)} AS weight) FROM weighted WHERE run = 0", "weighted"
+    ),
+    "naive_bayes_weights": trained(
+        f"SELECT * REPLACE ({rnd('weight', 6)} AS weight) FROM bayes", "bayes"
+    ),
+    "class_priors": trained(f"SELECT * REPLACE ({rnd('bias', 6)} AS bias) FROM priors", "priors"),
+    "naive_bayes_confusion": trained("SELECT * FROM confusion", "confusion"),
+    "class_report": trained(
+        f"SELECT * REPLACE ({rnd('precision', 6)} AS precision, {rnd('recall', 6)} AS recall,"
+        f" {rnd('f1', 6)} AS f1) FROM report",
+        "report",
+    ),
+    "run_scores": trained(
+        f"SELECT run, {rnd('accuracy', 6)} AS accuracy, {rnd('weighted_f1', 6)} AS weighted_f1 FROM run_scores",
+        "run_scores",
+    ),
+    "cross_validation": trained(
+        f"SELECT count(*) AS folds, {rnd('avg(weighted_f1)', 4)} AS cross_val_mean,"
+        f" {rnd('stddev_pop(weighted_f1)', 4)} AS cross_val_std FROM run_scores WHERE run > 0",
+        "run_scores",
+    ),
+    "predicted_messages": trained(
+        "SELECT chat_id, msg_seq, predicted_sentiment FROM predicted", "predicted"
+    ),
+    "agreement": trained(
+        f"""
+SELECT chat_id, count(*) AS messages, count(*) FILTER (is_text AND cleaned_message <> '') AS scored_messages,
+       {pct("count(*) FILTER (is_text AND cleaned_message <> '' AND sentiment_label = predicted_sentiment)",
+            "nullif(count(*) FILTER (is_text AND cleaned_message <> ''), 0)")} AS agreement_scored_pct,
+       {pct('count(*) FILTER (is_text AND sentiment_label = predicted_sentiment)', 'count(*)')} AS agreement_all_pct
+FROM predicted GROUP BY chat_id""",
+        "predicted",
+    ),
+    "feature_summary": statement(
+        """
+SELECT p.chat_id, t.total_words, t.unique_words, p.peak_hour, d.most_active_day, w.top_word, b.top_bigram,
+       f.fastest_responder, f.fastest_resp_mins
+FROM (SELECT chat_id, hour AS peak_hour FROM messages GROUP BY chat_id, hour
+      QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY count(*) DESC, hour) = 1) p
+JOIN (SELECT chat_id, day_name AS most_active_day FROM messages GROUP BY chat_id, day_name
+      QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY count(*) DESC,
+              any_value(isodow(datetime))) = 1) d USING (chat_id)
+LEFT JOIN (SELECT chat_id, sum(count)::BIGINT AS total_words, count(*) AS unique_words
+           FROM word_counts GROUP BY ALL) t USING (chat_id)
+LEFT JOIN (SELECT chat_id, word AS top_word FROM word_counts
+           QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY count DESC, word) = 1) w USING (chat_id)
+LEFT JOIN (SELECT chat_id, phrase AS top_bigram FROM bigrams
+           QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY count DESC, phrase) = 1) b USING (chat_id)
+LEFT JOIN (SELECT chat_id, sender AS fastest_responder, m AS fastest_resp_mins
+           FROM (SELECT chat_id, sender, """
+        + rnd("sum(gap_seconds) / count(*) / 60", 2)
+        + """ AS m FROM replies GROUP BY ALL)
+           QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY m, sender) = 1) f USING (chat_id)""",
+        "messages", "word_counts", "bigrams", "replies",
+    ),
+}
+
+
+def wrapped(name: str, final: str) -> str:
+    """A statement over the result of another one."""
+    return f"WITH inner_result AS ({ORACLES[name]})\n{final}"
+
+
+def feed(name: str, place: str) -> str:
+    return wrapped(
+        name,
+        f"SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY messages DESC, {place}) = 1 AS is_peak"
+        " FROM inner_result",
+    )
+
+
+ORACLES |= {
+    "hourly_feed": feed("hourly_activity", "hour"),
+    "weekday_feed": feed("weekday_activity", "position"),
+    "sentiment_trend_feed": wrapped(
+        "sentiment_weekly",
+        "SELECT *, avg_score >= 0 AS is_positive FROM inner_result"
+        " QUALIFY count(*) OVER (PARTITION BY chat_id) >= 2",
+    ),
+    "sender_split_feed": wrapped(
+        "sentiment_by_sender",
+        "SELECT chat_id, sender, positive_pct, neutral_pct, negative_pct FROM inner_result",
+    ),
+    "sentiment_split_feed": (
+        f"WITH split AS ({ORACLES['label_distribution']}), mood AS ({ORACLES['overall_mood']})\n"
+        "SELECT split.*, mood_description, overall_score FROM split JOIN mood USING (chat_id) WHERE messages > 0"
+    ),
+    "detailed_results": (
+        f"WITH a AS ({ORACLES['sender_stats']}), b AS ({ORACLES['reply_times']}),"
+        f" c AS ({ORACLES['sentiment_by_sender']}), d AS ({ORACLES['sender_keywords']})\n"
+        'SELECT a.*, b.* EXCLUDE (chat_id, sender), c.* EXCLUDE (chat_id, sender, total), d.keywords FROM a'
+        " LEFT JOIN b USING (chat_id, sender) LEFT JOIN c USING (chat_id, sender)"
+        " LEFT JOIN (SELECT chat_id, sender, string_agg(term, ', ' ORDER BY rank) AS keywords FROM d GROUP BY ALL) d"
+        " USING (chat_id, sender)"
+    ),
+    "live_scores": trained(
+        f"""
+, texts AS (SELECT chat_id, msg_seq, regexp_replace(message, '^[{WS}]+|[{WS}]+$', '', 'g') AS t FROM chat_messages),
+checked AS (SELECT chat_id, msg_seq, CASE WHEN t = '' THEN 'Text is empty.'
+            WHEN length(t) > 500 THEN 'Text too long (max 500 characters).' END AS error FROM texts),
+unskipped AS (
+  SELECT chat_id, msg_seq, unnest(ws) AS word, generate_subscripts(ws, 1) AS idx
+  FROM (SELECT chat_id, msg_seq, string_split(trim(regexp_replace(regexp_replace(regexp_replace(
+               lower(message), '{URL}', '', 'g'), '{EMOJI}', '', 'g'), '[^a-z]+', ' ', 'g')), ' ') AS ws
+        FROM messages)),
+live_words AS (
+  SELECT chat_id, msg_seq, w AS word, row_number() OVER (PARTITION BY chat_id, msg_seq ORDER BY idx) AS pos
+  FROM (SELECT u.chat_id, u.msg_seq, u.idx, coalesce(l.lemma, u.word) AS w
+        FROM unskipped u LEFT JOIN lemmas l ON u.word = l.word
+        WHERE u.word NOT IN (SELECT word FROM stopwords)) WHERE length(w) > 2),
+live_grams AS (
+  SELECT chat_id, msg_seq, term, count(*) AS n FROM (
+    SELECT chat_id, msg_seq, word AS term FROM live_words
+    UNION ALL
+    SELECT chat_id, msg_seq, word || ' ' || lead(word) OVER (PARTITION BY chat_id, msg_seq ORDER BY pos)
+    FROM live_words) WHERE term IS NOT NULL GROUP BY ALL),
+live_known AS (
+  SELECT chat_id, msg_seq, label, sum((1 + ln(n)) * idf * b.weight) / sqrt(sum(((1 + ln(n)) * idf) ^ 2)) AS e
+  FROM live_grams g JOIN vocab v ON v.run = 0 AND v.term = g.term JOIN bayes b ON b.run = 0 AND b.term = g.term
+  GROUP BY ALL),
+live_scores AS (
+  SELECT c.chat_id, c.msg_seq, c.error, p.label, p.bias + coalesce(k.e, 0) AS s
+  FROM checked c CROSS JOIN (SELECT * FROM priors WHERE run = 0) p
+  LEFT JOIN live_known k ON k.chat_id = c.chat_id AND k.msg_seq = c.msg_seq AND k.label = p.label),
+soft AS (
+  SELECT *, row_number() OVER (PARTITION BY chat_id, msg_seq ORDER BY s DESC, label) AS place,
+         max(s) OVER w AS top
+  FROM live_scores WINDOW w AS (PARTITION BY chat_id, msg_seq)),
+shares AS (
+  SELECT chat_id, msg_seq, error, label, place,
+         exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY chat_id, msg_seq) AS p FROM soft)
+SELECT chat_id, msg_seq, error,
+       CASE WHEN error IS NULL THEN max(label) FILTER (place = 1) END AS label,
+       CASE WHEN error IS NULL THEN {rnd('max(p)', 4)} END AS confidence,
+       CASE WHEN error IS NULL THEN coalesce({rnd("max(p) FILTER (label = 'Positive')", 4)}, 0.0) END AS prob_positive,
+       CASE WHEN error IS NULL THEN coalesce({rnd("max(p) FILTER (label = 'Neutral')", 4)}, 0.0) END AS prob_neutral,
+       CASE WHEN error IS NULL THEN coalesce({rnd("max(p) FILTER (label = 'Negative')", 4)}, 0.0) END AS prob_negative
+FROM shares GROUP BY chat_id, msg_seq, error""",
+        "chat_messages", "messages", "lemmas", "stopwords", "vocab", "bayes", "priors",
+    ),
+}
+
+
+def section(name: str, title: str, columns: dict[str, str], prefix: str = "''") -> str:
+    """Columns of a statement as rows; fractions in plain notation, four decimals."""
+    rows = " UNION ALL ".join(
+        f"SELECT chat_id, '{title}' AS section, {prefix} || '{c}' AS key, "
+        + (f"({c})::DECIMAL(18,4)::VARCHAR" if kind == "double" else f'"{c}"::VARCHAR')
+        + " AS value FROM inner_result"
+        for c, kind in columns.items()
+    )
+    return f"SELECT * FROM (WITH inner_result AS ({ORACLES[name]}) {rows})"
+
+
+def kinds(text: str, fractions: str = "") -> dict[str, str]:
+    return {c: "text" for c in text.split()} | {c: "double" for c in fractions.split()}
+
+
+ORACLES["written_report"] = "\nUNION ALL\n".join(
+    [
+        section(
+            "chat_summary", "chat_summary",
+            kinds(
+                "total_messages total_text_msgs total_media_msgs total_deleted total_senders date_start"
+                " date_end total_days total_words most_active_user",
+                "avg_words_per_msg",
+            ),
+        ),
+        section(
+            "overall_mood", "overall_sentiment",
+            kinds(
+                "overall_label most_positive_user most_negative_user happiest_day mood_description"
+                " total_analysed high_confidence",
+                "overall_score positive_pct negative_pct neutral_pct",
+            ),
+        ),
+        section(
+            "sentiment_by_sender", "sentiment_by_sender",
+            kinds("Positive Negative Neutral total", "positive_pct negative_pct neutral_pct avg_score"),
+            "sender || '.'",
+        ),
+        section(
+            "feature_summary", "feature_summary",
+            kinds(
+                "total_words unique_words peak_hour most_active_day top_word top_bigram fastest_responder",
+                "fastest_resp_mins",
+            ),
+        ),
+    ]
+)

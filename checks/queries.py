@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatframe.operators import activity, mood, stats, terms
+from chatframe.functions.text import round_half_even
+from chatframe.operators import activity, mood, sampling, scoring, stats, terms, training
 from chatframe.operators.enrich import enrich, message_table, score
+from chatframe.plans import outputs
+from chatframe.plans.analysis import feature_summary
+from chatframe.plans.store import stored
+from chatframe.sources import exports
 from chatframe.sources.tables import chat_messages
+from chatframe.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,3 +96,171 @@ QUERIES: dict[str, Query] = {
     "label_distribution": over(scored, mood.label_distribution),
     "label_distribution_all": over(scored, mood.label_distribution, text_only=False),
 }
+
+
+# --- exported text and back ------------------------------------------------------------
+
+
+def exported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message view written as transcript lines, three layouts, one block per day."""
+    m = chat_messages(spark, sf_dir)
+    stamp = (
+        F.when(F.col("chat_id") == "de", F.concat(F.date_format("datetime", "d/M/yyyy, h:mm a"), F.lit(" - ")))
+        .when(
+            F.col("chat_id") == "team",
+            F.concat(F.lit("["), F.date_format("datetime", "d/M/yyyy, h:mm:ss a"), F.lit("] ")),
+        )
+        .otherwise(F.concat(F.date_format("datetime", "d/M/yyyy, H:mm"), F.lit(" - ")))
+    )
+    text = F.concat(stamp, F.col("sender"), F.lit(": "), F.col("message"))
+    day = Window.partitionBy("chat_id", "block").orderBy("datetime", "msg_seq", "pos")
+    return m.select(
+        "chat_id", "datetime", "msg_seq", F.unix_date(F.to_date("datetime")).cast("long").alias("block"),
+        F.posexplode(F.split(text, "\n")).alias("pos", "line"),
+    ).select("chat_id", "block", F.row_number().over(day).cast("long").alias("line_no"), "line")
+
+
+def parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = exported_lines(spark, sf_dir)
+    return exports.parse_report(exports.timed_blocks(exports.split_lines(lines)))
+
+
+# --- training: each table is stored once per session and data set ------------------------
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(name: str, build: Query) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _STORED:
+            _STORED[key] = stored(build(spark, sf_dir), name)
+        return _STORED[key]
+
+    return query
+
+
+scored_once = once("scored", scored)
+sample_once = once("sample", over(scored_once, training.training_sample))
+runs_once = once("runs", over(sample_once, training.runs_of))
+counts_once = once("counts", over(sample_once, training.term_counts))
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.vocabulary(counts_once(spark, sf_dir), runs_once(spark, sf_dir))
+
+
+vocabulary_once = once("vocabulary", _vocabulary)
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (t(spark, sf_dir) for t in (counts_once, runs_once, vocabulary_once))
+    return training.features(*tables)
+
+
+features_once = once("features", _features)
+
+
+def bayes_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (t(spark, sf_dir) for t in (features_once, runs_once, vocabulary_once))
+    return training.naive_bayes_weights(*tables)
+
+
+def bayes_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted, runs = features_once(spark, sf_dir), runs_once(spark, sf_dir)
+    weights = bayes_weights(spark, sf_dir)
+    return training.confusion(training.naive_bayes_predictions(weighted, runs, weights))
+
+
+confusion_once = once("confusion", bayes_confusion)
+report_query = over(confusion_once, training.class_report)
+
+_MODELS: dict[tuple[str, str], training.SentimentModel] = {}
+
+
+def bayes_model(spark: SparkSession, sf_dir: str) -> training.SentimentModel:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = training.model_of(
+            vocabulary_once(spark, sf_dir), bayes_weights(spark, sf_dir),
+            training.class_priors(runs_once(spark, sf_dir)),
+        )
+    return _MODELS[key]
+
+
+def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.predict_messages(scored_once(spark, sf_dir), bayes_model(spark, sf_dir))
+
+
+def live_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = chat_messages(spark, sf_dir).select("chat_id", "msg_seq", F.col("message").alias("text"))
+    return live.live_scores(texts, bayes_model(spark, sf_dir)).drop("text")
+
+
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both classifiers on the training sample; logistic regression has no SQL form."""
+    result = training.train_classifier(sample_once(spark, sf_dir))
+    rows = [
+        (name, c["accuracy"], c["f1_score"], c["cross_val_mean"], c["cross_val_std"], name == result.model_name)
+        for name, c in result.candidates.items()
+    ]
+    return spark.createDataFrame(
+        rows,
+        "model string, accuracy double, f1_score double, cross_val_mean double,"
+        " cross_val_std double, chosen boolean",
+    )
+
+
+def rounded(query: Query, *columns: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.withColumns({c: round_half_even(F.col(c), 6) for c in columns})
+
+    return run
+
+
+def first_run(query: Query) -> Query:
+    return lambda spark, sf_dir: query(spark, sf_dir).filter("run = 0").drop("run", "position")
+
+
+QUERIES |= {
+    "parsed_messages": over(exported_lines, exports.parse_lines),
+    "parse_report": parse_quality,
+    "run_modes": over(messages, training.run_modes, model_exists=False),
+    "training_sample": over(scored_once, training.training_sample),
+    "train_test_split": over(
+        sample_once, lambda df: sampling.split_train_test(df).drop("cleaned_message")
+    ),
+    "cross_validation_folds": over(
+        sample_once, lambda df: sampling.assign_folds(df).drop("cleaned_message")
+    ),
+    "model_vocabulary": rounded(_vocabulary, "idf"),
+    "tfidf_features": rounded(first_run(_features), "weight"),
+    "naive_bayes_weights": rounded(bayes_weights, "weight"),
+    "class_priors": rounded(over(runs_once, training.class_priors), "bias"),
+    "naive_bayes_confusion": bayes_confusion,
+    "class_report": rounded(report_query, "precision", "recall", "f1"),
+    "run_scores": rounded(
+        over(confusion_once, lambda df: training.run_scores(training.class_report(df))),
+        "accuracy", "weighted_f1",
+    ),
+    "cross_validation": over(
+        confusion_once,
+        lambda df: training.cross_validation(training.run_scores(training.class_report(df))),
+    ),
+    "model_comparison": model_comparison,
+    "predicted_messages": over(
+        predicted, lambda df: df.select("chat_id", "msg_seq", "predicted_sentiment")
+    ),
+    "agreement": over(predicted, mood.agreement),
+    "live_scores": live_scored,
+    "feature_summary": over(enriched, feature_summary),
+    "hourly_feed": over(messages, outputs.hourly_feed),
+    "weekday_feed": over(messages, outputs.weekday_feed),
+    "sentiment_split_feed": over(scored, outputs.sentiment_split_feed),
+    "sentiment_trend_feed": over(scored, outputs.trend_feed),
+    "sender_split_feed": over(scored, outputs.sender_split_feed),
+    "detailed_results": over(scored_once, outputs.detailed_results),
+    "written_report": over(scored_once, outputs.report),
+    "dashboard": over(scored_once, outputs.dashboard),
+}
