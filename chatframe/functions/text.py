@@ -97,35 +97,52 @@ def letter_words(message: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(low, "[^a-z]+", " ")), " ")
 
 
-def lookup(key: Column, table: Mapping[str, object]) -> Column:
-    """``table[key]`` or NULL.
+def _bucketed(words: Iterable[str]) -> tuple[list[list[str]], int]:
+    ordered = sorted(words)
+    size = 2 * len(ordered)
+    buckets: list[list[str]] = [[] for _ in range(size)]
+    for word in ordered:
+        buckets[zlib.crc32(word.encode()) % size].append(word)
+    return buckets, size
 
-    A map search is linear in Spark, so the table becomes an array of small maps,
-    addressed by a checksum of the word: the cost per word does not depend on the
-    length of the list.  The array is one constant in the plan.
-    """
-    if not table:
-        return F.lit(None)
-    size = 2 * len(table)
-    buckets: list[dict[str, object]] = [{} for _ in range(size)]
-    for word, value in table.items():
-        buckets[zlib.crc32(word.encode()) % size][word] = value
-    value_type = _sql_type(next(iter(table.values())))
-    constant = F.from_json(
-        F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{value_type}>>"
-    )
-    return F.element_at(F.get(constant, (F.crc32(key) % size).cast("int")), key)
+
+def _constant(value: object, sql_type: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), sql_type)
 
 
 def _sql_type(value: object) -> str:
     if isinstance(value, tuple):
         return "array<double>"
-    return {bool: "boolean", float: "double", str: "string"}[type(value)]
+    return {float: "double", str: "string"}[type(value)]
 
 
 def is_in(key: Column, words: Iterable[str]) -> Column:
-    """Membership in a word list; NULL for a NULL key never counts as a member."""
-    return lookup(key, dict.fromkeys(words, True)).isNotNull()
+    """Membership in a word list; false for a NULL key.
+
+    The list becomes an array of small arrays, addressed by a checksum of the word:
+    the cost per word does not depend on the length of the list.  It is one constant
+    in the plan.  Arrays, other than maps, compare by value there, so that equal
+    branches of a plan share their shuffle.
+    """
+    buckets, size = _bucketed(words)
+    if not size:
+        return F.lit(False)
+    bucket = F.get(_constant(buckets, "array<array<string>>"), (F.crc32(key) % size).cast("int"))
+    return F.coalesce(F.array_contains(bucket, key), F.lit(False))
+
+
+def lookup(key: Column, table: Mapping[str, object]) -> Column:
+    """``table[key]`` or NULL, found like :func:`is_in`."""
+    buckets, size = _bucketed(table)
+    if not size:
+        return F.lit(None)
+    values = [[table[word] for word in bucket] for bucket in buckets]
+    at = (F.crc32(key) % size).cast("int")
+    bucket = F.get(_constant(buckets, "array<array<string>>"), at)
+    value_type = _sql_type(next(iter(table.values())))
+    found = F.get(_constant(values, f"array<array<{value_type}>>"), at)
+    place = F.array_position(bucket, key).cast("int")
+    return F.when(place > 0, F.get(found, place - 1))
 
 
 def clean_words(words: Column, lists: WordLists) -> Column:

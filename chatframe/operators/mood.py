@@ -85,23 +85,27 @@ def overall_mood(scored: DataFrame) -> DataFrame:
         *[F.count_if(is_text() & (label == name)).alias(name) for name in LABELS],
         F.count_if(is_text() & (F.col("sentiment_confidence") == "High")).alias("high"),
     )
-    totals = cells.groupBy("chat_id").agg(
-        F.sum("n").alias("total_analysed"),
-        F.sum("s").alias("s"),
-        *[F.sum(name).alias(name) for name in LABELS],
-        F.sum("high").alias("high_confidence"),
-    )
-
-    def means(name: str) -> DataFrame:
-        grouped = cells.groupBy("chat_id", name).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        return grouped.filter(F.col("n") > 0).withColumn("m", mean(F.col("s"), F.col("n")))
-
-    senders = means("sender").groupBy("chat_id").agg(
-        F.min_by("sender", F.struct(-F.col("m"), "sender")).alias("most_positive_user"),
-        F.min_by("sender", F.struct("m", "sender")).alias("most_negative_user"),
-    )
-    days = means("day_name").groupBy("chat_id").agg(
-        F.min_by("day_name", F.struct(-F.col("m"), "day_name")).alias("happiest_day")
+    # one pass over the small cells gives chat, sender and weekday totals
+    key, sums = F.grouping_id(), [F.sum(c).alias(c) for c in ("n", "s", *LABELS, "high")]
+    levels = cells.groupingSets(
+        [["chat_id"], ["chat_id", "sender"], ["chat_id", "day_name"]],
+        "chat_id", "sender", "day_name",
+    ).agg(key.alias("level"), *sums)
+    whole, sender, day = (F.col("level") == v for v in (3, 1, 2))
+    m = mean(F.col("s"), F.col("n"))
+
+    def total(name: str, alias: str) -> Column:
+        return F.max(F.when(whole, F.col(name))).alias(alias)
+
+    def extreme(level: Column, name: str, value: Column) -> Column:
+        return F.min_by(name, F.when(level & (F.col("n") > 0), F.struct(value.alias("v"), name)))
+
+    totals = levels.groupBy("chat_id").agg(
+        total("n", "total_analysed"), total("s", "s"),
+        *[total(name, name) for name in LABELS], total("high", "high_confidence"),
+        extreme(sender, "sender", -m).alias("most_positive_user"),
+        extreme(sender, "sender", m).alias("most_negative_user"),
+        extreme(day, "day_name", -m).alias("happiest_day"),
     )
     n = F.col("total_analysed")
     average = F.when(n > 0, round_half_even(mean(F.col("s"), n), 4)).otherwise(0.0)
@@ -109,21 +113,16 @@ def overall_mood(scored: DataFrame) -> DataFrame:
     def pct(name: str) -> Column:
         return F.when(n > 0, percent(F.col(name), n))
 
-    return (
-        totals.withColumn("overall_score", average)
-        .join(senders, "chat_id", "left")
-        .join(days, "chat_id", "left")
-        .select(
-            "chat_id",
-            label_of(F.col("overall_score")).alias("overall_label"),
-            "overall_score",
-            pct(POSITIVE).alias("positive_pct"),
-            pct(NEGATIVE).alias("negative_pct"),
-            pct(NEUTRAL).alias("neutral_pct"),
-            "most_positive_user", "most_negative_user", "happiest_day",
-            F.when(n > 0, mood_of(F.col("overall_score"))).alias("mood_description"),
-            "total_analysed", "high_confidence",
-        )
+    return totals.withColumn("overall_score", average).select(
+        "chat_id",
+        label_of(F.col("overall_score")).alias("overall_label"),
+        "overall_score",
+        pct(POSITIVE).alias("positive_pct"),
+        pct(NEGATIVE).alias("negative_pct"),
+        pct(NEUTRAL).alias("neutral_pct"),
+        "most_positive_user", "most_negative_user", "happiest_day",
+        F.when(n > 0, mood_of(F.col("overall_score"))).alias("mood_description"),
+        "total_analysed", "high_confidence",
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chatframe.functions.lists import WordLists
 from chatframe.functions.text import (
-    clean_words, letter_words, lookup, ngrams_of, round_half_even, strip, words_of,
+    clean_words, is_in, letter_words, lookup, ngrams_of, round_half_even, strip, words_of,
 )
 from chatframe.operators.enrich import DEFAULT_LISTS, has_cleaned_text, is_text
 from chatframe.operators.training import MAX_FEATURES, SentimentModel
@@ -45,7 +45,7 @@ def _with_scores(df: DataFrame, words: Column, model: SentimentModel) -> DataFra
         .withColumn("_t", F.concat("_w", ngrams_of(F.col("_w"), 2)))
         .withColumn(
             "_known",
-            F.array_sort(F.filter("_t", lambda t: lookup(t, model.terms).isNotNull())),
+            F.array_sort(F.filter("_t", lambda t: is_in(t, model.terms))),
         )
         .withColumn(
             "_ends",

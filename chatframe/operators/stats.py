@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatframe.functions.text import round_half_even, words_of
-from chatframe.operators.enrich import has_cleaned_text, is_text
+from chatframe.operators.enrich import is_text
 from chatframe.schema import require_columns
 
 
@@ -82,27 +82,33 @@ def chat_senders(messages: DataFrame) -> DataFrame:
 
 def processing_stats(enriched: DataFrame) -> DataFrame:
     """What cleaning found: processable messages, emoji, URLs, distinct words."""
-    cleaned = has_cleaned_text()
     words = words_of(F.col("cleaned_message"))
-    totals = enriched.groupBy("chat_id").agg(
-        F.count("*").alias("total_messages"),
-        F.count_if(cleaned).alias("processable_messages"),
-        F.count_if(F.col("emoji_count") > 0).alias("messages_with_emoji"),
-        F.sum(F.col("emoji_count").cast("long")).alias("total_emojis"),
-        F.count_if("has_url").alias("messages_with_url"),
-        F.sum(F.size(words).cast("long")).alias("_words"),
+    # next to its words, each message gives one row without a word that carries its counts
+    counted = enriched.select("chat_id", "emoji_count", "has_url", words.alias("_words")).select(
+        "chat_id", "emoji_count", "has_url", F.size("_words").alias("_n"),
+        F.explode(F.array_append("_words", F.lit(None).cast("string"))).alias("word"),
     )
-    distinct = (
-        enriched.select("chat_id", F.explode(words).alias("word"))
-        .groupBy("chat_id", "word")
-        .agg(F.count("*").alias("n"))
-        .groupBy("chat_id")
-        .agg(F.count("*").alias("unique_words"))
+    message = F.col("word").isNull()
+    per_word = counted.groupBy("chat_id", "word").agg(
+        F.count_if(message).alias("messages"),
+        F.count_if(message & (F.col("_n") > 0)).alias("processable"),
+        F.count_if(message & (F.col("emoji_count") > 0)).alias("with_emoji"),
+        F.sum(F.when(message, F.col("emoji_count").cast("long")).otherwise(0)).alias("emojis"),
+        F.count_if(message & F.col("has_url")).alias("with_url"),
+        F.sum(F.when(message, F.col("_n").cast("long")).otherwise(0)).alias("words"),
     )
-    return totals.join(distinct, "chat_id", "left").select(
+    totals = per_word.groupBy("chat_id").agg(
+        F.sum("messages").alias("total_messages"),
+        F.sum("processable").alias("processable_messages"),
+        F.sum("with_emoji").alias("messages_with_emoji"),
+        F.sum("emojis").alias("total_emojis"),
+        F.sum("with_url").alias("messages_with_url"),
+        F.count("word").alias("unique_words"),
+        F.sum("words").alias("_words"),
+    )
+    return totals.select(
         "chat_id", "total_messages", "processable_messages", "messages_with_emoji",
-        "total_emojis", "messages_with_url",
-        F.coalesce("unique_words", F.lit(0)).alias("unique_words"),
+        "total_emojis", "messages_with_url", "unique_words",
         F.when(
             F.col("processable_messages") > 0,
             ratio(F.col("_words"), F.col("processable_messages"), 2),
@@ -133,7 +139,8 @@ def sender_stats(enriched: DataFrame) -> DataFrame:
         F.sum("urls").alias("urls_shared"),
         first_by("hour", F.col("n")).alias("most_active_hour"),
     )
-    chats = per_sender.groupBy("chat_id").agg(F.sum("total_messages").alias("_chat_total"))
+    # counted from the messages: this reads one column and no text
+    chats = enriched.groupBy("chat_id").agg(F.count("*").alias("_chat_total"))
     total = F.col("total_messages")
     return (
         per_sender.join(chats, "chat_id")

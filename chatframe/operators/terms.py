@@ -101,7 +101,8 @@ def sender_keywords(enriched: DataFrame, n: int = 10, vocabulary: int = 500) ->
     )
     writers = (
         counts.groupBy("chat_id", "sender")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("count").alias("n"))
+        .filter(F.col("n") > 0)
         .groupBy("chat_id")
         .agg(F.count("*").alias("documents"))
         .filter(F.col("documents") >= 2)

@@ -8,11 +8,13 @@ so six models are fitted by one job.  Logistic regression is fitted by MLlib.
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -398,12 +400,15 @@ def train_classifier(rows: DataFrame) -> ClassifierResult:
     weights = naive_bayes_weights(weighted, runs, vocab)
     bayes = naive_bayes_predictions(weighted, runs, weights)
     vectors = stored(regression_rows(weighted, runs), "training-vectors")
-    regressions = {
-        run: fit_regression(
-            vectors.filter((F.col("run") == run) & (F.col("part") == "train")), labels
-        )
+    training_parts = [
+        vectors.filter((F.col("run") == run) & (F.col("part") == "train"))
         for run in range(FOLDS + 1)
-    }
+    ]
+    # the iterations of one fit leave most cores idle, so the fits run side by side
+    with ThreadPoolExecutor(len(training_parts)) as pool:
+        fit = inheritable_thread_target(spark)(fit_regression)
+        fitted = pool.map(fit, training_parts, [labels] * len(training_parts))
+        regressions = dict(enumerate(fitted))
     regression = reduce(
         DataFrame.unionByName,
         [
