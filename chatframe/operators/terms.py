@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatframe.functions.text import ngrams_of, round_half_even, words_of
+from chatframe.operators.topn import top_rows
 
 
 def word_frequency(enriched: DataFrame) -> DataFrame:
@@ -57,8 +58,7 @@ def top_terms(frequency: DataFrame, n: int) -> DataFrame:
     per chat and task are exchanged.
     """
     term = [c for c in frequency.columns if c not in ("chat_id", "count")][0]
-    order = Window.partitionBy("chat_id").orderBy(F.desc("count"), term)
-    return frequency.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return top_rows(frequency, ["chat_id"], [F.desc("count"), F.col(term)], n, key=term)
 
 
 def top_words(enriched: DataFrame, n: int = 20) -> DataFrame:
@@ -110,10 +110,9 @@ def sender_keywords(enriched: DataFrame, n: int = 10, vocabulary: int = 500) ->
     terms = counts.groupBy("chat_id", "term").agg(
         F.sum("count").alias("count"), F.count("*").alias("document_frequency")
     )
-    by_count = Window.partitionBy("chat_id").orderBy(F.desc("count"), "term")
+    by_count = [F.desc("count"), F.col("term")]
     idf = (
-        terms.withColumn("position", F.row_number().over(by_count))
-        .filter(F.col("position") <= vocabulary)
+        top_rows(terms, ["chat_id"], by_count, vocabulary, key="term", rank="position")
         .join(writers, "chat_id")
         .select(
             "chat_id", "term",

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from chatframe.functions.text import ngrams_of, round_half_even, words_of
 from chatframe.operators.enrich import has_cleaned_text, is_text
 from chatframe.operators.sampling import assign_folds, ranked, split_train_test
+from chatframe.operators.topn import top_rows
 from chatframe.plans.store import stored
 from chatframe.schema import (
     FOLDS, LABELS, MIN_MESSAGES_FOR_MODEL, MIN_TIER_ROWS, MIN_TRAINING_ROWS,
@@ -144,11 +145,6 @@ def runs_of(sample: DataFrame) -> DataFrame:
 # --- features --------------------------------------------------------------------
 
 
-def terms_of(cleaned: Column) -> Column:
-    words = words_of(cleaned)
-    return F.concat(words, ngrams_of(words, 2))
-
-
 def term_counts(rows: DataFrame) -> DataFrame:
     """``(chat_id, msg_seq, term, n)`` of words and word pairs."""
     words = F.col("_words")
@@ -172,10 +168,9 @@ def vocabulary(
         .agg(F.sum("n").alias("total"), F.count("*").alias("df"))
         .filter(F.col("df") >= MIN_DOCUMENTS)
     )
-    by_count = Window.partitionBy("run").orderBy(F.desc("total"), "term")
+    by_count = [F.desc("total"), F.col("term")]
     return (
-        totals.withColumn("position", F.row_number().over(by_count))
-        .filter(F.col("position") <= max_features)
+        top_rows(totals, ["run"], by_count, max_features, key="term", rank="position")
         .join(documents, "run")
         .select(
             "run", "term", "position",

@@ -124,9 +124,12 @@ def split_texts(texts: DataFrame) -> DataFrame:
     )
 
 
-def split_lines(lines: DataFrame) -> DataFrame:
+def split_lines(lines: DataFrame, first_block: int | None = None) -> DataFrame:
     """The same blocks from ``(chat_id, block, line_no, line)``.
 
+    ``first_block`` names the block that every chat starts with, when there is one: the
+    layout is then looked for in those blocks only.
+
     Lines are numbered within their block only; the number of message starts in the
     blocks before gives the message number in the chat, so a line at the head of a
     block finds the message it continues.  No task sees more than one block of lines
@@ -140,8 +143,9 @@ def split_lines(lines: DataFrame) -> DataFrame:
     counts = [
         F.sum(F.regexp_count("line", F.lit(_regex(i)))) for i in range(len(LAYOUTS))
     ]
+    heads = rows if first_block is None else rows.filter(F.col("block") == first_block)
     layouts = (
-        rows.withColumn("_n", F.row_number().over(order))
+        heads.withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= SAMPLE_LINES)
         .groupBy("chat_id")
         .agg(_best_layout(counts).alias("layout"))
@@ -291,9 +295,11 @@ def parse_texts(texts: DataFrame, date_order: str = "dmy") -> DataFrame:
     return messages_from(timed_blocks(split_texts(texts), date_order))
 
 
-def parse_lines(lines: DataFrame, date_order: str = "dmy") -> DataFrame:
+def parse_lines(
+    lines: DataFrame, date_order: str = "dmy", first_block: int | None = None
+) -> DataFrame:
     """``(chat_id, block, line_no, line)`` to the message table."""
-    return messages_from(timed_blocks(split_lines(lines), date_order))
+    return messages_from(timed_blocks(split_lines(lines, first_block), date_order))
 
 
 def parse_chats(
@@ -302,5 +308,5 @@ def parse_chats(
 ) -> DataFrame:
     """Message table of all exports under ``path``; ``by_line`` for very large files."""
     if by_line:
-        return parse_lines(read_lines(spark, path, glob), date_order)
+        return parse_lines(read_lines(spark, path, glob), date_order, first_block=0)
     return parse_texts(read_texts(spark, path, glob), date_order)
