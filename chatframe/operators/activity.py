@@ -113,7 +113,9 @@ def reply_gaps(messages: DataFrame) -> DataFrame:
         )
     )
     in_day = Window.partitionBy("chat_id", "_day").orderBy("datetime")
-    gap = F.timestamp_diff("SECOND", F.lag("datetime").over(in_day), F.col("datetime"))
+    # a difference of wall clocks: the session time zone plays no part
+    between = F.col("datetime") - F.lag("datetime").over(in_day)
+    gap = between.cast("interval second").cast("decimal(18,6)").cast("long")
     return (
         moments.unionByName(carried)
         .select(

@@ -210,14 +210,17 @@ def _timestamp(date_order: str) -> Column:
     clock = strip(F.regexp_replace("time_text", "[\u202f\u00a0]", " "))
     text = F.concat_ws(" ", strip(F.col("date_text")), clock)
     pattern = DATE_ORDERS[date_order]
-    read = F.when(
-        F.col("layout") == 0, F.try_to_timestamp(text, F.lit(f"{pattern} {LAYOUTS[0][2]}"))
-    )
+    # read as UTC and moved to a wall clock, so the session time zone plays no part
+    utc = F.concat(text, F.lit("+00:00"))
+
+    def read(layout: int) -> Column:
+        return F.try_to_timestamp(utc, F.lit(f"{pattern} {LAYOUTS[layout][2]}XXX"))
+
+    instant = F.when(F.col("layout") == 0, read(0))
     for i in range(1, len(LAYOUTS)):
-        read = read.when(
-            F.col("layout") == i, F.try_to_timestamp(text, F.lit(f"{pattern} {LAYOUTS[i][2]}"))
-        )
-    return read.cast("timestamp_ntz")
+        instant = instant.when(F.col("layout") == i, read(i))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=F.unix_seconds(instant).cast("decimal(18,6)"))
 
 
 def timed_blocks(blocks: DataFrame, date_order: str = "dmy") -> DataFrame:
