@@ -8,7 +8,7 @@ from checks.sql_parts import EMOJI, URL, WS, label, rnd, statement
 def top(table: str, term: str, n: int) -> str:
     return statement(
         f"""
-SELECT chat_id, {term}, count, rank
+SELECT chat_id, {term}, count, rank::INT AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY count DESC, {term}) AS rank FROM {table})
 WHERE rank <= {n}""",
         table,
@@ -154,7 +154,7 @@ JOIN (SELECT chat_id, count(*) AS n FROM messages GROUP BY ALL) c USING (chat_id
     "top_emojis": top("emojis", "emoji", 10),
     "word_weights": statement(
         """
-SELECT chat_id, word, count, rank, count / max(count) OVER (PARTITION BY chat_id) AS weight
+SELECT chat_id, word, count, rank::INT AS rank, count / max(count) OVER (PARTITION BY chat_id) AS weight
 FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY count DESC, word) AS rank FROM word_counts)
 WHERE rank <= 150""",
         "word_counts",
@@ -171,7 +171,7 @@ w AS (SELECT tf.chat_id, tf.sender, tf.term,
       FROM tf JOIN vocab USING (chat_id, term) JOIN docs USING (chat_id)),
 s AS (SELECT chat_id, sender, term, w / sqrt(sum(w * w) OVER (PARTITION BY chat_id, sender)) AS s FROM w)
 SELECT chat_id, sender, term, {rnd('s', 4)} AS score,
-       row_number() OVER (PARTITION BY chat_id, sender ORDER BY s DESC, term) AS rank
+       (row_number() OVER (PARTITION BY chat_id, sender ORDER BY s DESC, term))::INT AS rank
 FROM s WHERE s > 0 QUALIFY rank <= 10""",
         "terms", "messages",
     ),
@@ -261,7 +261,7 @@ ORACLES["parse_report"] = statement(
     """
 SELECT chat_id, CASE chat_id WHEN 'de' THEN 'android 12-hour' WHEN 'team' THEN 'ios 12-hour'
                              ELSE 'android 24-hour' END AS layout,
-       count(*) AS message_blocks, 0 AS bad_timestamps, 0 AS system_notices, count(*) AS parsed_messages,
+       count(*) AS message_blocks, 0::BIGINT AS bad_timestamps, 0::BIGINT AS system_notices, count(*) AS parsed_messages,
        count(DISTINCT sender) AS senders, min(date) AS date_start, max(date) AS date_end, 'ok' AS status
 FROM messages GROUP BY chat_id""",
     "messages",
@@ -455,7 +455,7 @@ FROM messages GROUP BY chat_id""",
     "training_sample": trained("SELECT * FROM sample", "sample"),
     "train_test_split": trained("SELECT * FROM split", "split"),
     "cross_validation_folds": trained("SELECT * FROM folds", "folds"),
-    "model_vocabulary": trained(f"SELECT * REPLACE ({rnd('idf', 6)} AS idf) FROM vocab", "vocab"),
+    "model_vocabulary": trained(f"SELECT * REPLACE ({rnd('idf', 6)} AS idf, position::INT AS position) FROM vocab", "vocab"),
     "tfidf_features": trained(
         f"SELECT * EXCLUDE (run) REPLACE ({rnd('weight', 6)} AS weight) FROM weighted WHERE run = 0", "weighted"
     ),
