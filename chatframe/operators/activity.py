@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatframe.functions.text import round_half_even
@@ -76,6 +76,11 @@ def peaks(messages: DataFrame) -> DataFrame:
     return peak_hour.join(busiest, "chat_id")
 
 
+def _hour_number() -> Column:
+    """Hours since the epoch of a wall clock."""
+    return F.unix_date(F.to_date("datetime")) * 24 + F.hour("datetime")
+
+
 def reply_gaps(messages: DataFrame) -> DataFrame:
     """Messages that answer another sender, with the gap in seconds.
 
@@ -83,9 +88,9 @@ def reply_gaps(messages: DataFrame) -> DataFrame:
     ``(datetime, msg_seq)``, has another sender and lies more than zero and at most
     twelve hours back.  As a gap of zero never counts, only the first and the last
     sender of every distinct timestamp matter.  The rows are reduced to those before
-    anything is ordered; the order is then taken within one chat and day, and over
-    the days of a chat for the first timestamp of each day, so no task sorts a
-    whole chat.
+    anything is ordered; the order is then taken within one chat and hour, and over
+    the hours of a chat for the first timestamp of each hour, so no task sorts a
+    whole chat.  Gaps are whole seconds, as transcripts have no finer clock.
     """
     require_columns(messages, ("chat_id", "msg_seq", "datetime", "sender"))
     moments = (
@@ -95,32 +100,32 @@ def reply_gaps(messages: DataFrame) -> DataFrame:
             F.max(F.struct("msg_seq", "sender")).alias("last"),
         )
         .select(
-            "chat_id", F.to_date("datetime").alias("_day"), "datetime", "first",
+            "chat_id", _hour_number().alias("_hour"), "datetime", "first",
             F.col("last.sender").alias("last_sender"),
         )
     )
-    day_ends = moments.groupBy("chat_id", "_day").agg(
+    hour_ends = moments.groupBy("chat_id", "_hour").agg(
         F.max(F.struct("datetime", "last_sender")).alias("_end")
     )
-    over_days = Window.partitionBy("chat_id").orderBy("_day")
+    over_hours = Window.partitionBy("chat_id").orderBy("_hour")
     carried = (
-        day_ends.withColumn("_previous", F.lag("_end").over(over_days))
+        hour_ends.withColumn("_previous", F.lag("_end").over(over_hours))
         .filter(F.col("_previous").isNotNull())
         .select(
-            "chat_id", "_day", "_previous.datetime",
+            "chat_id", "_hour", "_previous.datetime",
             F.lit(None).cast("struct<msg_seq:bigint,sender:string>").alias("first"),
             "_previous.last_sender",
         )
     )
-    in_day = Window.partitionBy("chat_id", "_day").orderBy("datetime")
+    in_hour = Window.partitionBy("chat_id", "_hour").orderBy("datetime")
     # a difference of wall clocks: the session time zone plays no part
-    between = F.col("datetime") - F.lag("datetime").over(in_day)
+    between = F.col("datetime") - F.lag("datetime").over(in_hour)
     gap = between.cast("interval second").cast("decimal(18,6)").cast("long")
     return (
         moments.unionByName(carried)
         .select(
             "chat_id", "first",
-            F.lag("last_sender").over(in_day).alias("previous_sender"),
+            F.lag("last_sender").over(in_hour).alias("previous_sender"),
             gap.alias("gap_seconds"),
         )
         .filter(F.col("first").isNotNull())

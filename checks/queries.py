@@ -102,7 +102,7 @@ QUERIES: dict[str, Query] = {
 
 
 def exported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The message view written as transcript lines, three layouts, one block per day."""
+    """The message view written as transcript lines, three layouts, one block per hour."""
     m = chat_messages(spark, sf_dir)
     stamp = (
         F.when(F.col("chat_id") == "de", F.concat(F.date_format("datetime", "d/M/yyyy, h:mm a"), F.lit(" - ")))
@@ -113,11 +113,12 @@ def exported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.date_format("datetime", "d/M/yyyy, H:mm"), F.lit(" - ")))
     )
     text = F.concat(stamp, F.col("sender"), F.lit(": "), F.col("message"))
-    day = Window.partitionBy("chat_id", "block").orderBy("datetime", "msg_seq", "pos")
+    hour = F.unix_date(F.to_date("datetime")).cast("long") * 24 + F.hour("datetime")
+    in_block = Window.partitionBy("chat_id", "block").orderBy("datetime", "msg_seq", "pos")
     return m.select(
-        "chat_id", "datetime", "msg_seq", F.unix_date(F.to_date("datetime")).cast("long").alias("block"),
+        "chat_id", "datetime", "msg_seq", hour.alias("block"),
         F.posexplode(F.split(text, "\n")).alias("pos", "line"),
-    ).select("chat_id", "block", F.row_number().over(day).cast("long").alias("line_no"), "line")
+    ).select("chat_id", "block", F.row_number().over(in_block).cast("long").alias("line_no"), "line")
 
 
 def parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
