@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatframe.llm import mixing
+from chatframe.llm import mixing, tokens
 from chatframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +19,23 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"),
         F.round(F.get("positions", F.lit(0)), 9).alias("position"),
-    ).orderBy("position")
+    ).orderBy("position", "doc_id")
+
+
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokens.write_ids(table(spark, sf_dir, "documents"), word_bpe())
+    return tokens.read_ids(files, with_ids=False)
 
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op4_token_ids": op4_token_ids,
 }
 
 ORACLES: dict[str, str] = {}
