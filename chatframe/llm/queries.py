@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatframe.llm import mixing, tokens
+from chatframe.llm import decontamination, mixing, tokens
 from chatframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,9 +33,15 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_ids(files, with_ids=False)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.report(decontamination.scan(docs, items, keep=["doc_id"]))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op4_token_ids": op4_token_ids,
+    "op5_decontamination": op5_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
