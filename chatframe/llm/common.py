@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from chatframe.plans.store import shared_folder, stored
 
 __all__ = [
-    "components", "fresh_folder", "groups_of", "running_sums", "shuffle_partitions", "split_ball",
-    "stored", "table",
+    "components", "fresh_folder", "groups_of", "running_sums", "shuffle_partitions",
+    "split_ball", "stored", "table",
 ]
 
 

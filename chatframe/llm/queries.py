@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatframe.llm import decontamination, mixing, tokens
+from chatframe.llm import decontamination, mixing, tokens, warc
 from chatframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy("position", "doc_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.records(warc.read_chunks(segments))
+
+
 def word_bpe() -> str:
     import public_tokenizers
 
@@ -40,6 +45,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_warc": op2_warc,
     "op4_token_ids": op4_token_ids,
     "op5_decontamination": op5_decontamination,
 }
