@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatframe.llm import decontamination, mixing, tokens, warc
+from chatframe.llm import decontamination, mixing, secrets, tokens, warc
 from chatframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +43,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.scan(docs, items, keep=["doc_id"]))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op4_token_ids": op4_token_ids,
     "op5_decontamination": op5_decontamination,
+    "op6_secrets": op6_secrets,
 }
 
 ORACLES: dict[str, str] = {}
