@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatframe.llm import decontamination, mixing, secrets, tokens, warc
+from chatframe.llm import decontamination, mixing, secrets, tokens, toxicity, warc
 from chatframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.read_chunks(segments))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    score = F.col("_toxicity.score")
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", toxicity.held_out().alias("held_out"), score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"),
+        F.size("_toxicity.spans").alias("n_offending"),
+    )
+
+
 def word_bpe() -> str:
     import public_tokenizers
 
@@ -50,6 +61,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
     "op4_token_ids": op4_token_ids,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
