@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatframe.llm import decontamination, mixing, secrets, tokens, toxicity, warc
+from chatframe.llm import decontamination, lines, mixing, secrets, simhash, tokens, toxicity, warc
 from chatframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(lines.drop_boilerplate(table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -65,6 +74,8 @@ QUERIES: dict[str, Query] = {
     "op4_token_ids": op4_token_ids,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
+    "op8_simhash": op8_simhash,
+    "op10_lines": op10_lines,
 }
 
 ORACLES: dict[str, str] = {}
