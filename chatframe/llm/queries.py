@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatframe.llm import decontamination, lines, mixing, secrets, simhash, tokens, toxicity, warc
+from chatframe.llm import (
+    decontamination, embeddings, lines, mixing, secrets, simhash, tokens, toxicity, warc,
+)
 from chatframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +65,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(lines.drop_boilerplate(table(spark, sf_dir, "pages")))
 
@@ -75,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op8_simhash": op8_simhash,
+    "op9_embeddings": op9_embeddings,
     "op10_lines": op10_lines,
 }
 
