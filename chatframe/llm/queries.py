@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatframe.llm import (
-    decontamination, embeddings, lines, mixing, secrets, simhash, tokens, toxicity, warc,
+    decontamination, embeddings, language_model, lines, mixing, secrets, simhash, tokens, toxicity, warc,
 )
 from chatframe.llm.common import table
 
@@ -60,6 +60,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_ids": op4_token_ids,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
+    "op7_language_model": op7_language_model,
     "op8_simhash": op8_simhash,
     "op9_embeddings": op9_embeddings,
     "op10_lines": op10_lines,
