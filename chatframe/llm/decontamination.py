@@ -109,16 +109,18 @@ def scan(
     size = F.lit(1) + F.size("items") + F.length("window") / 4
     total = keys.agg(F.sum(size)).first()[0] or 0
     shards = int(total // automaton_words) + 1
-    df = docs.select("text", *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
-    fields = {f.name: f for f in df.schema.fields}
-    carried = [f.name for f in df.schema.fields]
-    schema = ", ".join(f"`{k}` {fields[k].dataType.simpleString()}" for k in carried) + f", _hits struct<{_struct()}>"
+    columns = keep if "text" in keep else [*keep, "text"]
+    df = docs.select(*(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(columns)))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
     for shard in range(shards):
-        if shard:
-            df = stored(df, "scanned")
         rows = keys.filter(F.pmod(F.xxhash64("window"), F.lit(shards)) == shard).collect()
         sent = spark.sparkContext.broadcast([(bytes(r["window"]), list(r["items"])) for r in rows])
-        df = df.mapInArrow(_scanner(uuid.uuid4().hex, sent, len(carried)), schema)
+        last = shard == shards - 1
+        n = len(keep) if last else len(columns)
+        scanner = _scanner(uuid.uuid4().hex, sent, columns.index("text"), n, len(columns) if shard else None)
+        df = df.mapInArrow(scanner, ", ".join([*fields[:n], f"_hits struct<{_struct()}>"]))
+        if not last:
+            df = stored(df, "scanned")
     return df.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), "_hits")
 
 
@@ -133,7 +135,9 @@ _HITS = pa.struct([
 _BUILT: dict[str, tuple] = {}
 
 
-def _scanner(name: str, sent, n_carried: int):
+def _scanner(name: str, sent, text_at: int, n: int, hits_at: int | None):
+    """Reads the text in column ``text_at`` and earlier hits; returns the first ``n`` columns and hits."""
+
     def run(batches):
         if name not in _BUILT:  # one automaton per worker process
             _BUILT.clear()
@@ -141,9 +145,9 @@ def _scanner(name: str, sent, n_carried: int):
         numbers, automaton = _BUILT[name]
         number, find = numbers.get, automaton.iter
         for batch in batches:
-            earlier = batch.column(n_carried).to_pylist() if batch.num_columns > n_carried else repeat(None)
+            earlier = repeat(None) if hits_at is None else batch.column(hits_at).to_pylist()
             hits = []
-            for value, before in zip(batch.column(0), earlier):
+            for value, before in zip(batch.column(text_at), earlier):
                 text = value.as_py()
                 words = words_of(text)
                 starts, ends, items = [], [], set()
@@ -161,7 +165,7 @@ def _scanner(name: str, sent, n_carried: int):
                     "spans": original_spans(text, starts, ends) if starts else [],
                 })
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n_carried], pa.array(hits, _HITS)], [*batch.schema.names[:n_carried], "_hits"]
+                [*batch.columns[:n], pa.array(hits, _HITS)], [*batch.schema.names[:n], "_hits"]
             )
 
     return run

@@ -50,14 +50,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp)``; fp: the fingerprint's bits as a long."""
+    """``(doc_id, text_key, fp)``; text_key: a hash of the text, fp: the fingerprint's bits as a long."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(
+        run, "doc_id long, text_key long, fp long"
+    )
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -87,22 +89,62 @@ def links(fps: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFrame:
     return probes.join(entries, near & (distance(F.col("a"), F.col("b")) <= max_bits)).select("a", "b").distinct()
 
 
+def classes(rows: DataFrame, max_bits: int, segments: int) -> DataFrame:
+    """``(fp, component)`` for every fingerprint in ``rows``; component: one of its fingerprints."""
+    nodes = stored(rows.select("fp").distinct(), "nodes")
+    member = components(links(nodes, max_bits, segments))
+    return stored(
+        nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "fp", F.coalesce("component", "fp").alias("component")
+        ),
+        "classes",
+    )
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 4, max_bits: int = 4, segments: int = 3
 ) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest id in the component of every document."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    member = components(links(nodes.select("fp"), max_bits, segments))
-    grouped = stored(
-        nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", "first", F.coalesce("component", "fp").alias("component")
+    of = classes(rows, max_bits, segments)
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    smallest = stored(
+        first.join(of, "fp").groupBy("component").agg(F.min("first").alias("component_id")), "smallest"
+    )
+    ids = stored(of.join(smallest, "component").select("fp", "component_id"), "components")
+    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
+    """The documents with all their columns, one of each component: that with the smallest id.
+
+    Null ids come last; of rows with equal id and text one stays.  Texts meet only the keys of
+    rows to leave out.
+    """
+    rows = stored(fingerprints(docs, shingle), "fingerprints")
+    of = classes(rows, max_bits, segments)
+    keys = rows.groupBy("fp", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
+    ranked = stored(keys.withColumn("rank", rank), "keys")
+    of_fp = ranked.groupBy("fp").agg(F.min("rank").alias("best"))
+    best = stored(of_fp.join(of, "fp").groupBy("component").agg(F.min("best").alias("best")), "best")
+    judged = stored(
+        ranked.join(stored(of.join(best, "component").select("fp", "best"), "best-of"), "fp").select(
+            F.col("rank.none").alias("_none"), F.coalesce("rank.id", F.lit(0)).alias("_id"), F.col("text_key").alias("_text"),
+            (F.col("rank") == F.col("best")).alias("stays"), "n",
         ),
-        "grouped",
+        "judged",
     )
-    smallest = stored(grouped.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
-    of = stored(grouped.join(smallest, "component").select("fp", "component_id"), "components")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    keyed = docs.withColumns({
+        "_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_text": F.xxhash64("text")
+    })
+    same = ["_none", "_id", "_text"]
+    left = keyed.join(stored(judged.filter("not stays").select(same), "left-out"), same, "left_anti")
+    repeated = stored(judged.filter("stays and n > 1").select(same), "repeated")
+    if not repeated.isEmpty():
+        once = left.join(repeated, same, "left_semi").dropDuplicates(same)
+        left = left.join(repeated, same, "left_anti").union(once)
+    return left.select(docs.columns)
 
 
 def hexadecimal(fp: str = "fp") -> Column:

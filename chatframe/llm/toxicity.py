@@ -222,22 +222,23 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     points of the text.
     """
     keep = docs.columns if keep is None else keep
-    df = docs.select("text", *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
-    carried = df.schema.fields[1:]
+    columns = keep if "text" in keep else [*keep, "text"]
+    place, n = columns.index("text"), len(keep)
+    df = docs.select(*(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(columns)))
     struct = pa.struct([
         ("score", pa.float64()),
         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))),
     ])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + (", " if keep else "")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields[:n])
     schema += "_toxicity struct<score:double,spans:array<struct<start:int,end:int,score:double>>>"
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         of = sent.value.score
         for batch in batches:
-            found = [dict(zip(("score", "spans"), of(x.as_py()))) for x in batch.column(0)]
+            found = [dict(zip(("score", "spans"), of(x.as_py()))) for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(found, struct)], [*batch.schema.names[1:], "_toxicity"]
+                [*batch.columns[:n], pa.array(found, struct)], [*batch.schema.names[:n], "_toxicity"]
             )
 
     return df.mapInArrow(run, schema).select(
