@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from chatframe.plans.store import shared_folder, stored
 
 __all__ = [
-    "components", "fresh_folder", "groups_of", "running_sums", "shuffle_partitions",
-    "split_ball", "stored", "table",
+    "components", "free_name", "fresh_folder", "groups_of", "running_sums",
+    "shuffle_partitions", "split_ball", "stored", "table",
 ]
 
 
@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

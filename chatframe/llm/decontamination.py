@@ -97,10 +97,11 @@ def scan(
     keep: list[str] | None = None,
     width: int = WIDTH,
     automaton_words: int = 4_000_000,
+    result: str = "_hits",
 ) -> DataFrame:
-    """The columns ``keep`` of every document (all by default) and a struct ``_hits``.
+    """The columns ``keep`` of every document (all by default) and a struct, ``result``.
 
-    ``_hits``: number of words, runs of hit words (``starts``, ``ends`` exclusive, by word),
+    The struct: number of words, runs of hit words (``starts``, ``ends`` exclusive, by word),
     the ids of items with an occurring window in order, and ``spans`` in the text.
     """
     spark = docs.sparkSession
@@ -121,7 +122,7 @@ def scan(
         df = df.mapInArrow(scanner, ", ".join([*fields[:n], f"_hits struct<{_struct()}>"]))
         if not last:
             df = stored(df, "scanned")
-    return df.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), "_hits")
+    return df.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("_hits").alias(result))
 
 
 def _struct() -> str:

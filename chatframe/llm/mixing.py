@@ -160,18 +160,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Equal rows are told apart by counting them, on both sides of the join.
     """
-    same = Window.partitionBy("_id", "_text").orderBy("_id")
-    plan = mix_plan(docs, **options).filter("copies > 0").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_key").alias("_text"), "positions"
-    )
-    keyed = docs.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text": F.xxhash64("text")}
-    )
-    keys = ["_id", "_text", "_nth"]
+    keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("text_key")]
+    same = Window.partitionBy("id", "text_key").orderBy("id")
+    nth = F.row_number().over(same)
+    plan = mix_plan(docs, **options).filter("copies > 0").select(*keys, "positions").withColumn("nth", nth)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.xxhash64("text").alias("text_key"))
     return (
-        keyed.withColumn("_nth", F.row_number().over(same))
-        .join(plan.withColumn("_nth", F.row_number().over(same)), keys)
-        .select(*docs.columns, F.explode("positions").alias("_position"))
-        .orderBy("_position")
-        .drop("_position")
+        whole.select("doc", *keys).withColumn("nth", nth)
+        .join(plan, ["id", "text_key", "nth"])
+        .select("doc", F.explode("positions").alias("position"))
+        .orderBy("position")
+        .select("doc.*")
     )

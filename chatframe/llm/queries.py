@@ -11,6 +11,9 @@ from chatframe.llm import (
     decontamination, embeddings, language_model, lines, mixing, secrets, simhash, tokens, toxicity, warc,
 )
 from chatframe.llm.common import table
+from chatframe.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,5 +93,3 @@ QUERIES: dict[str, Query] = {
     "op9_embeddings": op9_embeddings,
     "op10_lines": op10_lines,
 }
-
-ORACLES: dict[str, str] = {}

@@ -130,21 +130,22 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segments: int
     best = stored(of_fp.join(of, "fp").groupBy("component").agg(F.min("best").alias("best")), "best")
     judged = stored(
         ranked.join(stored(of.join(best, "component").select("fp", "best"), "best-of"), "fp").select(
-            F.col("rank.none").alias("_none"), F.coalesce("rank.id", F.lit(0)).alias("_id"), F.col("text_key").alias("_text"),
+            F.col("rank.none").alias("none"), F.coalesce("rank.id", F.lit(0)).alias("id"), "text_key",
             (F.col("rank") == F.col("best")).alias("stays"), "n",
         ),
         "judged",
     )
-    keyed = docs.withColumns({
-        "_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_text": F.xxhash64("text")
-    })
-    same = ["_none", "_id", "_text"]
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("doc"), F.col("doc_id").isNull().alias("none"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("text_key"),
+    )
+    same = ["none", "id", "text_key"]
     left = keyed.join(stored(judged.filter("not stays").select(same), "left-out"), same, "left_anti")
     repeated = stored(judged.filter("stays and n > 1").select(same), "repeated")
     if not repeated.isEmpty():
         once = left.join(repeated, same, "left_semi").dropDuplicates(same)
-        left = left.join(repeated, same, "left_anti").union(once)
-    return left.select(docs.columns)
+        left = left.join(repeated, same, "left_anti").unionByName(once)
+    return left.select("doc.*")
 
 
 def hexadecimal(fp: str = "fp") -> Column:

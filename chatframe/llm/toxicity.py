@@ -215,10 +215,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, features:
     return Model({f: w for f, w in zip(names, fitted) if w}, fitted[-1])
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) of every document and a struct ``_toxicity``.
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, result: str = "_toxicity") -> DataFrame:
+    """The columns ``keep`` (all by default) of every document and a struct, ``result``.
 
-    ``_toxicity``: the score and the offending sentences as ``(start, end, score)``, in code
+    The struct: the score and the offending sentences as ``(start, end, score)``, in code
     points of the text.
     """
     keep = docs.columns if keep is None else keep
@@ -242,5 +242,5 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             )
 
     return df.mapInArrow(run, schema).select(
-        *(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), "_toxicity"
+        *(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("_toxicity").alias(result)
     )

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatframe.llm import decontamination, mixing, simhash, tokens, toxicity
-from chatframe.llm.common import stored, table
+from chatframe.llm.common import free_name, stored, table
 from chatframe.llm.queries import word_bpe
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below a half."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("_toxicity.score") < 0.5).drop("_toxicity")
+    name = free_name(docs, "_toxicity")
+    return toxicity.score(docs, model, result=name).filter(F.col(name)["score"] < 0.5).drop(name)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    scanned = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
-    return scanned.filter(F.size("_hits.starts") == 0).drop("_hits")
+    name = free_name(docs, "_hits")
+    scanned = decontamination.scan(docs, table(spark, sf_dir, "benchmark"), result=name)
+    return scanned.filter(F.size(F.col(name)["starts"]) == 0).drop(name)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
