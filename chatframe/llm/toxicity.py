@@ -102,7 +102,8 @@ def uneven_features(sample: DataFrame, limit: int, least: int = 5) -> list[str]:
         return []
     n1, n0 = totals["toxic"], totals["other"]
     share = (F.col("toxic") + F.col("other")) / (n1 + n0)
-    z = F.abs(F.col("toxic") / n1 - F.col("other") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    error = F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    z = F.abs(F.col("toxic") / n1 - F.col("other") / n0) / F.nullif(error, F.lit(0.0))
     best = counted.filter("feature <> ''").select("feature", z.alias("z")).filter("z > 0").orderBy(F.desc("z"), "feature")
     return [r["feature"] for r in best.limit(limit).collect()]
 
