@@ -76,21 +76,21 @@ def peaks(messages: DataFrame) -> DataFrame:
     return peak_hour.join(busiest, "chat_id")
 
 
-def _hour_number() -> Column:
-    """Hours since the epoch of a wall clock."""
-    return F.unix_date(F.to_date("datetime")) * 24 + F.hour("datetime")
+def _micros() -> Column:
+    """Microseconds of a wall clock since the epoch; the session time zone plays no part."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = (F.col("datetime") - epoch).cast("interval second").cast("decimal(18,6)")
+    return (seconds * 1_000_000).cast("long")
 
 
-def reply_gaps(messages: DataFrame) -> DataFrame:
-    """Messages that answer another sender, with the gap in seconds.
+def _replies(messages: DataFrame) -> DataFrame:
+    """``(chat_id, msg_seq, sender, previous_sender, gap)``; gap in microseconds.
 
-    A message is a reply when the message before it in the chat, ordered by
-    ``(datetime, msg_seq)``, has another sender and lies more than zero and at most
-    twelve hours back.  As a gap of zero never counts, only the first and the last
-    sender of every distinct timestamp matter.  The rows are reduced to those before
-    anything is ordered; the order is then taken within one chat and hour, and over
-    the hours of a chat for the first timestamp of each hour, so no task sorts a
-    whole chat.  Gaps are whole seconds, as transcripts have no finer clock.
+    As a gap of zero never counts, only the first and the last sender of every distinct
+    timestamp matter.  The rows are reduced to those before anything is ordered; the
+    order is then taken within one chat and minute, the last moment before a minute is
+    carried over, and the minutes of a chat are ordered within a day, the last minute
+    before a day carried over in turn.  So no task sorts a whole chat.
     """
     require_columns(messages, ("chat_id", "msg_seq", "datetime", "sender"))
     moments = (
@@ -99,54 +99,62 @@ def reply_gaps(messages: DataFrame) -> DataFrame:
             F.min(F.struct("msg_seq", "sender")).alias("first"),
             F.max(F.struct("msg_seq", "sender")).alias("last"),
         )
-        .select(
-            "chat_id", _hour_number().alias("_hour"), "datetime", "first",
-            F.col("last.sender").alias("last_sender"),
-        )
+        .select("chat_id", _micros().alias("at"), "first", F.col("last.sender").alias("last_sender"))
+        .withColumns({"minute": F.floor(F.col("at") / 60e6), "day": F.floor(F.col("at") / 86_400e6)})
     )
-    hour_ends = moments.groupBy("chat_id", "_hour").agg(
-        F.max(F.struct("datetime", "last_sender")).alias("_end")
-    )
-    over_hours = Window.partitionBy("chat_id").orderBy("_hour")
-    carried = (
-        hour_ends.withColumn("_previous", F.lag("_end").over(over_hours))
-        .filter(F.col("_previous").isNotNull())
-        .select(
-            "chat_id", "_hour", "_previous.datetime",
-            F.lit(None).cast("struct<msg_seq:bigint,sender:string>").alias("first"),
-            "_previous.last_sender",
+
+    def carried(df: DataFrame, period: str, *within: str) -> DataFrame:
+        """The last moment before each period, for the head of the period."""
+        order = Window.partitionBy("chat_id", *within).orderBy(period)
+        return (
+            df.withColumn("end", F.lag("end").over(order))
+            .filter(F.col("end").isNotNull())
+            .select("chat_id", *within, period, F.col("end.at").alias("at"), F.col("end.last_sender").alias("last_sender"))
         )
-    )
-    in_hour = Window.partitionBy("chat_id", "_hour").orderBy("datetime")
-    # a difference of wall clocks: the session time zone plays no part
-    between = F.col("datetime") - F.lag("datetime").over(in_hour)
-    gap = between.cast("interval second").cast("decimal(18,6)").cast("long")
+
+    end = F.max(F.struct("at", "last_sender")).alias("end")
+    minute_ends = moments.groupBy("chat_id", "day", "minute").agg(end)
+    day_ends = minute_ends.groupBy("chat_id", "day").agg(F.max("end").alias("end"))
+    first_minutes = minute_ends.groupBy("chat_id", "day").agg(F.min("minute").alias("minute"))
+    overnight = carried(day_ends, "day").join(first_minutes, ["chat_id", "day"])
+    heads = carried(minute_ends, "minute", "day").unionByName(overnight)
+    nobody = F.lit(None).cast("struct<msg_seq:bigint,sender:string>").alias("first")
+    in_minute = Window.partitionBy("chat_id", "minute").orderBy("at")
     return (
-        moments.unionByName(carried)
+        moments.unionByName(heads.select("chat_id", "at", nobody, "last_sender", "minute", "day"))
         .select(
-            "chat_id", "first",
-            F.lag("last_sender").over(in_hour).alias("previous_sender"),
-            gap.alias("gap_seconds"),
+            "chat_id", "first", F.lag("last_sender").over(in_minute).alias("previous_sender"),
+            (F.col("at") - F.lag("at").over(in_minute)).alias("gap"),
         )
         .filter(F.col("first").isNotNull())
-        .select("chat_id", "first.msg_seq", "first.sender", "previous_sender", "gap_seconds")
+        .select("chat_id", "first.msg_seq", "first.sender", "previous_sender", "gap")
         .filter(
             (F.col("sender") != F.col("previous_sender"))
-            & F.col("gap_seconds").between(1, MAX_REPLY_SECONDS)
+            & (F.col("gap") > 0) & (F.col("gap") <= MAX_REPLY_SECONDS * 1_000_000)
         )
     )
 
 
+def reply_gaps(messages: DataFrame) -> DataFrame:
+    """Messages that answer another sender, with the gap in seconds, exact to the microsecond.
+
+    A message is a reply when the message before it in the chat, ordered by
+    ``(datetime, msg_seq)``, has another sender and lies more than zero and at most
+    twelve hours back.
+    """
+    return _replies(messages).withColumn("gap_seconds", F.col("gap") / 1e6).drop("gap")
+
+
 def reply_times(messages: DataFrame) -> DataFrame:
     """Mean reply time per sender, in minutes (two decimals) and in seconds."""
-    mean = F.col("_seconds") / F.col("n_replies")
+    mean = F.col("_gaps") / F.col("n_replies")
     return (
-        reply_gaps(messages)
+        _replies(messages)
         .groupBy("chat_id", "sender")
-        .agg(F.sum("gap_seconds").alias("_seconds"), F.count("*").alias("n_replies"))
+        .agg(F.sum("gap").alias("_gaps"), F.count("*").alias("n_replies"))
         .select(
             "chat_id", "sender", "n_replies",
-            round_half_even(mean / 60, 2).alias("avg_minutes"),
-            round_half_even(mean, 2).alias("avg_seconds"),
+            round_half_even(mean / 6e7, 2).alias("avg_minutes"),
+            round_half_even(mean / 1e6, 2).alias("avg_seconds"),
         )
     )

@@ -13,6 +13,8 @@ from chatframe.schema import FOLDS, SEED, TEST_SHARE
 
 # The first three hex digits of the hash; a class has at most this many buckets.
 BUCKETS = 4096
+# Spark limits windows inside the tasks up to this rank.
+TASK_LIMIT = 1000
 
 
 def hash_order(purpose: str, seed: int = SEED) -> Column:
@@ -26,10 +28,15 @@ def ranked(
 
     The rows are counted per class and hash bucket; running totals of those counts
     (at most ``BUCKETS`` per class) say at which rank a bucket starts, so only rows
-    of one bucket are sorted together.  With ``limit``, buckets that start beyond it
-    are dropped before the shuffle.
+    of one bucket are sorted together.  With ``limit``, only that many rows per class
+    are wanted: up to ``TASK_LIMIT`` each task keeps its own first rows before the
+    shuffle (and there is no ``class_size``); beyond, buckets that start after the limit
+    are dropped.
     """
     order = hash_order(purpose, seed)
+    if limit is not None and limit <= TASK_LIMIT:
+        first = F.row_number().over(Window.partitionBy(label).orderBy(order))
+        return df.withColumn("rank", first).filter(F.col("rank") <= limit)
     hashed = df.withColumn("_hash", order).withColumn(
         "_bucket", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int")
     )

@@ -15,7 +15,7 @@ from chatframe.functions.text import (
 )
 from chatframe.operators.enrich import DEFAULT_LISTS, has_cleaned_text, is_text
 from chatframe.operators.training import MAX_FEATURES, SentimentModel
-from chatframe.schema import LABELS, MAX_LIVE_CHARS, NEUTRAL, require_columns
+from chatframe.schema import LABELS, NEUTRAL, require_columns
 
 
 def _with_scores(df: DataFrame, words: Column, model: SentimentModel) -> DataFrame:
@@ -80,15 +80,18 @@ def _best_label(model: SentimentModel) -> Column:
     return F.element_at(F.array(*map(F.lit, model.labels)), place.cast("int"))
 
 
-def check_texts(texts: DataFrame, text: str = "text", max_chars: int = MAX_LIVE_CHARS) -> DataFrame:
-    """Add ``error``: NULL for texts that a live call would accept."""
+def check_texts(texts: DataFrame, text: str = "text", max_chars: int | None = None) -> DataFrame:
+    """Add ``error``: NULL for texts that a live call would accept.
+
+    ``max_chars`` refuses longer texts, as a web form does with 500; there is no limit
+    by default.
+    """
     trimmed = strip(F.col(text))
-    return texts.withColumn(
-        "error",
-        F.when(F.col(text).isNull(), "No text provided.")
-        .when(trimmed == "", "Text is empty.")
-        .when(F.char_length(trimmed) > max_chars, f"Text too long (max {max_chars} characters)."),
-    )
+    # The error texts
+    error = F.when(F.col(text).isNull(), "No text provided.").when(trimmed == "", "Text is empty.")
+    if max_chars is not None:
+        error = error.when(F.char_length(trimmed) > max_chars, f"Text too long (max {max_chars} characters).")
+    return texts.withColumn("error", error)
 
 
 def predict_texts(

@@ -85,12 +85,16 @@ class ClassifierResult:
 # --- choosing rows -------------------------------------------------------------
 
 
-def run_modes(messages: DataFrame, *, model_exists: bool, force: bool = False) -> DataFrame:
-    """Per chat: too few text messages for a model, train one, or use the saved one."""
+def run_modes(
+    messages: DataFrame, *, model_exists: bool, force: bool = False,
+    min_messages: int = MIN_MESSAGES_FOR_MODEL,
+) -> DataFrame:
+    """Per chat: fewer text messages than ``min_messages`` (1: every chat with text gets a
+    model), train one, or use the saved one."""
     enough = "FULL" if force or not model_exists else "FAST"
     return messages.groupBy("chat_id").agg(F.count_if(is_text()).alias("text_messages")).withColumn(
         "mode",
-        F.when(F.col("text_messages") < MIN_MESSAGES_FOR_MODEL, "NO_ML").otherwise(enough),
+        F.when(F.col("text_messages") < min_messages, "NO_ML").otherwise(enough),
     )
 
 

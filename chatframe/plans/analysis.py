@@ -15,7 +15,7 @@ from chatframe.operators.training import (
     SAMPLES_PER_CLASS, ClassifierResult, run_modes, train_classifier, training_sample,
 )
 from chatframe.plans.store import stored
-from chatframe.schema import require_columns
+from chatframe.schema import MIN_MESSAGES_FOR_MODEL, require_columns
 from chatframe.sources.models import load_model, model_exists, model_metadata, save_model
 
 FEATURE_COLUMNS = (
@@ -140,6 +140,7 @@ def analyze(
     model_path: str | None = None,
     force_retrain: bool = False,
     samples_per_class: int = SAMPLES_PER_CLASS,
+    min_messages: int = MIN_MESSAGES_FOR_MODEL,
     lists: WordLists = DEFAULT_LISTS,
 ) -> Analysis:
     """Analyse ``(chat_id, msg_seq, datetime, sender, message)``.
@@ -152,7 +153,7 @@ def analyze(
     spark = messages.sparkSession
     scored = stored(scored_messages(messages, lists), "scored")
     saved = model_exists(spark, model_path)
-    modes = stored(run_modes(scored, model_exists=saved, force=force_retrain), "modes")
+    modes = stored(run_modes(scored, model_exists=saved, force=force_retrain, min_messages=min_messages), "modes")
     training = error = model = None
     if modes.filter("mode = 'FULL'").limit(1).count():
         try:

@@ -197,16 +197,22 @@ def report(scored: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def report_lines(rows: DataFrame) -> DataFrame:
+    """``(section, value)``: the report's rows as lines; names are padded, never cut."""
+
+    def padded(name: str, width: int) -> Column:
+        return F.when(F.char_length(name) < width, F.rpad(name, width, " ")).otherwise(F.col(name))
+
+    line = F.concat(
+        padded("chat_id", 20), F.lit("  "), padded("key", 35), F.lit(": "), F.coalesce("value", F.lit("–"))
+    )
+    return rows.select("section", line.alias("value"))
+
+
 def save_report(analysis: Analysis, path: str) -> None:
     """Write the report as text lines, one folder per section."""
     rows = report(analysis.messages, analysis.model_metadata)
-    line = F.concat_ws(
-        "", F.rpad("chat_id", 20, " "), F.lit("  "), F.rpad("key", 35, " "), F.lit(": "),
-        F.coalesce("value", F.lit("–")),
-    )
-    rows.select("section", line.alias("value")).write.mode("overwrite").partitionBy("section").text(
-        path
-    )
+    report_lines(rows).write.mode("overwrite").partitionBy("section").text(path)
 
 
 def save_dashboard(analysis: Analysis, path: str) -> None:

@@ -28,7 +28,6 @@ FOLDS = 5
 SEED = 42
 
 # Live scoring accepts texts up to this many characters.
-MAX_LIVE_CHARS = 500
 
 # Calendar names in calendar order.
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")

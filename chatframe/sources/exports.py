@@ -1,8 +1,8 @@
 """Exported chat transcripts: text in, message table out.
 
-Two readers feed the same steps.  ``read_texts`` takes one file per row and needs no
-shuffle.  ``read_lines`` splits files of any size into blocks of lines, so that one
-huge export is read by many tasks.
+``read_lines`` splits files of any size into blocks of lines, so that one huge export is
+read by many tasks.  The layout of a file is the one with most message starts in all of
+its lines.  ``split_texts`` takes texts that are rows of a table already.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ LAYOUTS = (
     ("ios 12-hour", r"\[" + DAY + r"(\d{1,2}:\d{2}:\d{2}\s?[aApP][mM])\]", "h:mm:ss a"),
 )
 DATE_ORDERS = {"dmy": "d/M/yyyy", "mdy": "M/d/yyyy"}
-SAMPLE_LINES = 30
 
-START, FIELD = "\u0001", "\u0002"
+START, FIELD, ESCAPE = "\u0001", "\u0002", "\u0003"
 
 
 def _regex(layout: int) -> str:
@@ -68,8 +67,22 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame
 # --- layout and message blocks ---------------------------------------------------------
 
 
-def _unmarked(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{START}{FIELD}]", "")
+#: What stands for the characters that are marks here, where a text has them.
+ESCAPED = ((ESCAPE, f"{ESCAPE}c"), (START, f"{ESCAPE}a"), (FIELD, f"{ESCAPE}b"))
+
+
+def _escaped(text: Column) -> Column:
+    out = text
+    for mark, code in ESCAPED:
+        out = F.replace(out, F.lit(mark), F.lit(code))
+    return F.when(F.regexp_like(text, F.lit(f"[{START}{FIELD}{ESCAPE}]")), out).otherwise(text)
+
+
+def _restored(text: Column) -> Column:
+    out = text
+    for mark, code in reversed(ESCAPED):
+        out = F.replace(out, F.lit(code), F.lit(mark))
+    return F.when(F.contains(text, F.lit(ESCAPE)), out).otherwise(text)
 
 
 def _best_layout(counts: list[Column]) -> Column:
@@ -95,7 +108,7 @@ def _block_columns(piece: Column) -> list[Column]:
     return [
         F.get(parts, F.lit(0)).alias("date_text"),
         F.get(parts, F.lit(1)).alias("time_text"),
-        strip(F.get(parts, F.lit(2))).alias("body"),
+        strip(_restored(F.get(parts, F.lit(2)))).alias("body"),
     ]
 
 
@@ -107,13 +120,11 @@ def split_texts(texts: DataFrame) -> DataFrame:
     line.  A text without any known timestamp gives one block without a layout.
     """
     require_columns(texts, ("chat_id", "raw_text"))
-    text = _unmarked(F.regexp_replace("raw_text", r"\r\n?", "\n"))
-    head = F.array_join(F.slice(F.split("_text", "\n"), 1, SAMPLE_LINES), "\n")
-    counts = [F.regexp_count("_head", F.lit(_regex(i))) for i in range(len(LAYOUTS))]
+    text = _escaped(F.regexp_replace("raw_text", r"\r\n?", "\n"))
+    counts = [F.regexp_count("_text", F.lit(_regex(i))) for i in range(len(LAYOUTS))]
     pieces = F.split(F.coalesce(_marked(F.col("_text"), F.col("layout")), F.lit("")), START)
     return (
         texts.select("chat_id", text.alias("_text"))
-        .withColumn("_head", head)
         .withColumn("layout", _best_layout(counts))
         .select("chat_id", "layout", F.posexplode(pieces).alias("pos", "piece"))
         .filter((F.col("pos") > 0) | F.col("layout").isNull())
@@ -124,12 +135,9 @@ def split_texts(texts: DataFrame) -> DataFrame:
     )
 
 
-def split_lines(lines: DataFrame, first_block: int | None = None) -> DataFrame:
+def split_lines(lines: DataFrame) -> DataFrame:
     """The same blocks from ``(chat_id, block, line_no, line)``.
 
-    ``first_block`` names the block that every chat starts with, when there is one: the
-    layout is then looked for in those blocks only.
-
     Lines are numbered within their block only; the number of message starts in the
     blocks before gives the message number in the chat, so a line at the head of a
     block finds the message it continues.  No task sees more than one block of lines
@@ -137,19 +145,12 @@ def split_lines(lines: DataFrame, first_block: int | None = None) -> DataFrame:
     """
     require_columns(lines, ("chat_id", "block", "line_no", "line"))
     rows = lines.select(
-        "chat_id", "block", "line_no", _unmarked(F.regexp_replace("line", "\r$", "")).alias("line")
+        "chat_id", "block", "line_no", _escaped(F.regexp_replace("line", "\r$", "")).alias("line")
     )
-    order = Window.partitionBy("chat_id").orderBy("block", "line_no")
     counts = [
         F.sum(F.regexp_count("line", F.lit(_regex(i)))) for i in range(len(LAYOUTS))
     ]
-    heads = rows if first_block is None else rows.filter(F.col("block") == first_block)
-    layouts = (
-        heads.withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= SAMPLE_LINES)
-        .groupBy("chat_id")
-        .agg(_best_layout(counts).alias("layout"))
-    )
+    layouts = rows.groupBy("chat_id").agg(_best_layout(counts).alias("layout"))
     pieces = F.split(F.coalesce(_marked(F.col("line"), F.col("layout")), F.lit("")), START)
     known = (
         rows.join(layouts, "chat_id")
@@ -298,18 +299,13 @@ def parse_texts(texts: DataFrame, date_order: str = "dmy") -> DataFrame:
     return messages_from(timed_blocks(split_texts(texts), date_order))
 
 
-def parse_lines(
-    lines: DataFrame, date_order: str = "dmy", first_block: int | None = None
-) -> DataFrame:
+def parse_lines(lines: DataFrame, date_order: str = "dmy") -> DataFrame:
     """``(chat_id, block, line_no, line)`` to the message table."""
-    return messages_from(timed_blocks(split_lines(lines, first_block), date_order))
+    return messages_from(timed_blocks(split_lines(lines), date_order))
 
 
 def parse_chats(
-    spark: SparkSession, path: str, *, glob: str = "*.txt", by_line: bool = False,
-    date_order: str = "dmy",
+    spark: SparkSession, path: str, *, glob: str = "*.txt", date_order: str = "dmy"
 ) -> DataFrame:
-    """Message table of all exports under ``path``; ``by_line`` for very large files."""
-    if by_line:
-        return parse_lines(read_lines(spark, path, glob), date_order, first_block=0)
-    return parse_texts(read_texts(spark, path, glob), date_order)
+    """Message table of all exports under ``path``, files of any size."""
+    return parse_lines(read_lines(spark, path, glob), date_order)

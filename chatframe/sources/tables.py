@@ -8,15 +8,13 @@ One chat (``team``) holds most rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
 
-from chatframe.sources.layout import spread_small
+from pyspark.sql import DataFrame, SparkSession
 
 CHAT_MESSAGES = """
 SELECT doc_id AS msg_seq, lang AS chat_id, source AS sender,
-       timestampadd(MINUTE, CAST((doc_id - doc_id % 4) * 211
-                                 + (doc_id % 4) * (doc_id % 3) AS INT),
-                    TIMESTAMP_NTZ '2024-01-01 00:00:00') AS datetime,
+       :minutes('2024-01-01', (doc_id - doc_id % 4) * 211 + (doc_id % 4) * (doc_id % 3)) AS datetime,
        concat(
          CASE doc_id % 5 WHEN 0 THEN 'I really love this, GREAT work!! '
                          WHEN 1 THEN 'This is not good, terrible. '
@@ -28,14 +26,13 @@ SELECT doc_id AS msg_seq, lang AS chat_id, source AS sender,
          CASE WHEN doc_id % 11 = 0 THEN ' 🔥😂 nice ❤️' ELSE '' END) AS message
 FROM documents
 UNION ALL
-SELECT conv_id * 100 + turn, 'support', role,
-       timestampadd(MINUTE, CAST(conv_id * 47 + turn * 2 AS INT),
-                    TIMESTAMP_NTZ '2024-02-01 08:00:00'),
+SELECT conv_id * 1000000 + turn, 'support', role,
+       :minutes('2024-02-01', 480 + conv_id * 47 + turn * 2),
        concat(trim(text), '.')
 FROM conversations
 UNION ALL
 SELECT event_id, 'team', concat('user', CAST(user_id AS STRING)),
-       CAST(date_trunc('SECOND', ts) AS TIMESTAMP_NTZ),
+       :wall_clock(ts),
        CASE WHEN value < 5 THEN 'This message was deleted'
             WHEN event_type = 'view' THEN '<Media omitted>'
             WHEN event_type = 'click' THEN 'ok'
@@ -47,12 +44,25 @@ FROM events
 """
 
 TABLES = ("documents", "conversations", "events")
+#: Minutes after a day start over after a hundred years, so that any id gives a timestamp.
+CENTURY = 36_525 * 1_440
+
+MINUTES = re.compile(r":minutes\('([^']*)', (.*)\)(?= AS datetime,|,$)", re.MULTILINE)
+
+
+def spark_sql() -> str:
+    """The statement with the two expressions that engines spell differently."""
+    sql = MINUTES.sub(
+        lambda m: f"TIMESTAMP_NTZ '{m[1]} 00:00:00' + make_dt_interval(CAST(pmod({m[2]}, {CENTURY}) DIV 1440 AS INT),"
+        f" 0, CAST(pmod({m[2]}, {CENTURY}) % 1440 AS INT))",
+        CHAT_MESSAGES,
+    )
+    return sql.replace(":wall_clock(ts)", "CAST(ts AS TIMESTAMP_NTZ)")
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(chat_id, msg_seq, datetime, sender, message)`` over the tables in ``sf_dir``."""
-    query = CHAT_MESSAGES
+    query = spark_sql()
     for name in TABLES:
         query = query.replace(f"FROM {name}", f"FROM parquet.`{sf_dir}/{name}.parquet`")
-    rows = spark.sql(query).select("chat_id", "msg_seq", "datetime", "sender", "message")
-    return spread_small(rows, "chat_id", "msg_seq")
+    return spark.sql(query).select("chat_id", "msg_seq", "datetime", "sender", "message")

@@ -22,20 +22,22 @@ WINDOWS = {"D": ("1 day", None), "W": ("7 days", "4 days")}
 
 
 def live_scores(
-    texts: DataFrame, model: SentimentModel, text: str = "text", lists: WordLists = DEFAULT_LISTS
+    texts: DataFrame, model: SentimentModel, text: str = "text", lists: WordLists = DEFAULT_LISTS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Validate and predict each text; rejected texts carry ``error`` and no label."""
-    scored = check_texts(predict_texts(texts, model, text, lists), text)
+    scored = check_texts(predict_texts(texts, model, text, lists), text, max_chars)
     names = ("label", "confidence", "prob_positive", "prob_neutral", "prob_negative")
     return scored.withColumns({n: F.when(F.col("error").isNull(), F.col(n)) for n in names})
 
 
 def start_live_scores(
-    texts: DataFrame, model: SentimentModel, path: str, checkpoint: str, text: str = "text"
+    texts: DataFrame, model: SentimentModel, path: str, checkpoint: str, text: str = "text",
+    max_chars: int | None = None,
 ) -> StreamingQuery:
     """Score everything that is there, then stop; run again for new texts."""
     return (
-        live_scores(texts, model, text)
+        live_scores(texts, model, text, max_chars=max_chars)
         .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)

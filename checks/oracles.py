@@ -196,11 +196,11 @@ JOIN (SELECT chat_id, day_name FROM messages GROUP BY chat_id, day_name
               ORDER BY count(*) DESC, any_value(isodow(datetime))) = 1) USING (chat_id)""",
         "messages",
     ),
-    "reply_gaps": statement("SELECT * FROM replies", "replies"),
+    "reply_gaps": statement("SELECT * EXCLUDE (gap) FROM replies", "replies"),
     "reply_times": statement(
         f"""
-SELECT chat_id, sender, count(*) AS n_replies, {rnd('sum(gap_seconds) / count(*) / 60', 2)} AS avg_minutes,
-       {rnd('sum(gap_seconds) / count(*)', 2)} AS avg_seconds
+SELECT chat_id, sender, count(*) AS n_replies, {rnd('sum(gap)::DOUBLE / count(*) / 6e7', 2)} AS avg_minutes,
+       {rnd('sum(gap)::DOUBLE / count(*) / 1e6', 2)} AS avg_seconds
 FROM replies GROUP BY ALL""",
         "replies",
     ),
@@ -253,7 +253,8 @@ FROM total t""",
 # --- parsing ---------------------------------------------------------------------------
 
 ORACLES["parsed_messages"] = statement(
-    "SELECT * REPLACE (row_number() OVER (PARTITION BY chat_id ORDER BY datetime, msg_seq) AS msg_seq)"
+    "SELECT * REPLACE (row_number() OVER (PARTITION BY chat_id ORDER BY datetime, msg_seq) AS msg_seq,"
+    " date_trunc('second', datetime) AS datetime)"
     " FROM messages",
     "messages",
 )
@@ -507,7 +508,7 @@ LEFT JOIN (SELECT chat_id, phrase AS top_bigram FROM bigrams
            QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY count DESC, phrase) = 1) b USING (chat_id)
 LEFT JOIN (SELECT chat_id, sender AS fastest_responder, m AS fastest_resp_mins
            FROM (SELECT chat_id, sender, """
-        + rnd("sum(gap_seconds) / count(*) / 60", 2)
+        + rnd("sum(gap)::DOUBLE / count(*) / 6e7", 2)
         + """ AS m FROM replies GROUP BY ALL)
            QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY m, sender) = 1) f USING (chat_id)""",
         "messages", "word_counts", "bigrams", "replies",
@@ -555,8 +556,7 @@ ORACLES |= {
     "live_scores": trained(
         f"""
 , texts AS (SELECT chat_id, msg_seq, regexp_replace(message, '^[{WS}]+|[{WS}]+$', '', 'g') AS t FROM chat_messages),
-checked AS (SELECT chat_id, msg_seq, CASE WHEN t = '' THEN 'Text is empty.'
-            WHEN length(t) > 500 THEN 'Text too long (max 500 characters).' END AS error FROM texts),
+checked AS (SELECT chat_id, msg_seq, CASE WHEN t = '' THEN 'Text is empty.' END AS error FROM texts),
 unskipped AS (
   SELECT chat_id, msg_seq, unnest(ws) AS word, generate_subscripts(ws, 1) AS idx
   FROM (SELECT chat_id, msg_seq, string_split(trim(regexp_replace(regexp_replace(regexp_replace(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from chatframe.functions import lexicon as lx
 from chatframe.functions import text as tx
 from chatframe.functions.lists import WordLists
-from chatframe.sources.tables import CHAT_MESSAGES
+from chatframe.sources.tables import CENTURY, CHAT_MESSAGES, MINUTES
 
 LISTS = WordLists()
 
@@ -53,21 +53,11 @@ def label(expr: str) -> str:
 
 
 def duck_messages() -> str:
-    """The Spark view text with the three spellings that differ."""
-    sql = CHAT_MESSAGES
-    for part, start in (("CAST((doc_id", "2024-01-01 00:00:00"), ("CAST(conv_id", "2024-02-01 08:00:00")):
-        head = sql.index("timestampadd(MINUTE, " + part)
-        tail = sql.index(f"TIMESTAMP_NTZ '{start}')", head)
-        minutes = sql[head + len("timestampadd(MINUTE, "):tail].rstrip().rstrip(",")
-        minutes = minutes.replace("AS INT)", "AS BIGINT)")
-        sql = (
-            sql[:head]
-            + f"TIMESTAMP '{start}' + to_minutes({minutes})"
-            + sql[tail + len(f"TIMESTAMP_NTZ '{start}')"):]
-        )
-    return sql.replace(
-        "CAST(date_trunc('SECOND', ts) AS TIMESTAMP_NTZ)", "date_trunc('second', ts)::TIMESTAMP"
+    """The Spark view text with the two expressions that differ."""
+    sql = MINUTES.sub(
+        lambda m: f"TIMESTAMP '{m[1]} 00:00:00' + to_minutes((({m[2]}) % {CENTURY})::BIGINT)", CHAT_MESSAGES
     )
+    return sql.replace(":wall_clock(ts)", "ts::TIMESTAMP")
 
 
 def _step(v: str, d: int) -> str:
@@ -307,11 +297,11 @@ WHERE phrase IS NOT NULL GROUP BY ALL""",
     ),
     "replies": (
         """
-SELECT chat_id, msg_seq, sender, previous_sender, gap AS gap_seconds
+SELECT chat_id, msg_seq, sender, previous_sender, gap, gap / 1e6::DOUBLE AS gap_seconds
 FROM (SELECT chat_id, msg_seq, sender, lag(sender) OVER w AS previous_sender,
-             date_diff('second', lag(datetime) OVER w, datetime) AS gap
+             epoch_us(datetime) - lag(epoch_us(datetime)) OVER w AS gap
       FROM messages WINDOW w AS (PARTITION BY chat_id ORDER BY datetime, msg_seq))
-WHERE sender <> previous_sender AND gap > 0 AND gap <= 43200""",
+WHERE sender <> previous_sender AND gap > 0 AND gap <= 43200000000""",
         ("messages",),
     ),
 }

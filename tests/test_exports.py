@@ -124,10 +124,33 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text(THREE, encoding="utf-8")
     (tmp_path / "b.txt").write_bytes("[23/01/2024, 10:45:30 AM] Zoë: né\r\nça".encode("latin-1"))
     (tmp_path / "skip.csv").write_text(THREE)
-    for by_line in (False, True):
-        got = rows(ex.parse_chats(spark, str(tmp_path), by_line=by_line))
-        found = {k.rsplit("/", 1)[1]: [(r["sender"], r["message"]) for r in v] for k, v in got.items()}
-        assert found == {
-            "a.txt": [("Bob", "hi\nsecond\n\nfourth"), ("Al", "a: b")],
-            "b.txt": [("Zoë", "né\nça")],
-        }
+    got = rows(ex.parse_chats(spark, str(tmp_path)))
+    found = {k.rsplit("/", 1)[1]: [(r["sender"], r["message"]) for r in v] for k, v in got.items()}
+    assert found == {
+        "a.txt": [("Bob", "hi\nsecond\n\nfourth"), ("Al", "a: b")],
+        "b.txt": [("Zoë", "né\nça")],
+    }
+
+
+def test_a_preamble_and_the_split_size_change_nothing(spark, tmp_path):
+    lines = [f"note {i}" for i in range(40)]
+    lines += [f"23/01/2024, {i // 60 % 24:02d}:{i % 60:02d} - A{i % 3}: text {i}" for i in range(200)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    key, found = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(key)
+    try:
+        for size in ("200", "4096", "134217728"):
+            spark.conf.set(key, size)
+            got = ex.parse_chats(spark, str(tmp_path)).orderBy("msg_seq").collect()
+            found.append([(r["msg_seq"], r["sender"], r["message"]) for r in got])
+    finally:
+        spark.conf.set(key, before)
+    assert found[0] == found[1] == found[2] == [(i + 1, f"A{i % 3}", f"text {i}") for i in range(200)]
+
+
+def test_control_characters_stay(spark):
+    text = "a\u0001b\u0002c\u0003d\u0003a\u0001"
+    texts = spark.createDataFrame([("x", f"23/01/2024, 22:45 - Bob: {text}")], "chat_id string, raw_text string")
+    assert ex.parse_texts(texts).first()["message"] == text
+    lines = texts.selectExpr("chat_id", "0L as block", "0L as line_no", "raw_text as line")
+    assert ex.parse_lines(lines).first()["message"] == text

@@ -138,6 +138,8 @@ def test_reply_gaps(spark):
     sec = dt.timedelta(seconds=1)
     assert gaps(spark, (AT, "a"), (AT + 43200 * sec, "b")) == [(1, "b", 43200)]
     assert gaps(spark, (AT, "a"), (AT + 43201 * sec, "b")) == []
+    assert gaps(spark, (AT, "a"), (AT + 43200.4 * sec, "b")) == []
+    assert gaps(spark, (AT, "a"), (AT + 0.5 * sec, "b")) == [(1, "b", 0.5)]
     assert gaps(spark, (AT, "a"), (AT, "b")) == []
     # equal times: the last of them is the one answered, the first of the next answers
     assert gaps(spark, (AT, "a"), (AT, "b"), (AT + sec, "b"), (AT + sec, "a")) == []
@@ -158,7 +160,7 @@ def test_reply_gaps_against_brute_force(spark):
         for before, now in zip(ordered, ordered[1:]):
             gap = (now[2] - before[2]).total_seconds()
             if now[3] != before[3] and 0 < gap <= 43200:
-                want.append((chat, now[1], now[3], int(gap)))
+                want.append((chat, now[1], now[3], gap))
     df = spark.createDataFrame(rows, COLUMNS).repartition(5)
     got = [tuple(r) for r in activity.reply_gaps(df).select("chat_id", "msg_seq", "sender", "gap_seconds").collect()]
     assert sorted(got) == sorted(want) and want
