@@ -76,7 +76,7 @@ def valence_at(i: Column, tokens: Column, low: Column, mixed: Column, lists: Wor
 
     def step(v: Column, d: Column) -> Column:
         prev = before(d)
-        delta = F.coalesce(lookup(prev, lists.boosters), F.lit(0.0))
+        delta = F.coalesce(lookup(prev, lists.boosters, "double"), F.lit(0.0))
         shout = F.when(
             (delta != 0) & mixed & is_upper(F.get(tokens, i - d)),
             F.when(v > 0, CAPS_BOOST).otherwise(-CAPS_BOOST),
@@ -95,7 +95,7 @@ def valence_at(i: Column, tokens: Column, low: Column, mixed: Column, lists: Wor
             (v + signed * weight) * factor
         )
 
-    base = lookup(F.get(low, i), lexicon)
+    base = lookup(F.get(low, i), lexicon, "double")
     caps = F.when(mixed & is_upper(F.get(tokens, i)), F.signum(base) * CAPS_BOOST).otherwise(0.0)
     value = F.aggregate(F.array(*map(F.lit, (1, 2, 3))), base + caps, step)
     least = (before(F.lit(1)) == "least") & ~F.lit("least" in lexicon)
@@ -185,8 +185,8 @@ def subjective_terms(words: Column, lists: WordLists) -> Column:
         return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
 
     def term(i: Column) -> Column:
-        entry = lookup(F.get(words, i), table)
-        strength = F.coalesce(lookup(before(i, 1), intensifiers), F.lit(1.0))
+        entry = lookup(F.get(words, i), table, "array<double>")
+        strength = F.coalesce(lookup(before(i, 1), intensifiers, "double"), F.lit(1.0))
         negated = before(i, 1).isin(*SUBJECTIVITY_NEGATIONS) | (
             is_in(before(i, 1), intensifiers) & before(i, 2).isin(*SUBJECTIVITY_NEGATIONS)
         )

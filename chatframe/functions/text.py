@@ -97,6 +97,9 @@ def letter_words(message: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(low, "[^a-z]+", " ")), " ")
 
 
+SET_WORDS = 1_000
+
+
 def _bucketed(words: Iterable[str]) -> tuple[list[list[str]], int]:
     ordered = sorted(words)
     size = 2 * len(ordered)
@@ -119,23 +122,25 @@ def _sql_type(value: object) -> str:
 def is_in(key: Column, words: Iterable[str]) -> Column:
     """Membership in a word list; false for a NULL key.
 
-    The list becomes an array of small arrays, addressed by a checksum of the word:
+    Lists of up to ``SET_WORDS`` words are a set that the engine builds.  A longer list
+    would be as many expressions in the plan; it becomes an array of small arrays, addressed by a checksum of the word:
     the cost per word does not depend on the length of the list.  It is one constant
     in the plan.  Arrays, other than maps, compare by value there, so that equal
     branches of a plan share their shuffle.
     """
+    words = list(words)
+    if len(words) <= SET_WORDS:
+        return F.coalesce(key.isin(sorted(words)), F.lit(False)) if words else F.lit(False)
     buckets, size = _bucketed(words)
-    if not size:
-        return F.lit(False)
     bucket = F.get(_constant(buckets, "array<array<string>>"), (F.crc32(key) % size).cast("int"))
     return F.coalesce(F.array_contains(bucket, key), F.lit(False))
 
 
-def lookup(key: Column, table: Mapping[str, object]) -> Column:
-    """``table[key]`` or NULL, found like :func:`is_in`."""
+def lookup(key: Column, table: Mapping[str, object], empty: str = "string") -> Column:
+    """``table[key]`` or NULL; ``empty``: the type of the values of an empty table."""
     buckets, size = _bucketed(table)
     if not size:
-        return F.lit(None)
+        return F.lit(None).cast(empty)
     values = [[table[word] for word in bucket] for bucket in buckets]
     at = (F.crc32(key) % size).cast("int")
     bucket = F.get(_constant(buckets, "array<array<string>>"), at)

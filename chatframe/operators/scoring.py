@@ -31,7 +31,7 @@ def _with_scores(df: DataFrame, words: Column, model: SentimentModel) -> DataFra
         return F.get(ends, j) - F.coalesce(F.get(ends, j - 1), F.lit(-1))
 
     def weigh(e: Column, j: Column) -> Column:
-        entry = lookup(F.get(known, e), model.terms)
+        entry = lookup(F.get(known, e), model.terms, "array<double>")
         return F.transform(
             entry, lambda x, i: F.when(i == 0, (1 + F.ln(count_at(j))) * x).otherwise(x)
         )

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -304,22 +304,26 @@ def cross_validation(scores: DataFrame) -> DataFrame:
 # --- logistic regression -------------------------------------------------------------
 
 
-@F.udf(VectorUDT())
-def _sparse(size, entries):
-    """Pack the (position, weight) pairs of one message for MLlib."""
-    return Vectors.sparse(size, sorted((p - 1, w) for p, w in entries))
-
-
 def regression_rows(weighted: DataFrame, runs: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
-    """One vector per run and message; a message has at most ``size`` entries."""
+    """One vector per run and message; a message has at most ``size`` entries.
+
+    The vectors are written as the structs they consist of and read back as vectors.
+    """
     packed = weighted.groupBy("run", *KEY).agg(
-        F.collect_list(F.struct("position", "weight")).alias("entries")
+        F.array_sort(F.collect_list(F.struct("position", "weight"))).alias("entries")
     )
     empty = F.array().cast("array<struct<position:int,weight:double>>")
-    return runs.join(packed, ["run", *KEY], "left").select(
-        "run", "part", *KEY, "sentiment_label",
-        _sparse(F.lit(size), F.coalesce("entries", empty)).alias("features"),
+    entries = F.coalesce("entries", empty)
+    vector = F.struct(
+        F.lit(0).cast("byte").alias("type"),  # sparse
+        F.lit(size).alias("size"),
+        F.transform(entries, lambda e: (e["position"] - 1).cast("int")).alias("indices"),
+        F.transform(entries, lambda e: e["weight"]).alias("values"),
+    )
+    rows = runs.join(packed, ["run", *KEY], "left").select(
+        "run", "part", *KEY, "sentiment_label", vector.alias("features")
     )
+    return stored(rows, "training-vectors", {"features": VectorUDT()})
 
 
 def fit_regression(train: DataFrame, labels: list[str]):
@@ -398,7 +402,7 @@ def train_classifier(rows: DataFrame) -> ClassifierResult:
     labels = sorted(distribution)
     weights = naive_bayes_weights(weighted, runs, vocab)
     bayes = naive_bayes_predictions(weighted, runs, weights)
-    vectors = stored(regression_rows(weighted, runs), "training-vectors")
+    vectors = regression_rows(weighted, runs)
     training_parts = [
         vectors.filter((F.col("run") == run) & (F.col("part") == "train"))
         for run in range(FOLDS + 1)

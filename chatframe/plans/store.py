@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,9 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back."""
+def stored(df: DataFrame, name: str, types: dict[str, DataType] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    ``types`` names columns to read as another type that is stored in the same way.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fields = [StructField(f.name, (types or {}).get(f.name, f.dataType), f.nullable) for f in df.schema.fields]
+    return spark.read.schema(StructType(fields)).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,10 +70,6 @@ def model_metadata(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], METADATA_SCHEMA)
 
 
-def metadata_json(result: ClassifierResult) -> str:
-    return json.dumps(result.metadata(), indent=2)
-
-
 def metadata_rows(metadata: DataFrame) -> DataFrame:
     """``(key, value)`` of the one metadata row, for reports."""
     names = metadata.columns

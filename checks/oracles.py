@@ -260,11 +260,21 @@ ORACLES["parsed_messages"] = statement(
 )
 ORACLES["parse_report"] = statement(
     """
-SELECT chat_id, CASE chat_id WHEN 'de' THEN 'android 12-hour' WHEN 'team' THEN 'ios 12-hour'
-                             ELSE 'android 24-hour' END AS layout,
-       count(*) AS message_blocks, 0::BIGINT AS bad_timestamps, 0::BIGINT AS system_notices, count(*) AS parsed_messages,
-       count(DISTINCT sender) AS senders, min(date) AS date_start, max(date) AS date_end, 'ok' AS status
-FROM messages GROUP BY chat_id""",
+, hours AS (
+  SELECT count(DISTINCT h) FILTER (h % 3 = 0) AS notices, count(DISTINCT h) FILTER (h % 5 = 0) AS unread
+  FROM (SELECT floor(epoch(datetime) / 3600)::BIGINT AS h FROM messages WHERE chat_id = 'fr')),
+chats AS (
+  SELECT chat_id, CASE chat_id WHEN 'de' THEN 'android 12-hour' WHEN 'team' THEN 'ios 12-hour'
+                               ELSE 'android 24-hour' END AS layout,
+         CASE WHEN chat_id = 'fr' THEN (SELECT unread FROM hours) ELSE 0 END AS bad_timestamps,
+         CASE WHEN chat_id = 'fr' THEN (SELECT notices FROM hours) ELSE 0 END AS system_notices,
+         count(*) AS parsed_messages, count(DISTINCT sender) AS senders, min(date) AS date_start, max(date) AS date_end
+  FROM messages GROUP BY chat_id)
+SELECT chat_id, layout, parsed_messages + bad_timestamps + system_notices AS message_blocks, bad_timestamps,
+       system_notices, parsed_messages, senders, date_start, date_end, 'ok' AS status
+FROM chats
+UNION ALL SELECT 'yy', 'android 24-hour', 1, 1, 0, 0, 0, NULL, NULL, 'empty'
+UNION ALL SELECT 'zz', NULL, 0, 0, 0, 0, 0, NULL, NULL, 'unsupported'""",
     "messages",
 )
 
@@ -647,3 +657,12 @@ ORACLES["written_report"] = "\nUNION ALL\n".join(
         ),
     ]
 )
+
+
+ORACLES["report_lines"] = wrapped(
+    "written_report",
+    """
+SELECT section, CASE WHEN length(chat_id) < 20 THEN rpad(chat_id, 20, ' ') ELSE chat_id END || '  '
+       || CASE WHEN length(key) < 35 THEN rpad(key, 35, ' ') ELSE key END || ': ' || coalesce(value, '–') AS value
+FROM inner_result""",
+)

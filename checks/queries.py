@@ -121,8 +121,22 @@ def exported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("chat_id", "block", F.row_number().over(in_block).cast("long").alias("line_no"), "line")
 
 
-def parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported lines, and in one chat a notice after every third block and a time that
+    can't be read after every fifth; a chat of such a time alone; a chat without any layout."""
     lines = exported_lines(spark, sf_dir)
+    ends = lines.filter("chat_id = 'fr'").groupBy("chat_id", "block").agg(F.max("line_no").alias("last"))
+    notice, unread = "1/1/2024, 10:00 - Someone joined", "99/99/2024, 10:00 - A: x"
+    alone = spark.createDataFrame([("yy", 0, 1, unread), ("zz", 0, 1, "no times here")], lines.schema)
+    return (
+        lines.union(ends.filter("block % 3 = 0").select("chat_id", "block", F.col("last") + 1, F.lit(notice)))
+        .union(ends.filter("block % 5 = 0").select("chat_id", "block", F.col("last") + 2, F.lit(unread)))
+        .union(alone)
+    )
+
+
+def parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = odd_lines(spark, sf_dir)
     return exports.parse_report(exports.timed_blocks(exports.split_lines(lines)))
 
 
@@ -263,5 +277,6 @@ QUERIES |= {
     "sender_split_feed": over(scored, outputs.sender_split_feed),
     "detailed_results": over(scored_once, outputs.detailed_results),
     "written_report": over(scored_once, outputs.report),
+    "report_lines": over(scored_once, lambda df: outputs.report_lines(outputs.report(df))),
     "dashboard": over(scored_once, outputs.dashboard),
 }
