@@ -349,7 +349,7 @@ def test_embedding_links(spark):
     as_float = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v, _ in rows]
     want = ordered(plain.cosine_links(as_float))
     for block in (1_024, 4):  # whole keys, keys in blocks
-        got = embeddings.near_duplicates(vectors, segments=2, radius=8, block=block)
+        got = embeddings.near_duplicates(vectors, segments=4, radius=8, block=block)
         assert ordered(got.collect()) == want
     assert embeddings.near_duplicates(vectors.filter("false")).count() == 0
 
