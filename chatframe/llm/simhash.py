@@ -68,6 +68,8 @@ def distance(a: Column, b: Column) -> Column:
 
 def links(fps: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFrame:
     """Pairs ``(a, b)`` of different fingerprints within ``max_bits``, from distinct ``fp``."""
+    if segments < 2:
+        raise ValueError("a segment has to be shorter than the fingerprint")
     radii = [(max_bits + 1 + i) // segments - 1 for i in range(segments)][::-1]
     cut = [(i, *s) for i, (s, r) in enumerate(zip(split_ball(64, [max(r, 0) for r in radii]), radii)) if r >= 0]
 
