@@ -17,7 +17,7 @@ and the lengths of pieces and matches add up to their places.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatframe.llm.common import stored
@@ -31,56 +31,65 @@ KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24
 RUNS = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 #: Bare values: runs of at least 16 characters of values, with a digit and a letter.
 BARE = r"[A-Za-z0-9+/_=-]{16,}"
-SPANS = "array<struct<start:int,rank:int,kind:string,end:int,hash:string>>"
+PIECES = "array<struct<before:int,size:int,hash:string>>"
 
 
-def matches(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
-    """Spans of the matches whose ``group`` has at least ``least`` characters, with its hash."""
-    rlike = F.regexp_like(text, F.lit(pattern))
+def matches(text: Column, pattern: str, group: int, least: int) -> Column:
+    """The matches in order: characters since the match before, length, hash of the value.
+
+    Values of ``group`` with fewer than ``least`` characters have no hash.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("before"), whole.alias("match"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["before"])
-        end = begin + F.length(x["match"])
-        span = F.struct(
-            begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"),
-            F.sha2(x["value"], 256).alias("hash"),
-        )
-        kept = F.when(F.length(x["value"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(F.coalesce(end, state["at"]).alias("at"), F.coalesce(kept, state["spans"]).alias("spans"))
-
-    return F.when(rlike, F.aggregate(zipped, start, add)["spans"]).otherwise(F.array().cast(SPANS))
+    zipped = F.arrays_zip(
+        F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("before"), whole.alias("match"), values.alias("value")
+    )
+    pieces = F.transform(
+        zipped,
+        lambda x: F.struct(
+            F.length(x["before"]).alias("before"), F.length(x["match"]).alias("size"),
+            F.when(F.length(x["value"]) >= least, F.sha2(x["value"], 256)).alias("hash"),
+        ),
+    )
+    return F.when(F.regexp_like(text, F.lit(pattern)), pieces).otherwise(F.array().cast(PIECES))
 
 
 def found(docs: DataFrame, owner: str, repository: Column) -> DataFrame:
-    """``(row, doc_id, owner, repository, base, bare)``; base and bare: arrays of spans.
+    """``(row, doc_id, owner, repository, pieces)``; pieces: the matches of each kind.
 
     Stored, so that the texts are read once and ``row`` stays the same for all that follows.
     """
     text = F.coalesce("text", F.lit(""))
-    spans = {
-        kind: matches(text, RUNS.get(kind, pattern), group, least, kind, rank)
-        for rank, (kind, pattern, group, least) in enumerate(KINDS)
-    }
-    bare = matches(text, BARE, 0, 16, "known", len(KINDS))
+    pieces = [matches(text, RUNS.get(kind, pattern), group, least) for kind, pattern, group, least in KINDS]
     return stored(
         docs.select(
             F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col(owner).cast("string").alias("owner"),
-            repository.cast("string").alias("repository"),
-            F.array_sort(F.concat(*spans.values())).alias("base"), bare.alias("bare"),
+            repository.cast("string").alias("repository"), F.array(*pieces, matches(text, BARE, 0, 16)).alias("pieces"),
         ),
         "secrets",
     )
 
 
-def ownership(rows: DataFrame) -> DataFrame:
-    """``(hash, rows, owners, repositories)`` of every value in a base span of the corpus."""
-    pairs = rows.select("owner", "repository", F.explode("base").alias("span")).groupBy(
-        F.col("span.hash").alias("hash"), "owner", "repository"
-    ).agg(F.count("*").alias("n"))
+def placed(rows: DataFrame) -> DataFrame:
+    """``(row, owner, repository, rank, start, end, hash)``: running sums of pieces are places."""
+    kinds = rows.filter(F.exists("pieces", lambda p: F.size(p) > 0)).select(
+        "row", "owner", "repository", F.posexplode("pieces").alias("rank", "kind")
+    )
+    each = kinds.select("row", "owner", "repository", "rank", F.posexplode("kind").alias("nth", "piece"))
+    so_far = Window.partitionBy("row", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("piece.before") + F.col("piece.size")).over(so_far)
+    return stored(
+        each.withColumn("end", end).filter(F.col("piece.hash").isNotNull()).select(
+            "row", "owner", "repository", "rank", (F.col("end") - F.col("piece.size")).alias("start"), "end",
+            F.col("piece.hash").alias("hash"),
+        ),
+        "spans",
+    )
+
+
+def ownership(spans: DataFrame) -> DataFrame:
+    """``(hash, occurrences, owners, repositories)`` of every value in a base span of the corpus."""
+    pairs = spans.filter(F.col("rank") < len(KINDS)).groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
     per_owner = pairs.groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repositories"))
     return per_owner.groupBy("hash").agg(
         F.sum("n").alias("occurrences"), F.count("*").alias("owners"), F.sum("repositories").alias("repositories")
@@ -98,25 +107,25 @@ def scan(
     """
     repository = F.concat_ws("/", owner, "lang") if repository is None else repository
     rows = found(docs, owner, repository)
-    values = stored(ownership(rows).select("hash", (F.col("owners") <= live_owners).alias("live")), "ownership")
-    spans = stored(
-        rows.filter("size(base) > 0 or size(bare) > 0").select(
-            "row", F.explode(F.concat("base", "bare")).alias("span")
-        ).select("row", "span", F.col("span.hash").alias("hash")),
-        "spans",
-    )
-    judged = stored(spans.join(values, "hash").select("row", "span", "live"), "judged")
-    known = F.col("span.kind") == "known"
-    status = judged.groupBy("row").agg(
-        F.count_if(~known & F.col("live")).alias("n_live"), F.count_if(~known & ~F.col("live")).alias("n_copied"),
-        F.collect_list(F.when(known & F.col("live"), F.col("span"))).alias("known"),
-    )
-    outside = F.filter(
-        F.coalesce("known", F.array().cast(SPANS)),
-        lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+    spans = placed(rows)
+    values = stored(ownership(spans).select("hash", (F.col("owners") <= live_owners).alias("live")), "ownership")
+    judged = stored(spans.join(values, "hash").select("row", "rank", "start", "end", "live"), "judged")
+    base = F.col("rank") < len(KINDS)
+    in_text = Window.partitionBy("row").orderBy("start")
+    covered = F.max(F.when(base, F.col("end"))).over(in_text.rangeBetween(Window.unboundedPreceding, 0)) > F.col("start")
+    meets = F.min(F.when(base, F.col("start"))).over(in_text.rangeBetween(0, Window.unboundedFollowing)) < F.col("end")
+    outside = ~F.coalesce(covered, F.lit(False)) & ~F.coalesce(meets, F.lit(False))
+    kind = F.element_at(F.array(*(F.lit(k) for k, *_ in KINDS), F.lit("known")), F.col("rank") + 1)
+    span = F.struct("start", "rank", kind.alias("kind"), "end")
+    status = (
+        judged.withColumn("stays", base | (F.col("live") & outside)).filter("stays").groupBy("row").agg(
+            F.count_if(base & F.col("live")).alias("n_live"), F.count_if(base & ~F.col("live")).alias("n_copied"),
+            F.array_sort(F.collect_list(F.when(base, span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"),
+        )
     )
+    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     return rows.join(status, "row", "left").select(
-        "doc_id", "base", F.array_sort(F.concat("base", outside)).alias("spans"),
+        "doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
     )
 
