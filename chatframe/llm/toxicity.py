@@ -9,8 +9,8 @@ half are returned as the offending ones.
 A word weighs the sum over its features: the word and its beginnings of 3 to 6 letters.
 Features are chosen by how unevenly they occur in toxic and other documents.
 
-The model is fitted on at most ``sample_rows`` labelled documents, half of them of each
-label, the first in order of a hash of the id; weights make up for the sampling.  Scoring
+The model is fitted on about ``sample_rows`` labelled documents at most, half of them of each
+label, chosen by a hash of the id; weights make up for the sampling.  Scoring
 covers every document, with its whole text.
 
 Null and empty texts have no sentence and the score 0; a null or unknown label is none; if
@@ -27,7 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatframe.llm.common import stored
@@ -57,9 +57,12 @@ def sampled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
         "labels",
     )
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
     each = sample_rows // 2
-    chosen = stored(known.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each).drop("nth"), "chosen")
+    share = F.lit(0.0)
+    for y, n in sizes.items():
+        share = F.when(F.col("y") == y, each / n).otherwise(share)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    chosen = stored(known.filter(place < share), "chosen")
     weight = F.when(F.col("y") == 1, max(1.0, sizes.get(1, 0) / each)).otherwise(max(1.0, sizes.get(0, 0) / each))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("weight", weight)
 
