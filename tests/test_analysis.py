@@ -101,13 +101,15 @@ def test_stream_equals_batch(spark, run, tmp_path):
     df = spark.createDataFrame(texts, "id int, text string")
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    start_live_scores(stream, model, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    start_live_scores(stream, model, str(tmp_path / "out"), str(tmp_path / "cp"), max_chars=500).awaitTermination()
     got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect()))
-    want = live_scores(df, model).collect()
+    want = live_scores(df, model, max_chars=500).collect()
     assert got == sorted(map(str, want))
     errors = {r["id"]: r["error"] for r in want}
     assert errors[8] == "Text is empty." and errors[9].startswith("Text too long")
     assert errors[10] == "No text provided." and errors[0] is None
+    long = live_scores(df, model).filter("id = 9").first()  # no limit unless one is given
+    assert long["error"] is None and long["label"] is not None
     both = predict_texts(df, model).filter("id < 8").collect()
     assert all(abs(r["prob_positive"] + r["prob_negative"] - 1) < 1e-3 for r in both)
 
