@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from chatframe.plans.store import shared_folder, stored
 
 __all__ = [
-    "components", "free_name", "fresh_folder", "groups_of", "running_sums",
+    "arrow_batches", "components", "free_name", "fresh_folder", "groups_of", "running_sums",
     "shuffle_partitions", "split_ball", "stored", "table",
 ]
 
@@ -38,6 +39,18 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str):
+    """Arrow batches of about ``size`` in the jobs that run inside, where tasks need the memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Add, for each name, the sum of its column over all earlier rows in ``order``.
 
