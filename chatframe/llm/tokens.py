@@ -205,7 +205,7 @@ class Encoder:
 
     def piece(self, piece: bytes) -> bytes:
         word = piece.rstrip(_MARKS)
-        if word != piece and word in self.known:
+        if word[-1:].isalnum() and word != piece and word in self.known:  # other ends run on into the marks
             return self.known[word] + self.ids_of(piece[len(word) :].decode())
         text = word.decode().lower()
         if not _PLAIN.fullmatch(text):
@@ -229,7 +229,7 @@ class Encoder:
             if p not in known:
                 (known if len(p) <= 64 else once)[p] = self.piece(p)
         if once:
-            return np.frombuffer(b"".join([once.get(p) or known[p] for p in pieces]), "<u4")
+            return np.frombuffer(b"".join([once[p] if p in once else known[p] for p in pieces]), "<u4")
         return np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
 
 

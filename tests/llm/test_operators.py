@@ -199,6 +199,16 @@ def test_other_tokenizers_get_whole_texts():
         assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_cached_pieces_give_what_the_tokenizer_says():
+    """Whatever came before: marks that run on into others, blanks that only the tokenizer drops."""
+    encoder = tokens.Encoder(word_bpe(), 1_000)
+    ends = ("”", "»", "…", "\U0001f602", "—", "°", "é", "t", "1", "\u0301", "\u200d")
+    words = [f"hello{end}" for end in ends]
+    blank = "\xa0" * 40  # a piece of more than 64 bytes without ids
+    for text in (*words, *(w + marks for w in words for marks in (".", "!", "',")), blank, f"a {blank} b", "b" * 70, ""):
+        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 # --- 5 ------------------------------------------------------------------------------------
 
 
