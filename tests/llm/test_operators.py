@@ -374,6 +374,23 @@ def test_embedding_recall(spark):
     assert sum(got.values()) >= 0.9 * links.sum()
 
 
+def test_embedding_recall_at_the_threshold(spark, tmp_path):
+    """Planted pairs with cosines over 0.90 to 0.95, in every hundredth, with the query's settings."""
+    rng = np.random.default_rng(5)
+    x, z = rng.standard_normal((2, 2_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cosine = 0.9001 + 0.05 * np.arange(2_000) / 2_000
+    y = cosine[:, None] * x + np.sqrt(1 - cosine**2)[:, None] * z
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r for r in QUERIES["op9_embeddings"](spark, str(tmp_path)).collect()}
+    assert len(got) == 4_000
+    found = np.array([got[i]["component_id"] == got[i + 2_000]["component_id"] == i and got[i]["n_links"] == 1 for i in range(2_000)])
+    assert (found.reshape(5, 400).mean(axis=1) >= 0.97).all(), found.reshape(5, 400).mean(axis=1)
+
+
 # --- 10 -----------------------------------------------------------------------------------
 
 
