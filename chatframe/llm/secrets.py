@@ -1,9 +1,12 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Values found in texts are hashed and counted over the whole corpus by distinct owners and
-repositories.  A value that many owners have is an example that was copied; one that stays
-with few owners and looks random is a live credential.  Where a live value occurs outside
-any pattern, its occurrence is added as a span of kind ``known``.
+repositories.  A value that many owners or repositories have is an example that was copied;
+one that stays with few and looks like a credential is live; others are neither.  A
+credential has ``ENTROPY`` bits a character or more, and a letter and a digit, or is a whole
+access key.  Where a live value occurs outside any pattern, its occurrence is added as a
+span of kind ``known``: a whole run of one of the alphabets ``EDGES``, of any length.  A value
+is not found inside a word, or where marks of its own kind join it to a neighbour.
 
 Base kinds, leftmost non-overlapping matches each: ``assign`` (a name, ``:`` or ``=``, a
 value of 6 or more characters), ``access`` (20 or more characters), ``hex`` (24 or more).
@@ -29,13 +32,37 @@ HEX = r"[0-9a-f]+"
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 #: Every run of a pattern that is long enough to count, for the kinds without a context.
 RUNS = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
-#: Bare values: runs of at least 16 characters of values, with a digit and a letter.
+#: Long runs of characters of values, as the DuckDB statement knows bare values.
 BARE = r"[A-Za-z0-9+/_=-]{16,}"
-PIECES = "array<struct<before:int,size:int,hash:string>>"
+#: The marks in the runs that may be bare values: all, all within, and without those that often join a value to a name.
+EDGES = (("+/_.=-", ""), ("+/_.=-", r"(?<!\.)"), ("+/_=-", ""), ("+_.-", r"(?<!\.)"), ("+_-", ""), ("+/=-", ""), ("+.-", r"(?<!\.)"), ("", ""))
+ENTROPY = 2.5
+PIECES = "array<struct<before:int,size:int,hash:string,look:boolean>>"
+
+
+def bare(marks: str, end: str) -> str:
+    """Whole runs of letters, digits and ``marks`` with a letter and a digit, 6 characters or more."""
+    letters, digits = "A-Za-z", "0-9"
+    return (
+        f"(?<![{letters}{digits}{marks}])(?=[{letters}{marks}]*+[{digits}])(?=[{digits}{marks}]*+[{letters}])"
+        f"[{letters}{digits}{marks}]{{6,}}{end}"
+    )
+
+
+def looks(value: Column) -> Column:
+    """Whether a value looks like a credential."""
+    n = F.length(value)
+    shares = F.transform(
+        F.array_distinct(F.split(value, "")), lambda c: (n - F.length(F.replace(value, c, F.lit("")))) / n
+    )
+    entropy = F.aggregate(shares, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+    return (entropy >= ENTROPY) & (
+        (value.rlike("[A-Za-z]") & value.rlike("[0-9]")) | value.rlike(f"^{RUNS['access']}$")
+    )
 
 
-def matches(text: Column, pattern: str, group: int, least: int) -> Column:
-    """The matches in order: characters since the match before, length, hash of the value.
+def matches(text: Column, pattern: str, group: int, least: int, judged: bool = True) -> Column:
+    """The matches in order: characters since the match before, length, hash and look of the value.
 
     Values of ``group`` with fewer than ``least`` characters have no hash.
     """
@@ -49,6 +76,7 @@ def matches(text: Column, pattern: str, group: int, least: int) -> Column:
         lambda x: F.struct(
             F.length(x["before"]).alias("before"), F.length(x["match"]).alias("size"),
             F.when(F.length(x["value"]) >= least, F.sha2(x["value"], 256)).alias("hash"),
+            (looks(x["value"]) if judged else F.lit(None).cast("boolean")).alias("look"),
         ),
     )
     return F.when(F.regexp_like(text, F.lit(pattern)), pieces).otherwise(F.array().cast(PIECES))
@@ -61,17 +89,21 @@ def found(docs: DataFrame, owner: str, repository: Column) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     pieces = [matches(text, RUNS.get(kind, pattern), group, least) for kind, pattern, group, least in KINDS]
+    pieces += [matches(text, bare(*edges), 0, 6, judged=False) for edges in EDGES]
     return stored(
         docs.select(
             F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col(owner).cast("string").alias("owner"),
-            repository.cast("string").alias("repository"), F.array(*pieces, matches(text, BARE, 0, 16)).alias("pieces"),
+            repository.cast("string").alias("repository"), F.array(*pieces).alias("pieces"),
         ),
         "secrets",
     )
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """``(row, owner, repository, rank, start, end, hash)``: running sums of pieces are places."""
+    """``(row, owner, repository, rank, start, end, hash, look)``: running sums of pieces are places.
+
+    All bare runs have the rank after those of the patterns, and equal places count once.
+    """
     kinds = rows.filter(F.exists("pieces", lambda p: F.size(p) > 0)).select(
         "row", "owner", "repository", F.posexplode("pieces").alias("rank", "kind")
     )
@@ -80,36 +112,44 @@ def placed(rows: DataFrame) -> DataFrame:
     end = F.sum(F.col("piece.before") + F.col("piece.size")).over(so_far)
     return stored(
         each.withColumn("end", end).filter(F.col("piece.hash").isNotNull()).select(
-            "row", "owner", "repository", "rank", (F.col("end") - F.col("piece.size")).alias("start"), "end",
-            F.col("piece.hash").alias("hash"),
-        ),
+            "row", "owner", "repository", F.least("rank", F.lit(len(KINDS))).alias("rank"),
+            (F.col("end") - F.col("piece.size")).alias("start"), "end", F.col("piece.hash").alias("hash"), F.col("piece.look").alias("look"),
+        ).distinct(),
         "spans",
     )
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """``(hash, occurrences, owners, repositories)`` of every value in a base span of the corpus."""
-    pairs = spans.filter(F.col("rank") < len(KINDS)).groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
-    per_owner = pairs.groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repositories"))
+    """``(hash, occurrences, owners, repositories, look)`` of every value in a base span of the corpus."""
+    pairs = spans.filter(F.col("rank") < len(KINDS)).groupBy("hash", "owner", "repository").agg(
+        F.count("*").alias("n"), F.max("look").alias("look")
+    )
+    per_owner = pairs.groupBy("hash", "owner").agg(
+        F.sum("n").alias("n"), F.count("*").alias("repositories"), F.max("look").alias("look")
+    )
     return per_owner.groupBy("hash").agg(
-        F.sum("n").alias("occurrences"), F.count("*").alias("owners"), F.sum("repositories").alias("repositories")
+        F.sum("n").alias("occurrences"), F.count("*").alias("owners"), F.sum("repositories").alias("repositories"),
+        F.max("look").alias("look"),
     )
 
 
 def scan(
-    docs: DataFrame, owner: str = "source", repository: Column | None = None, live_owners: int = 1
+    docs: DataFrame, owner: str = "source", repository: Column | None = None, live_owners: int = 1,
+    live_repositories: int = 2,
 ) -> DataFrame:
     """``(doc_id, base, spans, n_live, n_copied)`` for every document.
 
     ``base``: the spans of the patterns; ``spans``: these and the bare occurrences of live
-    values; ``n_live`` and ``n_copied``: base spans whose value at most or more than
-    ``live_owners`` owners have.
+    values; ``n_copied``: base spans whose value more than ``live_owners`` owners or
+    ``live_repositories`` repositories have; ``n_live``: of the others, those that look like a
+    credential.
     """
     repository = F.concat_ws("/", owner, "lang") if repository is None else repository
     rows = found(docs, owner, repository)
     spans = placed(rows)
-    values = stored(ownership(spans).select("hash", (F.col("owners") <= live_owners).alias("live")), "ownership")
-    judged = stored(spans.join(values, "hash").select("row", "rank", "start", "end", "live"), "judged")
+    few = (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories)
+    values = stored(ownership(spans).select("hash", (few & F.col("look")).alias("live"), (~few).alias("copied")), "ownership")
+    judged = stored(spans.join(values, "hash").select("row", "rank", "start", "end", "live", "copied"), "judged")
     base = F.col("rank") < len(KINDS)
     in_text = Window.partitionBy("row").orderBy("start")
     covered = F.max(F.when(base, F.col("end"))).over(in_text.rangeBetween(Window.unboundedPreceding, 0)) > F.col("start")
@@ -119,7 +159,7 @@ def scan(
     span = F.struct("start", "rank", kind.alias("kind"), "end")
     status = (
         judged.withColumn("stays", base | (F.col("live") & outside)).filter("stays").groupBy("row").agg(
-            F.count_if(base & F.col("live")).alias("n_live"), F.count_if(base & ~F.col("live")).alias("n_copied"),
+            F.count_if(base & F.col("live")).alias("n_live"), F.count_if(base & F.col("copied")).alias("n_copied"),
             F.array_sort(F.collect_list(F.when(base, span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"),
         )
     )

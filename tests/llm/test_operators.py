@@ -250,6 +250,18 @@ def test_live_values_are_known_elsewhere(spark):
     assert (got[1]["n_live"], got[1]["n_copied"], got[3]["n_live"], got[3]["n_copied"]) == (1, 0, 0, 1)
 
 
+def test_repositories_and_looks_decide(spark):
+    rows = [(i, "token=Zk39dkLQ0mvbeT71x8", "a", f"l{i}") for i in range(3)]  # one owner, three repositories
+    rows += [(3, "token: required password=changeme secret=aaaaaa1111", "a", "l0"), (4, "token=q7Rz.t4Wp", "b", "l0"), (5, "secret = h4x9Kz", "b", "l0")]
+    rows += [(6, "see h4x9Kz, NAME=h4x9Kz /h4x9Kz/ x_h4x9Kz h4x9Kzz q7Rz.t4Wp. Zk39dkLQ0mvbeT71x8 required", "c", "l0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r for r in secrets.report(secrets.scan(docs)).collect()}
+    counts = {i: (r["n_live"], r["n_copied"]) for i, r in got.items()}
+    assert counts == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (0, 0), 4: (1, 0), 5: (1, 0), 6: (0, 0)}
+    places = [tuple(map(int, s.split(":")[1:])) for s in got[6]["spans"].split(",")]
+    assert [rows[6][1][a:b] for a, b in places] == ["h4x9Kz"] * 4 + ["q7Rz.t4Wp"]
+
+
 # --- 7 ------------------------------------------------------------------------------------
 
 
