@@ -34,7 +34,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the mix takes them, in order of training position."""
+    """Whole documents, as often as the mix takes them; the files of token ids are in order of ``doc_id``."""
     return mixing.mix(docs)
 
 
