@@ -73,9 +73,10 @@ def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """A row per chunk, in order: the columns of the record, ``chunk_no`` and ``chunk``."""
     body = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload"))
     last = F.greatest(F.ceil(F.octet_length(body) / chunk), F.lit(1)) - 1
-    cut = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.substring(body, i * chunk + 1, F.lit(chunk)))
-    return records.select(
-        "page_id", "url", "size", "digest", "refers_to", "revisit", F.posexplode(cut).alias("chunk_no", "chunk")
+    numbers = F.explode(F.sequence(F.lit(0), last.cast("int")))  # one chunk at a time is cut off
+    return records.withColumn("chunk_no", numbers).select(
+        "page_id", "url", "size", "digest", "refers_to", "revisit", "chunk_no",
+        F.substring(body, F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("chunk"),
     )
 
 

@@ -109,6 +109,19 @@ def test_archives_round_trip(spark):
     assert [r["bytes_so_far"] for r in chunks] == list(range(1000, 801_000, 1000)) and [r["last"] for r in chunks].count(True) == 1
 
 
+def test_chunks_are_cut_off_one_by_one(spark):
+    """No array holds all chunks of a payload, and no chunk is lost."""
+    pages = spark.createDataFrame([(1, "u", "é" * 1_000), (2, "u", "")], "page_id long, url string, html string")
+    chunks = warc.chunked(warc.planned(pages), chunk=300)
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "posexplode" not in plan
+    got = collections.defaultdict(list)
+    for r in chunks.orderBy("page_id", "chunk_no").collect():
+        got[r["page_id"]].append((r["chunk_no"], bytes(r["chunk"])))
+    data = ("é" * 1_000).encode()
+    assert got == {1: [(i, data[i * 300 : i * 300 + 300]) for i in range(7)], 2: [(0, b"")]}
+
+
 def test_archives_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.records(warc.read_chunks(warc.write_archives(pages))).count() == 0
