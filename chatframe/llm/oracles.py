@@ -133,10 +133,60 @@ SELECT page_id, host, len(ls)::BIGINT AS n_lines, (len(ls) - len(ks))::BIGINT AS
 FROM kept
 """
 
+# A checksum has no function there: eight steps a byte over the digits, as on paper.
+_CRC32 = """xor(list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}, ''),
+        lambda c: [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc // 2, 3988292384 * (crc % 2)) END), 4294967295)"""
+OP11 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+d AS (SELECT *, sha256(len(role)::VARCHAR || ':' || role || text) AS digest FROM t),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, digest) AS turns FROM d GROUP BY conv_id),
+h AS (SELECT *, ({_CRC32.format("conv_id::VARCHAR")} % 6)::BIGINT AS h FROM own),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1 : h.h], h.turns[h.h + 1 :]) AS turns
+      FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, len(turns)::BIGINT AS size, depth, turns[1 : depth] AS prefix
+      FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS depth FROM c)),
+n AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+      FROM m GROUP BY depth, prefix),
+k AS (SELECT prefix[1 : depth - 1] AS prefix, count(*)::BIGINT AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * len(prefix[depth].text) ELSE 0 END AS saved
+      FROM n LEFT JOIN k ON k.prefix = n.prefix),
+s AS (SELECT prefix[1 : above] AS prefix, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+FROM v JOIN s ON s.prefix = v.prefix LEFT JOIN n p ON v.depth > 0 AND p.prefix = v.prefix[1 : v.depth - 1]
+"""
+
+OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+      FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 5) AS r(k))),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+w AS (SELECT *, string_split(phrase, ' ') AS ws FROM f),
+c AS (SELECT w.*, unnest(range(1, k)) AS cut FROM w WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, c.cut, l.a AS l, r.a AS r, ((2000000 * c.a::HUGEINT) // (l.a::HUGEINT + r.a))::BIGINT AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1 : cut], ' ')
+             JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[cut + 1 : c.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, array_to_string(ws[i : i + j - 1], ' ') AS phrase, max(a) AS longer
+           FROM (SELECT w.*, j, unnest(range(1, k - j + 2)) AS i FROM w, range(2, 4) AS r(j) WHERE j < k) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN inside USING (lang, phrase)
+         WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))::BIGINT AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1,
     "op2_warc": OP2,
     "op5_decontamination": OP5,
     "op6_secrets": OP6,
     "op10_lines": OP10,
+    "op11_conversations": OP11,
+    "op13_collocations": OP13,
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatframe.llm import (
-    decontamination, embeddings, language_model, lines, mixing, secrets, simhash, tokens, toxicity, warc,
+    collocations, conversations, decontamination, embeddings, language_model, languages, lines, mixing, secrets,
+    simhash, tokens, toxicity, warc,
 )
 from chatframe.llm.common import table
 from chatframe.llm.oracles import ORACLES
@@ -81,6 +82,23 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(lines.drop_boilerplate(table(spark, sf_dir, "pages")))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages.identify(docs, languages.fit(docs), keep=["doc_id"])
+    return found.select(
+        "doc_id", languages.held_out().alias("held_out"), F.col("_language.lang").alias("lang_pred"),
+        F.col("_language.score").alias("score"), F.col("_language.rejected").alias("rejected"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -92,4 +110,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_embeddings": op9_embeddings,
     "op10_lines": op10_lines,
+    "op11_conversations": op11_conversations,
+    "op12_languages": op12_languages,
+    "op13_collocations": op13_collocations,
 }
