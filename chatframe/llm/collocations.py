@@ -3,8 +3,8 @@
 Texts are cut into pieces at punctuation and line ends, pieces into words.  Phrases are counted
 by tries in double arrays.  Their candidates are Apriori-safe: a phrase can only be frequent if
 all phrases inside it are, so each reading of the texts looks only at places where all shorter
-ones may be.  What "may be frequent" is a set of bits addressed by a hash, of a fixed size
-whatever the corpus; two phrases with one bit can only add candidates.
+ones may be.  What "may be frequent" is a set of bits addressed by a hash, 64 for each frequent
+phrase up to a fixed size; two phrases with one bit can only add candidates.
 
 1. Words are counted in the tasks and added up.
 2. Pairs of frequent words, then triples of frequent pairs, are counted by 64-bit hash.
@@ -39,21 +39,26 @@ from chatframe.operators.topn import top_rows
 LONGEST = 4
 LEAST = 30
 TOP = 2_000
-BITS = 27
+BITS = 30
 BLOCK = 10
+FEW, WINDOW = 4, 1 << 14
 TRIE_PHRASES = 1_000_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 # A-Z in lower case, tabs as blanks, every mark that ends a piece as a full stop.
 _BYTES = bytes(
     ord(".") if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if chr(c) in " \t"
     else c + 32 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c
     for c in range(256)
 )
-_GAP = re.compile(rb"[ .]")
+_GAP, _WORD = re.compile(rb"[ .]"), re.compile(rb"[^ .]+")
+_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def slices(batches):
-    """``(lang, words)`` of texts joined by language: words and ``b"."`` where a piece ends."""
+    """``(lang, data, known)``: texts joined by language, in slices cut between words.
+
+    The first ``known`` bytes are the last three words of the slice before.
+    """
     for batch in batches:
         texts: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
@@ -69,27 +74,58 @@ def slices(batches):
 
 
 def _cut(lang: str, data: bytes):
-    """``(lang, words, counted)``: the first ``counted`` words were in the slice before."""
-    carry: list[bytes] = []
-    at = 0
+    at = again = 0
     while at < len(data):
         gap = _GAP.search(data, at + SLICE)
         end = gap.start() if gap else len(data)
-        words = data[at:end].replace(b".", b" . ").split()
-        yield lang, carry + words, len(carry)
-        carry, at = (carry + words)[1 - LONGEST :], end
+        yield lang, data[again:end], at - again
+        at, again = end, _last_words(data, again, end)
+
+
+def _last_words(data: bytes, begin: int, end: int) -> int:
+    """Where the last ``LONGEST - 1`` words of a slice begin."""
+    size = 1_024
+    while True:
+        tail = max(begin, end - size)
+        found = [m.start() for m in _WORD.finditer(data, tail, end)]
+        if len(found) >= LONGEST:
+            return found[1 - LONGEST]
+        if tail == begin:
+            return found[1 - LONGEST] if len(found) >= LONGEST - 1 else begin
+        size *= 16
 
 
-class Hashes(dict):
-    """Words to 64-bit hashes; the full stop, which is no word, to 0."""
+class Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+    up = down = np.ones(1, np.uint64)
 
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxh64_intdigest(word) | 1 if word != b"." else 0
-        return value
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = (
+                np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)]), dtype=np.uint64)
+                for x in (_BASE, pow(_BASE, -1, 1 << 64))
+            )
+        return cls.up, cls.down
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, their hashes, and whether the next word is in the same piece.
+
+    The hash is a polynomial in the bytes, taken for all words from one running sum.
+    """
+    d = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], (d != 32) & (d != 46), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = Powers.of(len(d) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((d.astype(np.uint64) + np.uint64(1)) * up[: len(d)])])
+    hashes = _mixed((sums[ends] - sums[starts]) * down[starts])
+    marks = np.concatenate([[0], np.cumsum(d == 46)])
+    together = np.zeros(len(starts), bool)
+    together[:-1] = marks[ends[:-1]] == marks[starts[1:]]
+    return starts, ends, hashes, together
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -97,50 +133,45 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def phrase_hashes(words: np.ndarray, lang: int, n: int) -> np.ndarray:
-    """A hash for the ``n`` words from every place on; those that cross an end are not valid."""
-    out = _mixed(words[: len(words) - n + 1] + np.uint64(lang))
-    for k in range(1, n):
-        out = _mixed(out * np.uint64(0xD6E8FEB86659FD93) + words[k : len(words) - n + 1 + k])
-    return out
-
-
-def _hash_of(word: str) -> int:
+def _seed(lang: str) -> np.uint64:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(word.encode()) | 1
+    return np.uint64(xxh64_intdigest(lang.encode()))
 
 
 class Bits:
-    """What may be frequent, by length: ``2**BITS`` bits each."""
+    """What may be frequent, by length: bits at the first places of the hashes."""
 
     def __init__(self, sets: dict[int, np.ndarray]):
         self.sets = sets
 
     def hold(self, n: int, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - BITS)
-        return (self.sets[n][at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        bits = self.sets[n]
+        at = hashes >> np.uint64(64 - int(len(bits) * 8).bit_length() + 1)
+        return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def levels(words: np.ndarray, lang: int, known: int, bits: Bits, longest: int):
-    """``(n, places, hashes)`` of the phrases of 2 to ``longest`` words that may be frequent.
+def levels(lang: str, data: bytes, known: int, bits: Bits, longest: int):
+    """``(n, begins, ends, hashes)`` of the phrases of 2 to ``longest`` words that may be frequent.
 
-    They are those in which all phrases of ``n - 1`` words may be.  Phrases inside the first
-    ``known`` words are left out, as they were counted before.
+    They are those in which all phrases of ``n - 1`` words may be, as far as ``bits`` tell.
+    Phrases inside the first ``known`` bytes are left out, as they were counted before.
     """
-    ok = words != 0
-    for n in range(1, min(longest, len(words)) + 1):
-        if n > 1:
-            ok = ok[:-1] & ok[1:]
-        if not ok.any():
-            return
-        hashes = phrase_hashes(words, lang, n)
-        if n > 1:
-            fresh = np.flatnonzero(ok)
-            fresh = fresh[fresh + n > known]
-            yield n, fresh, hashes[fresh]
-        if n < longest:
-            ok = ok & bits.hold(n, hashes)
+    starts, ends, words, together = word_hashes(data)
+    places, hashes = np.arange(len(words)), _mixed(words + _seed(lang))
+    for n in range(1, longest):
+        if n in bits.sets:
+            often = bits.hold(n, hashes)
+            places, hashes = places[often], hashes[often]
+        # A longer phrase begins where one begins right after it.
+        goes_on = places[1:] == places[:-1] + 1
+        if n == 1:
+            goes_on &= together[places[:-1]]
+        goes_on = np.flatnonzero(goes_on)
+        places, hashes = places[goes_on], hashes[goes_on]
+        hashes = _mixed(hashes * np.uint64(0xD6E8FEB86659FD93) + words[places + n])
+        fresh = ends[places + n] > known
+        yield n + 1, starts[places[fresh]], ends[places[fresh] + n], hashes[fresh]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -153,15 +184,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def flushed():
             for lang, c in counts.items():
-                c.pop(b".", None)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(c)), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())],
+                    [pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())],
                     ["lang", "phrase", "a"],
                 )
             counts.clear()
 
-        for lang, words, known in slices(batches):
-            counts.setdefault(lang, Counter()).update(words[known:])
+        for lang, data, known in slices(batches):
+            counts.setdefault(lang, Counter()).update(data[known:].replace(b".", b" ").split())
             if sum(map(len, counts.values())) > 1_000_000:
                 yield from flushed()
         yield from flushed()
@@ -173,7 +203,6 @@ def hash_counts(docs: DataFrame, bits, n: int, least: int) -> DataFrame:
     """``(h)``: hashes of phrases of ``n`` words that occur often enough, or share it with one that does."""
 
     def run(batches):
-        hashes = Hashes()
         held: list[np.ndarray] = []
         size = 0
 
@@ -182,9 +211,8 @@ def hash_counts(docs: DataFrame, bits, n: int, least: int) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["h", "n"])
 
-        for lang, words, known in slices(batches):
-            ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-            for length, _, found in levels(ids, _hash_of(lang), known, bits.value, n):
+        for lang, data, known in slices(batches):
+            for length, _, _, found in levels(lang, data, known, bits.value, n):
                 if length == n:
                     held.append(found)
                     size += len(found)
@@ -198,13 +226,17 @@ def hash_counts(docs: DataFrame, bits, n: int, least: int) -> DataFrame:
 
 
 def _bits_of(hashes: DataFrame) -> np.ndarray:
-    """The set bits of all ``h``, made in blocks by the tasks; a fixed number of bytes arrives."""
-    inside = BITS - BLOCK
+    """The set bits of all ``h``, made in blocks by the tasks.
+
+    There are 64 bits for each hash, up to ``2**BITS`` in all, so what arrives is bounded.
+    """
+    n_bits = min(BITS, max(20, (64 * hashes.count()).bit_length()))
+    inside = n_bits - BLOCK
 
     def run(batches):
         found: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = np.sort(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+            at = np.sort(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - n_bits)).astype(np.int64)
             for part in np.split(at, np.flatnonzero(np.diff(at >> inside)) + 1):
                 if len(part):
                     cells = found.setdefault(int(part[0]) >> inside, np.zeros(1 << inside, bool))
@@ -220,14 +252,17 @@ def _bits_of(hashes: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def word_hashes(words: DataFrame) -> DataFrame:
+def hashes_of(words: DataFrame) -> DataFrame:
+    """``(h)`` of ``(lang, phrase)`` with one word each."""
+
     def run(batches):
         for batch in batches:
-            out = [
-                phrase_hashes(np.array([_hash_of(w)], np.uint64), _hash_of(lang), 1)
-                for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64) if out else [], pa.int64())], ["h"])
+            by_lang: dict[str, list[bytes]] = {}
+            for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by_lang.setdefault(lang, []).append(word.encode())
+            found = [_mixed(word_hashes(b" ".join(some))[2] + _seed(lang)) for lang, some in by_lang.items()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
     return words.select("lang", "phrase").mapInArrow(run, "h long")
 
@@ -235,32 +270,32 @@ def word_hashes(words: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, frequent_words: DataFrame, least: int = LEAST) -> DataFrame:
     """``(lang, phrase)`` of 2 to ``LONGEST`` words: all frequent phrases, and few others."""
     spark = docs.sparkSession
-    sets = {1: _bits_of(word_hashes(frequent_words))}
-    for n in range(2, LONGEST):
-        sent = spark.sparkContext.broadcast(Bits(dict(sets)))
-        sets[n] = _bits_of(hash_counts(docs, sent, n, least))
+    sets = {1: _bits_of(hashes_of(frequent_words))}
+    for n in range(2, LONGEST):  # frequent phrases hold frequent ones only, so one length is enough
+        sent = spark.sparkContext.broadcast(Bits({n - 1: sets[n - 1]}))
+        sets[n] = _bits_of(stored(hash_counts(docs, sent, n, least), "phrase-hashes"))
+    del sets[1]
     sent = spark.sparkContext.broadcast(Bits(sets))
 
     def run(batches):
-        hashes = Hashes()
         found: dict[str, set[bytes]] = {}
 
         def flushed():
             for lang, some in found.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(some)), pa.array(list(some), pa.binary()).cast(pa.string())], ["lang", "phrase"]
+                    [pa.array([lang] * len(some), pa.string()), pa.array(list(some), pa.binary()).cast(pa.string())], ["lang", "phrase"]
                 )
             found.clear()
 
-        for lang, words, known in slices(batches):
-            ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        for lang, data, known in slices(batches):
             seen = found.setdefault(lang, set())
-            for n, at, keys in levels(ids, _hash_of(lang), known, sent.value, LONGEST):
+            for n, begins, ends, keys in levels(lang, data, known, sent.value, LONGEST):
                 if n < LONGEST:
                     often = sent.value.hold(n, keys)
-                    at, keys = at[often], keys[often]
-                for i in at[np.unique(keys, return_index=True)[1]].tolist():
-                    seen.add(b" ".join(words[i : i + n]))
+                    begins, ends, keys = begins[often], ends[often], keys[often]
+                one = np.unique(keys, return_index=True)[1]
+                for a, b in zip(begins[one].tolist(), ends[one].tolist()):
+                    seen.add(b" ".join(data[a:b].split()))
             if sum(map(len, found.values())) > 500_000:
                 yield from flushed()
         yield from flushed()
@@ -298,46 +333,61 @@ class Trie:
         self._place(pairs // span, pairs % span, n_nodes, span)
 
     def _place(self, parent: np.ndarray, symbol: np.ndarray, n_nodes: int, span: int) -> None:
-        """A base for every node, so that no two children share a cell; the largest families first."""
+        """A base for every node, so that no two children share a cell.
+
+        Large families take the first base that fits, those of a few children draw bases together
+        until none shares a cell with another.
+        """
         child = np.arange(n_nodes - len(parent), n_nodes)
         order = np.lexsort((symbol, parent))
         parent, symbol, child = parent[order], symbol[order], child[order]
         families, first, size = np.unique(parent, return_index=True, return_counts=True)
         self.base = np.zeros(n_nodes, np.int64)
-        room = len(parent) + 2 * span + 2
-        used = np.zeros(room, bool)
-        free_from, tries = 1, 64
-        for k in np.argsort(-size, kind="stable").tolist():
-            symbols = symbol[first[k] : first[k] + size[k]]
-            at = max(free_from, int(symbols[0]))
-            for attempt in range(tries + 1):
-                if attempt == tries:  # behind everything placed so far
-                    at = int(symbols[0]) + int(np.flatnonzero(used)[-1]) + 1
-                while True:  # the next free cell
-                    if at + span + 4_096 >= len(used):
-                        used = np.append(used, np.zeros(len(used), bool))
-                    gap = int(np.argmin(used[at : at + 4_096]))
-                    if not used[at + gap]:
-                        at += gap
-                        break
-                    at += 4_096
-                if not used[at - symbols[0] + symbols].any():
+        room = 2 * len(parent) + 64
+        used = np.zeros(room + span + WINDOW, bool)
+        begin = 0
+        for k in np.flatnonzero(size > FEW)[np.argsort(-size[size > FEW], kind="stable")].tolist():
+            symbols = symbol[first[k] : first[k] + size[k]].tolist()
+            at = begin
+            while True:
+                if at + span + WINDOW > len(used):
+                    used = np.append(used, np.zeros(len(used), bool))
+                taken = used[at + symbols[0] : at + symbols[0] + WINDOW].copy()
+                for x in symbols[1:]:
+                    taken |= used[at + x : at + x + WINDOW]
+                fit = int(np.argmin(taken))
+                if not taken[fit]:
                     break
-                at += 1
-            self.base[families[k]] = at - symbols[0]
-            used[at - symbols[0] + symbols] = True
-            while used[free_from]:
-                free_from += 1
-        size_of_all = int(self.base.max(initial=0)) + span + 1
-        self.check = np.full(size_of_all, -1, np.int32)
-        self.target = np.zeros(size_of_all, np.int32)
+                at += WINDOW
+            self.base[families[k]] = at + fit
+            used[at + fit + np.array(symbols)] = True
+            while used[begin : begin + WINDOW].mean() > 0.9:
+                begin += WINDOW
+        draws = np.random.default_rng(0)
+        room = max(room, int(np.flatnonzero(used)[-1]) + 1 if used.any() else 0)
+        used = np.append(used, np.zeros(max(0, room + span - len(used)), bool))
+        for n in range(FEW, 0, -1):
+            left = np.flatnonzero(size == n)
+            while len(left):
+                base = draws.integers(0, room, len(left))
+                cells = base[:, None] + symbol[first[left][:, None] + np.arange(n)]
+                alone = np.zeros(cells.size, bool)
+                alone[np.unique(cells, return_index=True)[1]] = True
+                placed = alone.reshape(cells.shape).all(1) & ~used[cells].any(1)
+                used[cells[placed]] = True
+                self.base[families[left[placed]]] = base[placed]
+                left = left[~placed]
+        self.check = np.full(len(used), -1, np.int32)
+        self.target = np.zeros(len(used), np.int32)
         cells = self.base[parent] + symbol
         self.check[cells], self.target[cells] = parent, child
 
-    def count(self, lang: str, words: list[bytes], known: int, counts: np.ndarray) -> None:
-        """Add the occurrences in ``words`` that do not end in the first ``known`` of them."""
+    def count(self, lang: str, data: bytes, known: int, counts: np.ndarray) -> None:
+        """Add the occurrences in ``data`` that do not end in its first ``known`` bytes."""
         if lang not in self.roots:
             return
+        words = data.replace(b".", b" . ").split()
+        known = len(data[:known].replace(b".", b" . ").split())
         ids = np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))
         places = np.arange(len(ids))
         states = np.full(len(ids), self.roots[lang])
@@ -376,8 +426,8 @@ def _counter(sent):
     def run(batches):
         trie = sent.value
         counts = np.zeros(trie.n_keys, np.int64)
-        for lang, words, known in slices(batches):
-            trie.count(lang, words, known, counts)
+        for lang, data, known in slices(batches):
+            trie.count(lang, data, known, counts)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], ["i", "a"])
 

@@ -151,7 +151,7 @@ n AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs
              sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
       FROM m GROUP BY depth, prefix),
 k AS (SELECT prefix[1 : depth - 1] AS prefix, count(*)::BIGINT AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
-v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * len(prefix[depth].text) ELSE 0 END AS saved
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n_convs - 1) * len(n.prefix[n.depth].text) ELSE 0 END AS saved
       FROM n LEFT JOIN k ON k.prefix = n.prefix),
 s AS (SELECT prefix[1 : above] AS prefix, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
       FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM v) GROUP BY ALL)

@@ -129,3 +129,59 @@ def cosine_links(rows, limit=0.9):
     of = classes(len(rows), pairs)
     n = collections.Counter(a for a, _ in pairs)
     return [(rows[a][0], n[a], least(rows[b][0] for b in range(len(rows)) if of[b] == of[a])) for a in range(len(rows))]
+
+
+def trie(rows, heads=6, shared=100):
+    """Nodes of rebuilt conversations, from ``(conv_id, turn, role, text)``."""
+    by = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            by[conv].append((turn is not None, turn or 0, sha(f"{len(role)}:{role}{text}"), role, text))
+    own = {conv: [t[3:] for t in sorted(turns)] for conv, turns in by.items()}
+    rebuilt = {}
+    for conv in own:
+        h = crc(conv) % heads
+        rebuilt[conv] = own.get(conv - int(math.fmod(conv, shared)), [])[:h] + own[conv][h:]
+    members, ends = collections.defaultdict(list), collections.defaultdict(list)
+    for conv, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(conv)
+        ends[tuple(turns)].append(conv)
+    children = collections.Counter(p[:-1] for p in members if p)
+    leaves, saved = collections.Counter(), collections.Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(m) - 1) * (len(p[-1][1]) if p else 0)
+    return [
+        (min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p],
+         sha(",".join(map(str, sorted(ends[p])))))
+        for p, m in members.items()
+    ]
+
+
+def collocations(docs, least=30, top=2_000):
+    """``(lang, rank, phrase, a, l, r, n, score)`` from ``(text, lang)``."""
+    counts, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            counts[lang].update(tuple(words[i : i + k]) for k in range(1, 5) for i in range(len(words) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        often = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        explained = set()
+        for p, a in often.items():
+            for k in range(2, len(p)):
+                explained |= {p[i : i + k] for i in range(len(p) - k + 1) if 100 * a >= 80 * f[p[i : i + k]]}
+        rows = []
+        for p, a in often.items():
+            if p not in explained:
+                score, k = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(rows)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n[lang], -score))
+    return out
