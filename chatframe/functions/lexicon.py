@@ -1,18 +1,19 @@
-"""Row-local expressions of the two lexicon scoring methods.
+"""Expressions of the two lexicon scoring methods, over words joined with the lists.
 
 The rule-based method follows the published description (Hutto & Gilbert, ICWSM
 2014): valences of lexicon words, adjusted by capitals, by boosters and negations
-among the three words before, and by a contrasting "but"; punctuation adds emphasis.
-Idioms are not part of the rules here.
+among the three words before, by idioms around the word and by a contrasting "but";
+punctuation adds emphasis.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatframe.functions.lists import WordLists
-from chatframe.functions.text import SPACES, is_in, lookup, round_half_even
+from chatframe.functions.text import SPACES, round_half_even
 from chatframe.schema import (
     HIGH_CONFIDENCE, LABEL_THRESHOLD, MEDIUM_CONFIDENCE, NEGATIVE, NEUTRAL, POSITIVE,
     STRONG_MOOD,
@@ -24,6 +25,12 @@ NEGATE = -0.74
 DISTANCE_WEIGHT = (1.0, 0.95, 0.9)
 NEVER_SO = {2: 1.5, 3: 1.25}
 BUT_BEFORE, BUT_AFTER = 0.5, 1.5
+# Word runs that may be an idiom, by distance from the scored word; the last that is one counts.
+PHRASES = (
+    ("p3", "p2"), ("p3", "p2", "p1"), ("p2", "p1"), ("p2", "p1", "token"), ("p1", "token"),
+    ("token", "n1"), ("token", "n1", "n2"),
+)
+BOOSTER_PLACES = (0, 2)
 EXCLAMATION, MAX_EXCLAMATIONS = 0.292, 4
 QUESTION, MANY_QUESTIONS = 0.18, 0.96
 NORMALISER = 15.0
@@ -61,56 +68,62 @@ def mixed_case(tokens: Column) -> Column:
     return F.exists(tokens, is_upper) & ~F.forall(tokens, is_upper)
 
 
-def positions_in(words: Column, table: dict) -> Column:
-    """Zero-based positions of the words that are keys of ``table``."""
-    marked = F.transform(words, lambda w, i: F.when(is_in(w, table), i))
-    return F.filter(marked, lambda i: i.isNotNull())
-
-
-def valence_at(i: Column, tokens: Column, low: Column, mixed: Column, lists: WordLists) -> Column:
-    """Adjusted valence of the lexicon word at position ``i``."""
-    lexicon = lists.scoring_valence()
-
-    def before(d) -> Column:
-        return F.get(low, i - d)
-
-    def step(v: Column, d: Column) -> Column:
-        prev = before(d)
-        delta = F.coalesce(lookup(prev, lists.boosters, "double"), F.lit(0.0))
-        shout = F.when(
-            (delta != 0) & mixed & is_upper(F.get(tokens, i - d)),
-            F.when(v > 0, CAPS_BOOST).otherwise(-CAPS_BOOST),
-        ).otherwise(0.0)
-        signed = F.when(v < 0, -delta).otherwise(delta) + shout
-        weight = F.element_at(F.array(*map(F.lit, DISTANCE_WEIGHT)), d)
-        so_near = before(F.lit(1)).isin("so", "this")
-        so_far = before(F.lit(2)).isin("so", "this")
-        factor = (
-            F.when((prev == "never") & (d == 2) & so_near, NEVER_SO[2])
-            .when((prev == "never") & (d == 3) & (so_near | so_far), NEVER_SO[3])
-            .when(is_in(prev, lists.negations) | prev.contains("n't"), NEGATE)
-            .otherwise(1.0)
-        )
-        return F.when(prev.isNull() | is_in(prev, lexicon), v).otherwise(
-            (v + signed * weight) * factor
-        )
+def first_value() -> Column:
+    """The word's own valence, stronger if it shouts among words that do not."""
+    return F.col("valence") + F.when(F.col("u0"), F.signum("valence") * CAPS_BOOST).otherwise(0.0)
+
+
+def after_word(d: int) -> Column:
+    """``value`` after looking at the word ``d`` places before; scored words are passed over."""
+    v, prev = F.col("value"), F.col(f"p{d}")
+    delta = F.coalesce(f"delta{d}", F.lit(0.0))
+    shout = F.when(
+        (delta != 0) & F.col(f"u{d}"), F.when(v > 0, CAPS_BOOST).otherwise(-CAPS_BOOST)
+    ).otherwise(0.0)
+    signed = F.when(v < 0, -delta).otherwise(delta) + shout
+    negates = F.coalesce(f"negates{d}", F.lit(False)) | prev.contains("n't")
+    factor = F.when(negates, NEGATE).otherwise(1.0)
+    if d > 1:
+        so = reduce(Column.__or__, (F.coalesce(F.col(f"p{k}").isin("so", "this"), F.lit(False)) for k in range(1, d)))
+        factor = F.when((prev == "never") & so, NEVER_SO[d]).otherwise(factor)
+    return F.when(prev.isNull() | F.coalesce(f"scored{d}", F.lit(False)), v).otherwise(
+        (v + signed * DISTANCE_WEIGHT[d - 1]) * factor
+    )
 
-    base = lookup(F.get(low, i), lexicon, "double")
-    caps = F.when(mixed & is_upper(F.get(tokens, i)), F.signum(base) * CAPS_BOOST).otherwise(0.0)
-    value = F.aggregate(F.array(*map(F.lit, (1, 2, 3))), base + caps, step)
-    least = (before(F.lit(1)) == "least") & ~F.lit("least" in lexicon)
-    at_least = F.coalesce(before(F.lit(2)).isin("at", "very"), F.lit(False))
-    but_at = F.array_position(low, "but") - 1
+
+def later_rules() -> Column:
+    """The factor of "least", "kind of" and a contrasting "but"."""
+    least = (F.col("p1") == "least") & ~F.coalesce("scored1", F.lit(False))
+    at_least = F.coalesce(F.col("p2").isin("at", "very"), F.lit(False))
+    i, but_at = F.col("i"), F.col("but_at")
     return (
-        value
-        * F.when(least & ~at_least, NEGATE).otherwise(1.0)
-        * F.when((F.get(low, i) == "kind") & (F.get(low, i + 1) == "of"), 0.0).otherwise(1.0)
+        F.when(least & ~at_least, NEGATE).otherwise(1.0)
+        * F.when((F.col("token") == "kind") & (F.col("n1") == "of"), 0.0).otherwise(1.0)
         * F.when((but_at >= 0) & (i < but_at), BUT_BEFORE)
         .when((but_at >= 0) & (i > but_at), BUT_AFTER)
         .otherwise(1.0)
     )
 
 
+def looks_for_phrases() -> Column:
+    """Phrases count for words that have three before them, the first of which is not scored."""
+    return F.col("p3").isNotNull() & ~F.coalesce("scored3", F.lit(False))
+
+
+def phrases_around() -> Column:
+    """``(place, phrase)`` of the neighbouring words; a later place wins."""
+
+    def joined(*names: str) -> Column:
+        return reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.col(n) for n in names])
+
+    return F.array(
+        *[
+            F.struct(F.lit(place).alias("place"), joined(*names).alias("phrase"))
+            for place, names in enumerate(PHRASES)
+        ]
+    )
+
+
 def emphasis(message: Column) -> Column:
     """Score added by exclamation and question marks."""
 
@@ -126,12 +139,12 @@ def emphasis(message: Column) -> Column:
 
 
 def with_rule_score(df: DataFrame) -> DataFrame:
-    """Turn ``_values, _tokens, _emphasis`` into ``_compound, _pos, _neg, _neu``.
+    """Turn ``_values, _n_tokens, _emphasis`` into ``_compound, _pos, _neg, _neu``.
 
     Staged, so that each sum over the valences is taken once.
     """
     values, zero = F.col("_values"), F.lit(0.0)
-    emphasis, n_tokens = F.col("_emphasis"), F.size("_tokens")
+    emphasis, n_tokens = F.col("_emphasis"), F.col("_n_tokens")
 
     def share(part: Column) -> Column:
         return F.when(n_tokens > 0, round_half_even(part / F.col("_everything"), 3)).otherwise(0.0)
@@ -169,40 +182,22 @@ def with_rule_score(df: DataFrame) -> DataFrame:
     )
 
 
-def subjective_terms(words: Column, lists: WordLists) -> Column:
-    """Scored words of a cleaned message as ``array<struct(polarity, subjectivity)>``.
+def subjective_values() -> tuple[Column, Column]:
+    """Polarity and subjectivity of a scored word after the words before it.
 
-    An intensifying word right before a scored word multiplies it and does not
-    count by itself; a negation before either of them weakens and turns the polarity.
+    An intensifying word right before multiplies both; a negation before either of them
+    weakens and turns the polarity.
     """
-    table = lists.subjectivity
-    intensifiers = {w: v[2] for w, v in table.items() if v[2] != 1.0}
-
-    def before(i: Column, d: int) -> Column:
-        return F.get(words, i - F.lit(d))
 
     def clamp(v: Column) -> Column:
         return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
 
-    def term(i: Column) -> Column:
-        entry = lookup(F.get(words, i), table, "array<double>")
-        strength = F.coalesce(lookup(before(i, 1), intensifiers, "double"), F.lit(1.0))
-        negated = before(i, 1).isin(*SUBJECTIVITY_NEGATIONS) | (
-            is_in(before(i, 1), intensifiers) & before(i, 2).isin(*SUBJECTIVITY_NEGATIONS)
-        )
-        return F.struct(
-            (
-                clamp(entry[0] * strength)
-                * F.when(negated, SUBJECTIVITY_NEGATE).otherwise(1.0)
-            ).alias("polarity"),
-            clamp(entry[1] * strength).alias("subjectivity"),
-        )
-
-    def counts(i: Column) -> Column:
-        merged = is_in(F.get(words, i), intensifiers) & is_in(F.get(words, i + F.lit(1)), table)
-        return ~merged
-
-    return F.transform(F.filter(positions_in(words, table), counts), term)
+    strength = F.coalesce("strength", F.lit(1.0))
+    negated = F.col("p1").isin(*SUBJECTIVITY_NEGATIONS) | (
+        F.col("strength").isNotNull() & F.col("p2").isin(*SUBJECTIVITY_NEGATIONS)
+    )
+    polarity = clamp(F.col("polarity") * strength) * F.when(negated, SUBJECTIVITY_NEGATE).otherwise(1.0)
+    return polarity, clamp(F.col("subjectivity") * strength)
 
 
 def mean_of(terms: Column, name: str) -> Column:

@@ -1,16 +1,17 @@
-"""Word lists: seeds written for this project, and a loader for larger ones.
+"""Word lists as tables: seeds written for this project, or tables of any size.
 
-The lists are dictionaries of a language, so their size does not grow with the
-messages.  They enter plans as literals: membership becomes a hash-set test and a
-value lookup happens only for words that passed it, which keeps cleaning and
-scoring inside one projection over the message table.
+Text operators join words with these tables.  A seed is a small local table that Spark
+sends to every task; tables given instead are read where they are, never collected.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ---- Fixed values: chat words that carry no meaning --------------------------
 CHAT_STOPWORDS = """
@@ -87,6 +88,7 @@ VALENCE = {
     "worthless": -1.9, "ineffectual": -1.2, "pathetic": -2.7, "idiot": -2.3, "scam": -2.7,
     "poor": -2.1, "dirty": -1.9, "danger": -2.4, "dangerous": -2.1, "cruel": -2.8,
     "disgusting": -2.4, "mess": -1.5, "broken": -2.1, "mad": -2.2, "alone": -1.0,
+    "yeah": 1.2, "bomb": -2.2, "shit": -2.6, "ass": -2.5, "cut": -1.1, "kiss": 1.8,
     ":(": -1.9, ":'(": -2.2,
 }
 
@@ -103,6 +105,15 @@ slightly somewhat sorta sortof
 """.split()
 BOOST = 0.293
 
+# ---- Fixed values: weakening phrases of two words, right before or one word before the scored word
+WEAKEN_PHRASES = ("just enough", "kind of", "sort of")
+
+# ---- Fixed values: idioms around a lexicon word, with the valence they get ----
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0,
+    "cut the mustard": 2.0, "kiss of death": -1.5, "hand to mouth": -2.0,
+}
+
 # ---- Fixed values: words that negate -----------------------------------------
 NEGATIONS = """
 aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt
@@ -140,10 +151,6 @@ SUBJECTIVITY = {
     "incredibly": (0.9, 0.9, 1.6), "fairly": (0.7, 0.9, 0.8),
 }
 
-# A list longer than this is not a word list; see WordLists.from_tables.
-MAX_LIST_ROWS = 200_000
-
-
 def _inflect(verb: str) -> tuple[str, str, str]:
     """English spelling of the -s, -ed and -ing forms of a verb."""
     vowels = "aeiou"
@@ -174,18 +181,29 @@ def verb_lemmas() -> dict[str, str]:
     return {form: base for form, base in table.items() if form != base}
 
 
+def _local(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType]) -> DataFrame:
+    return spark.createDataFrame(pa.table({n: pa.array(v, types[n]) for n, v in columns.items()}))
+
+
+_TEXT, _NUMBER = pa.string(), pa.float64()
+
+
 @dataclass(frozen=True)
 class WordLists:
-    """All lists the text operators need; the default is the project seed."""
+    """All lists the text operators need; the default is the project seed.
 
-    stopwords: frozenset[str] = frozenset(ENGLISH_STOPWORDS) | frozenset(CHAT_STOPWORDS)
-    lemmas: dict[str, str] = field(default_factory=verb_lemmas)
-    valence: dict[str, float] = field(default_factory=lambda: dict(VALENCE))
-    boosters: dict[str, float] = field(
-        default_factory=lambda: {w: BOOST for w in STRENGTHEN} | {w: -BOOST for w in WEAKEN}
+    Each is a collection of words or, from :meth:`from_tables`, a table.
+    """
+
+    stopwords: frozenset[str] | DataFrame = frozenset(ENGLISH_STOPWORDS) | frozenset(CHAT_STOPWORDS)
+    lemmas: dict[str, str] | DataFrame = field(default_factory=verb_lemmas)
+    valence: dict[str, float] | DataFrame = field(default_factory=lambda: dict(VALENCE))
+    boosters: dict[str, float] | DataFrame = field(
+        default_factory=lambda: {w: BOOST for w in STRENGTHEN} | {w: -BOOST for w in (*WEAKEN, *WEAKEN_PHRASES)}
     )
-    negations: frozenset[str] = frozenset(NEGATIONS)
-    subjectivity: dict[str, tuple[float, float, float]] = field(
+    negations: frozenset[str] | DataFrame = frozenset(NEGATIONS)
+    idioms: dict[str, float] | DataFrame = field(default_factory=lambda: dict(IDIOMS))
+    subjectivity: dict[str, tuple[float, float, float]] | DataFrame = field(
         default_factory=lambda: dict(SUBJECTIVITY)
     )
 
@@ -197,41 +215,77 @@ class WordLists:
         boosters: DataFrame | None = None,
         negations: DataFrame | None = None,
         subjectivity: DataFrame | None = None,
+        idioms: DataFrame | None = None,
     ) -> "WordLists":
         """Replace seeds by tables: ``stopwords(word)`` (several are united),
         ``lemmas(word, lemma)``, ``valence(token, valence)``,
-        ``boosters(token, delta)``, ``negations(token)`` and
+        ``boosters(token, delta)``, ``negations(token)``, ``idioms(phrase, valence)`` and
         ``subjectivity(word, polarity, subjectivity, intensity)``.
+
+        Nothing is read here.  Boosters and idioms of several words are written with single
+        blanks.  Of rows that disagree about a word the largest value counts.
         """
-        lists: dict[str, object] = {}
+        given = {"lemmas": lemmas, "valence": valence, "boosters": boosters, "negations": negations,
+                 "subjectivity": subjectivity, "idioms": idioms}
+        lists = {name: table for name, table in given.items() if table is not None}
         if stopwords:
-            united = stopwords[0].select("word")
-            for other in stopwords[1:]:
-                united = united.unionByName(other.select("word"))
-            lists["stopwords"] = frozenset(r[0] for r in _read_list(united.distinct()))
-        if lemmas is not None:
-            lists["lemmas"] = dict(map(tuple, _read_list(lemmas.select("word", "lemma"))))
-        if valence is not None:
-            lists["valence"] = dict(map(tuple, _read_list(valence.select("token", "valence"))))
-        if boosters is not None:
-            lists["boosters"] = dict(map(tuple, _read_list(boosters.select("token", "delta"))))
-        if negations is not None:
-            lists["negations"] = frozenset(r[0] for r in _read_list(negations.select("token")))
-        if subjectivity is not None:
-            rows = _read_list(
-                subjectivity.select("word", "polarity", "subjectivity", "intensity")
-            )
-            lists["subjectivity"] = {r[0]: (r[1], r[2], r[3]) for r in rows}
+            lists["stopwords"] = united(stopwords)
         return WordLists(**lists)
 
     def scoring_valence(self) -> dict[str, float]:
-        """Valence lexicon without the booster words, which never score by themselves."""
+        """The valence seed without the booster words, which never score by themselves."""
         return {t: v for t, v in self.valence.items() if t not in self.boosters}
 
+    def table(self, spark: SparkSession, name: str) -> DataFrame:
+        """A list as a table, with the columns of :meth:`from_tables`."""
+        held = getattr(self, name)
+        columns = {
+            "stopwords": ("word",), "lemmas": ("word", "lemma"), "valence": ("token", "valence"),
+            "boosters": ("token", "delta"), "negations": ("token",), "idioms": ("phrase", "valence"),
+            "subjectivity": ("word", "polarity", "subjectivity", "intensity"),
+        }[name]
+        if isinstance(held, DataFrame):
+            return held.select(*columns)
+        if isinstance(held, dict):
+            rows = [(k, *(v if isinstance(v, tuple) else (v,))) for k, v in sorted(held.items())]
+        else:
+            rows = [(k,) for k in sorted(held)]
+        kinds = {c: _NUMBER if c in ("valence", "delta", "polarity", "subjectivity", "intensity") else _TEXT for c in columns}
+        return _local(spark, {c: [r[i] for r in rows] for i, c in enumerate(columns)}, kinds)
+
+    def forms(self, spark: SparkSession) -> DataFrame:
+        """``(word, lemma, stop)``: what cleaning does with a word; other words stay."""
+        stop = self.table(spark, "stopwords").select("word", F.lit(None).cast("string").alias("lemma"), F.lit(True).alias("stop"))
+        return _one_row(stop, self.table(spark, "lemmas").withColumn("stop", F.lit(None).cast("boolean")))
+
+    def rules(self, spark: SparkSession) -> DataFrame:
+        """``(token, valence, delta, negates)``; a booster word has no valence."""
+        rows = _one_row(
+            self.table(spark, "valence").selectExpr("token", "valence", "CAST(NULL AS DOUBLE) AS delta", "CAST(NULL AS BOOLEAN) AS negates"),
+            self.table(spark, "boosters").selectExpr("token", "CAST(NULL AS DOUBLE)", "delta", "CAST(NULL AS BOOLEAN)"),
+            self.table(spark, "negations").selectExpr("token", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "true"),
+        )
+        return rows.withColumn("valence", F.when(F.col("delta").isNull(), F.col("valence")))
+
+    def phrases(self, spark: SparkSession) -> DataFrame:
+        """``(phrase, idiom, delta)``: idioms and boosters of several words."""
+        boosters = self.table(spark, "boosters").filter(F.contains("token", F.lit(" ")))
+        return _one_row(
+            self.table(spark, "idioms").selectExpr("phrase", "valence AS idiom", "CAST(NULL AS DOUBLE) AS delta"),
+            boosters.selectExpr("token", "CAST(NULL AS DOUBLE)", "delta"),
+        )
+
+    def subjective(self, spark: SparkSession) -> DataFrame:
+        return _one_row(self.table(spark, "subjectivity"))
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    """The words of several list tables, each once."""
+    return reduce(DataFrame.unionByName, [t.select("word") for t in tables]).filter("word IS NOT NULL").distinct()
+
 
-def _read_list(df: DataFrame) -> list:
-    """Bring a word list to the driver once its size is known to be a word list's."""
-    rows = df.limit(MAX_LIST_ROWS + 1).collect()
-    if len(rows) > MAX_LIST_ROWS:
-        raise ValueError(f"word list has more than {MAX_LIST_ROWS} rows")
-    return rows
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """The union of tables with one row for each value of the first column."""
+    key, *rest = parts[0].columns
+    largest: list[Column] = [F.max(c).alias(c) for c in rest]
+    return reduce(DataFrame.union, parts).filter(F.col(key).isNotNull()).groupBy(key).agg(*largest)

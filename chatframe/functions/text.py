@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import json
-import zlib
-from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatframe.functions.lists import WordLists
-
 # ---- Fixed values: character classes and patterns -----------------------------
 # (?U) makes \s and \S know white space of any script, not only the ASCII kind.
 SPACES = r"(?U)\s+"
 WORD = r"(?U)\S+"
+LONG_WORD = r"(?U)\S\S"
 ENDS = r"(?U)^\s+|\s+$"
 URL = r"(?iU)https?://\S+|www\.\S+"
 EMOJI = r"[\x{200d}\x{231a}\x{23cf}\x{23e9}\x{24c2}-\x{10ffff}]"
@@ -97,70 +93,6 @@ def letter_words(message: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(low, "[^a-z]+", " ")), " ")
 
 
-SET_WORDS = 1_000
-
-
-def _bucketed(words: Iterable[str]) -> tuple[list[list[str]], int]:
-    ordered = sorted(words)
-    size = 2 * len(ordered)
-    buckets: list[list[str]] = [[] for _ in range(size)]
-    for word in ordered:
-        buckets[zlib.crc32(word.encode()) % size].append(word)
-    return buckets, size
-
-
-def _constant(value: object, sql_type: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), sql_type)
-
-
-def _sql_type(value: object) -> str:
-    if isinstance(value, tuple):
-        return "array<double>"
-    return {float: "double", str: "string"}[type(value)]
-
-
-def is_in(key: Column, words: Iterable[str]) -> Column:
-    """Membership in a word list; false for a NULL key.
-
-    Lists of up to ``SET_WORDS`` words are a set that the engine builds.  A longer list
-    would be as many expressions in the plan; it becomes an array of small arrays, addressed by a checksum of the word:
-    the cost per word does not depend on the length of the list.  It is one constant
-    in the plan.  Arrays, other than maps, compare by value there, so that equal
-    branches of a plan share their shuffle.
-    """
-    words = list(words)
-    if len(words) <= SET_WORDS:
-        return F.coalesce(key.isin(sorted(words)), F.lit(False)) if words else F.lit(False)
-    buckets, size = _bucketed(words)
-    bucket = F.get(_constant(buckets, "array<array<string>>"), (F.crc32(key) % size).cast("int"))
-    return F.coalesce(F.array_contains(bucket, key), F.lit(False))
-
-
-def lookup(key: Column, table: Mapping[str, object], empty: str = "string") -> Column:
-    """``table[key]`` or NULL; ``empty``: the type of the values of an empty table."""
-    buckets, size = _bucketed(table)
-    if not size:
-        return F.lit(None).cast(empty)
-    values = [[table[word] for word in bucket] for bucket in buckets]
-    at = (F.crc32(key) % size).cast("int")
-    bucket = F.get(_constant(buckets, "array<array<string>>"), at)
-    value_type = _sql_type(next(iter(table.values())))
-    found = F.get(_constant(values, f"array<array<{value_type}>>"), at)
-    place = F.array_position(bucket, key).cast("int")
-    return F.when(place > 0, F.get(found, place - 1))
-
-
-def clean_words(words: Column, lists: WordLists) -> Column:
-    """Stopwords out, verb lemmas in, words of up to two letters out; order kept."""
-    kept = F.filter(words, lambda w: ~is_in(w, lists.stopwords))
-    base = F.transform(kept, lambda w: F.coalesce(lookup(w, lists.lemmas), w))
-    return F.filter(base, lambda w: F.char_length(w) > 2)
-
-
-def clean_text(message: Column, lists: WordLists) -> Column:
-    return F.array_join(clean_words(letter_words(message), lists), " ")
-
-
 def words_of(cleaned: Column) -> Column:
     """Words of a cleaned message; an empty array for the empty message."""
     return F.filter(F.split(cleaned, " "), lambda w: w != "")

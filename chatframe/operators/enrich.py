@@ -1,6 +1,7 @@
 """From bare messages to the enriched and scored message table.
 
-Everything here is a projection: one pass over the messages, no shuffle, no join.
+Flags and lengths are projections.  Cleaning and scoring join the words of the messages with
+list tables (:mod:`chatframe.operators.occurrences`); both share one dealing of the messages.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from chatframe.functions import lexicon as lx
 from chatframe.functions import text as tx
 from chatframe.functions.lists import WordLists
+from chatframe.operators.occurrences import KEY, clean, keyed, rule_hits, subjective_hits
 from chatframe.schema import (
     BASE_COLUMNS, MESSAGE_COLUMNS, MONTHS, NEUTRAL, WEEKDAYS, require_columns,
 )
@@ -60,11 +62,13 @@ def enrich(
     *,
     emoji: str = "runs",
     count_short: bool = False,
+    keep_key: bool = False,
 ) -> DataFrame:
     """Add ``emoji_list, emoji_count, has_url, cleaned_message``.
 
     ``emoji="single"`` counts every emoji by itself; ``count_short=True`` also reads
-    emoji from messages of one or two characters.
+    emoji from messages of one or two characters.  ``keep_key=True`` leaves the key by which
+    the rows are dealt, so that :func:`score` need not deal them again.
     """
     if emoji not in ("runs", "single"):
         raise ValueError("emoji must be 'runs' or 'single'")
@@ -73,19 +77,21 @@ def enrich(
     skipped = F.col("_skippable")
     found = tx.emoji_runs(message, single=emoji == "single")
     unread = (skipped & (F.char_length(message) > 2)) if count_short else skipped
-    return (
-        messages.withColumn("_skippable", tx.is_skippable(message))
+    enriched = (
+        clean(keyed(messages, "message").withColumn("_skippable", tx.is_skippable(message)), "message", lists, skipped)
         .withColumns(
             {
                 "emoji_list": F.when(unread | message.isNull(), F.array().cast("array<string>"))
                 .otherwise(found),
                 "has_url": ~skipped & tx.has_url(message),
-                "cleaned_message": F.when(skipped, "").otherwise(tx.clean_text(message, lists)),
+                "cleaned_message": F.coalesce(F.array_join("_words", " "), F.lit("")),
             }
         )
         .withColumn("emoji_count", F.size("emoji_list"))
-        .drop("_skippable")
+        .drop("_skippable", "_words")
     )
+    columns = [*messages.columns, "emoji_list", "has_url", "cleaned_message", "emoji_count"]
+    return enriched.select(*columns, *(KEY if keep_key else []))
 
 
 def score(messages: DataFrame, lists: WordLists = DEFAULT_LISTS) -> DataFrame:
@@ -93,35 +99,19 @@ def score(messages: DataFrame, lists: WordLists = DEFAULT_LISTS) -> DataFrame:
     require_columns(
         messages, ("message", "cleaned_message", "sender", "date", "is_media", "is_deleted")
     )
-    tokens, low, mixed = F.col("_tokens"), F.col("_low"), F.col("_mixed")
-    lexicon = lists.scoring_valence()
     scored_text = F.col("_scored")
-    staged = (
-        messages.withColumn("_scored", is_text() & F.col("message").rlike(tx.WORD))
-        .withColumns(
-            {
-                "_tokens": F.when(scored_text, lx.rule_tokens(F.col("message"))),
-                "_words": F.when(is_text(), tx.words_of(F.col("cleaned_message"))),
-            }
-        )
-        .withColumn("_low", F.transform(tokens, F.lower))
-        .withColumns(
-            {
-                "_mixed": lx.mixed_case(tokens),
-                "_hits": lx.positions_in(low, lexicon),
-                "_terms": lx.subjective_terms(F.col("_words"), lists),
-            }
-        )
-        .withColumns(
-            {
-                "_values": F.transform(
-                    "_hits", lambda i: lx.valence_at(i, tokens, low, mixed, lists)
-                ),
-                "_emphasis": F.when(F.size("_hits") > 0, lx.emphasis(F.col("message"))).otherwise(
-                    0.0
-                ),
-            }
-        )
+    dealt = keyed(messages, "message").withColumn("_scored", is_text() & F.col("message").rlike(tx.WORD))
+    rules = rule_hits(dealt.filter("_scored"), "message", lists)
+    terms = subjective_hits(dealt.filter(is_text() & has_cleaned_text()), "cleaned_message", lists)
+    none, no_terms = F.array().cast("array<double>"), F.array().cast("array<struct<polarity:double,subjectivity:double>>")
+    staged = dealt.join(rules, KEY, "left").join(terms, KEY, "left").withColumns(
+        {
+            "_emphasis": F.when(F.col("_values").isNotNull(), lx.emphasis(F.col("message"))).otherwise(0.0),
+            # Without a scored word only this matters: whether there is a word of two characters.
+            "_n_tokens": F.coalesce("_n_tokens", F.col("message").rlike(tx.LONG_WORD).cast("int")),
+            "_values": F.coalesce("_values", none),
+            "_terms": F.coalesce("_terms", no_terms),
+        }
     )
     staged = lx.with_rule_score(staged).withColumns(
         {
@@ -142,7 +132,7 @@ def score(messages: DataFrame, lists: WordLists = DEFAULT_LISTS) -> DataFrame:
             ).otherwise("Low"),
         }
     ).select(
-        *messages.columns,
+        *[c for c in messages.columns if c not in KEY],
         "sentiment_label", "sentiment_score", "subjectivity", "sentiment_confidence",
         "vader_pos", "vader_neg", "vader_neu",
     )

@@ -29,7 +29,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def sentiment_by_sender(scored: DataFrame) -> DataFrame:
-    """Label counts, shares and mean score per sender; the most positive first."""
+    """Label counts, shares and mean score per sender; :func:`by_mood` puts them in order."""
     require_columns(scored, ("sentiment_label", "sentiment_score"))
     label, total = F.col("sentiment_label"), F.col("total")
     return (
@@ -47,10 +47,14 @@ def sentiment_by_sender(scored: DataFrame) -> DataFrame:
             percent(F.col(NEUTRAL), total).alias("neutral_pct"),
             round_half_even(mean(F.col("_sum"), total), 4).alias("avg_score"),
         )
-        .orderBy("chat_id", F.desc("avg_score"), "sender")
     )
 
 
+def by_mood(senders: DataFrame) -> DataFrame:
+    """The most positive senders first within their chat, for a sink that shows them in order."""
+    return senders.orderBy("chat_id", F.desc("avg_score"), "sender")
+
+
 def sentiment_over_time(scored: DataFrame, freq: str = "W") -> DataFrame:
     """Mean score and messages per day, week or month.
 

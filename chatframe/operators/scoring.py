@@ -1,8 +1,4 @@
-"""Applying a trained model to texts: one projection, for tables and streams alike.
-
-A model has a bounded number of terms, so it enters the plan as a constant; no
-message is shuffled.
-"""
+"""Applying a trained model to texts: their terms are joined with the model's weights."""
 
 from __future__ import annotations
 
@@ -10,58 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatframe.functions.lists import WordLists
-from chatframe.functions.text import (
-    clean_words, is_in, letter_words, lookup, ngrams_of, round_half_even, strip, words_of,
-)
+from chatframe.functions.text import round_half_even, strip, words_of
 from chatframe.operators.enrich import DEFAULT_LISTS, has_cleaned_text, is_text
-from chatframe.operators.training import MAX_FEATURES, SentimentModel
+from chatframe.operators.occurrences import KEY, clean, keyed, term_counts
+from chatframe.operators.training import SentimentModel
 from chatframe.schema import LABELS, NEUTRAL, require_columns
 
 
 def _with_scores(df: DataFrame, words: Column, model: SentimentModel) -> DataFrame:
     """Add ``_scores``, one value per label of the model, in the order of its labels.
 
-    The known terms of a message are sorted; the ends of equal runs give the counts.
+    ``df`` has a key.  A term weighs its scaled count times idf; weights of a text have length 1.
     """
-    if len(model.terms) > MAX_FEATURES:
-        raise ValueError(f"a model has at most {MAX_FEATURES} terms")
-    known, ends, entries = F.col("_known"), F.col("_ends"), F.col("_entries")
-
-    def count_at(j: Column) -> Column:
-        return F.get(ends, j) - F.coalesce(F.get(ends, j - 1), F.lit(-1))
+    entries = F.col("_entries")
 
-    def weigh(e: Column, j: Column) -> Column:
-        entry = lookup(F.get(known, e), model.terms, "array<double>")
-        return F.transform(
-            entry, lambda x, i: F.when(i == 0, (1 + F.ln(count_at(j))) * x).otherwise(x)
-        )
+    def weight(e: Column) -> Column:
+        return (1 + F.ln(e["n"])) * e["weights"][0]
 
     def evidence(k: int) -> Column:
-        return F.aggregate(entries, F.lit(0.0), lambda a, e: a + e[0] * e[k + 1])
-
-    length = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda a, e: a + e[0] * e[0]))
-    staged = (
-        df.withColumn("_w", words)
-        .withColumn("_t", F.concat("_w", ngrams_of(F.col("_w"), 2)))
-        .withColumn(
-            "_known",
-            F.array_sort(F.filter("_t", lambda t: is_in(t, model.terms))),
-        )
-        .withColumn(
-            "_ends",
-            F.filter(
-                F.transform(
-                    known,
-                    lambda t, i: F.when(
-                        F.get(known, i + 1).isNull() | (F.get(known, i + 1) != t), i
-                    ),
-                ),
-                lambda i: i.isNotNull(),
-            ),
-        )
-        .withColumn("_entries", F.transform("_ends", weigh))
-        .withColumn("_length", length)
-    )
+        return F.aggregate(entries, F.lit(0.0), lambda a, e: a + weight(e) * e["weights"][k + 1])
+
+    length = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda a, e: a + weight(e) * weight(e)))
+    staged = df.join(term_counts(df, words, model.table(df.sparkSession)), KEY, "left").withColumn("_length", length)
     scores = F.array(
         *[
             F.lit(float(b))
@@ -69,9 +35,7 @@ def _with_scores(df: DataFrame, words: Column, model: SentimentModel) -> DataFra
             for k, b in enumerate(model.bias)
         ]
     )
-    return staged.withColumn("_scores", scores).drop(
-        "_w", "_t", "_known", "_ends", "_entries", "_length"
-    )
+    return staged.withColumn("_scores", scores).drop("_entries", "_length")
 
 
 def _best_label(model: SentimentModel) -> Column:
@@ -109,15 +73,17 @@ def predict_texts(
     """
     require_columns(texts, (text,))
     body = F.coalesce(F.col(text), F.lit(""))
+    dealt = keyed(texts, text)
     if raw:
         words = F.regexp_extract_all(F.lower(body), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     else:
-        words = clean_words(letter_words(body), lists)
+        dealt = clean(dealt, text, lists)
+        words = F.coalesce("_words", F.array().cast("array<string>"))
     blank = strip(body) == ""
     top = F.array_max("_scores")
     powers = F.transform("_scores", lambda s: F.exp(s - top))
     scored = (
-        _with_scores(texts, words, model)
+        _with_scores(dealt, words, model)
         .withColumn("_powers", powers)
         .withColumn("_sum", F.aggregate("_powers", F.lit(0.0), lambda a, p: a + p))
     )
@@ -137,7 +103,7 @@ def predict_texts(
             ),
             **{f"prob_{x.lower()}": probability(x) for x in LABELS},
         }
-    ).drop("_scores", "_powers", "_sum")
+    ).drop("_scores", "_powers", "_sum", "_words", *KEY)
 
 
 def predict_messages(messages: DataFrame, model: SentimentModel | None) -> DataFrame:
@@ -149,8 +115,9 @@ def predict_messages(messages: DataFrame, model: SentimentModel | None) -> DataF
     if model is None:
         label = F.col("sentiment_label") if "sentiment_label" in messages.columns else F.lit(NEUTRAL)
         return messages.withColumn("predicted_sentiment", label)
-    scored = _with_scores(messages, words_of(F.col("cleaned_message")), model)
+    dealt = keyed(messages, "cleaned_message")
+    scored = _with_scores(dealt, words_of(F.col("cleaned_message")), model)
     return scored.withColumn(
         "predicted_sentiment",
         F.when(is_text() & has_cleaned_text(), _best_label(model)).otherwise(NEUTRAL),
-    ).drop("_scores")
+    ).drop("_scores", *KEY)

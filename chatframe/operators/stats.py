@@ -117,7 +117,7 @@ def processing_stats(enriched: DataFrame) -> DataFrame:
 
 
 def sender_stats(enriched: DataFrame) -> DataFrame:
-    """Twelve columns per sender, busiest senders first within their chat."""
+    """Twelve columns per sender; :func:`by_volume` puts them in order."""
     per_hour = enriched.groupBy("chat_id", "sender", "hour").agg(
         F.count("*").alias("n"),
         F.count_if(is_text()).alias("text"),
@@ -142,27 +142,28 @@ def sender_stats(enriched: DataFrame) -> DataFrame:
     # counted from the messages: this reads one column and no text
     chats = enriched.groupBy("chat_id").agg(F.count("*").alias("_chat_total"))
     total = F.col("total_messages")
-    return (
-        per_sender.join(chats, "chat_id")
-        .select(
-            "chat_id", "sender", "total_messages", "text_messages", "media_messages",
-            "deleted_messages", "total_words",
-            F.when(
-                F.col("text_messages") > 0,
-                ratio(F.col("_text_words"), F.col("text_messages"), 2),
-            )
-            .otherwise(0.0)
-            .alias("avg_words_per_msg"),
-            "total_emojis",
-            ratio(F.col("total_emojis"), total, 2).alias("avg_emojis_per_msg"),
-            "urls_shared",
-            ratio(total, F.col("_chat_total"), 2, 100.0).alias("message_share_pct"),
-            "most_active_hour",
+    return per_sender.join(chats, "chat_id").select(
+        "chat_id", "sender", "total_messages", "text_messages", "media_messages",
+        "deleted_messages", "total_words",
+        F.when(
+            F.col("text_messages") > 0,
+            ratio(F.col("_text_words"), F.col("text_messages"), 2),
         )
-        .orderBy("chat_id", total.desc(), "sender")
+        .otherwise(0.0)
+        .alias("avg_words_per_msg"),
+        "total_emojis",
+        ratio(F.col("total_emojis"), total, 2).alias("avg_emojis_per_msg"),
+        "urls_shared",
+        ratio(total, F.col("_chat_total"), 2, 100.0).alias("message_share_pct"),
+        "most_active_hour",
     )
 
 
+def by_volume(senders: DataFrame) -> DataFrame:
+    """Busiest senders first within their chat, for a sink that shows them in order."""
+    return senders.orderBy("chat_id", F.desc("total_messages"), "sender")
+
+
 def participation(messages: DataFrame) -> DataFrame:
     """Messages and share (one decimal) per sender, with the total of the chat."""
     per_sender = messages.groupBy("chat_id", "sender").agg(F.count("*").alias("messages"))

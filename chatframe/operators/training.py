@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark import inheritable_thread_target
@@ -34,6 +35,7 @@ MIN_DOCUMENTS = 2
 ALPHA = 0.1
 REGRESSION_C = 1.0
 MAX_ITERATIONS = 500
+TOLERANCE = 1e-10
 ROWS_PER_TASK = 20_000
 
 NAIVE_BAYES, LOGISTIC_REGRESSION = "Naive Bayes", "Logistic Regression"
@@ -53,6 +55,13 @@ class SentimentModel:
     bias: list[float]
     terms: dict[str, tuple[float, ...]]
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``(term, weights)``, a row per term."""
+        terms, weights = list(self.terms), [[float(x) for x in v] for v in self.terms.values()]
+        return spark.createDataFrame(
+            pa.table({"term": pa.array(terms, pa.string()), "weights": pa.array(weights, pa.list_(pa.float64()))})
+        )
+
 
 @dataclass
 class ClassifierResult:
@@ -341,7 +350,7 @@ def fit_regression(train: DataFrame, labels: list[str]):
     ).coalesce(max(1, n // ROWS_PER_TASK))
     return LogisticRegression(
         regParam=1.0 / (REGRESSION_C * n), elasticNetParam=0.0, standardization=False,
-        maxIter=MAX_ITERATIONS, weightCol="class_weight", family="auto",
+        maxIter=MAX_ITERATIONS, tol=TOLERANCE, weightCol="class_weight", family="auto",
     ).fit(rows)
 
 
@@ -358,6 +367,80 @@ def regression_predictions(model, test: DataFrame, labels: list[str]) -> DataFra
     )
 
 
+def regression_coefficients(spark: SparkSession, vocab: DataFrame, fitted: dict[int, object], labels: list[str]) -> DataFrame:
+    """``(run, label, term, weight)`` of all fits; the intercept has the empty term.
+
+    Two classes have one row of weights, that of the second label.
+    """
+    rows: dict[str, list] = {"run": [], "label": [], "position": [], "weight": []}
+    for run, model in fitted.items():
+        matrix, intercepts = model.coefficientMatrix.toArray(), list(model.interceptVector.toArray())
+        for label, weights, bias in zip(labels[-len(intercepts):], matrix, intercepts):
+            rows["run"] += [run] * (len(weights) + 1)
+            rows["label"] += [label] * (len(weights) + 1)
+            rows["position"] += range(len(weights) + 1)
+            rows["weight"] += [float(bias), *map(float, weights)]
+    types = (pa.int32(), pa.string(), pa.int32(), pa.float64())
+    table = spark.createDataFrame(pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), types)}))
+    known = vocab.select("run", "position", "term")
+    return table.join(known, ["run", "position"], "left").filter("term IS NOT NULL OR position = 0").select(
+        "run", "label", F.coalesce("term", F.lit("")).alias("term"), "weight"
+    )
+
+
+def regression_gradient(weighted: DataFrame, runs: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """``(run, label, term, gradient)`` of the penalised loss at the coefficients: 0 at the optimum.
+
+    The loss is ``C * sum(weight_i * loss_i) + |w|^2 / 2`` over the training rows, with weights
+    that balance the classes and no penalty on the intercepts, divided by ``C * rows``.
+    """
+    train = runs.filter(F.col("part") == "train")
+    entries = weighted.filter(F.col("part") == "train").select("run", *KEY, "term", F.col("weight").alias("x"))
+    entries = entries.union(train.select("run", *KEY, F.lit("").alias("term"), F.lit(1.0).alias("x")))
+    sizes = train.groupBy("run", "sentiment_label").agg(F.count("*").alias("n_label"))
+    per_run = sizes.groupBy("run").agg(F.sum("n_label").alias("n"), F.count("*").alias("k"))
+    balance = sizes.join(per_run, "run").select(
+        "run", "sentiment_label", "n", (F.col("n") / (F.col("k") * F.col("n_label"))).alias("balance")
+    )
+    margins = (
+        entries.join(coefficients, ["run", "term"])
+        .groupBy("run", *KEY, "label").agg(F.sum(F.col("x") * F.col("weight")).alias("margin"))
+    )
+    # With one row of weights the other label's margin is 0, which the sum of powers starts from.
+    one_row = coefficients.groupBy("run").agg((F.count_distinct("label") == 1).cast("double").alias("other"))
+    whole = margins.join(one_row, "run").groupBy("run", *KEY).agg(
+        (F.first("other") + F.sum(F.exp("margin"))).alias("powers")
+    )
+    slopes = (
+        margins.join(whole, ["run", *KEY]).join(train.select("run", *KEY, "sentiment_label"), ["run", *KEY])
+        .join(balance, ["run", "sentiment_label"])
+        .select(
+            "run", *KEY, "label", "n",
+            (F.col("balance") * (F.exp("margin") / F.col("powers") - (F.col("sentiment_label") == F.col("label")).cast("double"))).alias("slope"),
+        )
+    )
+    summed = slopes.join(entries, ["run", *KEY]).groupBy("run", "label", "term").agg(
+        (F.sum(F.col("slope") * F.col("x")) / F.first("n")).alias("data")
+    )
+    return coefficients.join(per_run, "run").join(summed, ["run", "label", "term"], "left").select(
+        "run", "label", "term",
+        (
+            F.coalesce("data", F.lit(0.0))
+            + F.when(F.col("term") == "", 0.0).otherwise(F.col("weight") / (REGRESSION_C * F.col("n")))
+        ).alias("gradient"),
+    )
+
+
+def fit_regressions(weighted: DataFrame, runs: DataFrame, labels: list[str]) -> tuple[dict[int, object], DataFrame]:
+    """A model for each run, and the vectors they were fitted on."""
+    vectors = regression_rows(weighted, runs)
+    parts = [vectors.filter((F.col("run") == run) & (F.col("part") == "train")) for run in range(FOLDS + 1)]
+    # the iterations of one fit leave most cores idle, so the fits run side by side
+    with ThreadPoolExecutor(len(parts)) as pool:
+        fit = inheritable_thread_target(weighted.sparkSession)(fit_regression)
+        return dict(enumerate(pool.map(fit, parts, [labels] * len(parts)))), vectors
+
+
 # --- the whole training ----------------------------------------------------------------
 
 
@@ -402,16 +485,7 @@ def train_classifier(rows: DataFrame) -> ClassifierResult:
     labels = sorted(distribution)
     weights = naive_bayes_weights(weighted, runs, vocab)
     bayes = naive_bayes_predictions(weighted, runs, weights)
-    vectors = regression_rows(weighted, runs)
-    training_parts = [
-        vectors.filter((F.col("run") == run) & (F.col("part") == "train"))
-        for run in range(FOLDS + 1)
-    ]
-    # the iterations of one fit leave most cores idle, so the fits run side by side
-    with ThreadPoolExecutor(len(training_parts)) as pool:
-        fit = inheritable_thread_target(spark)(fit_regression)
-        fitted = pool.map(fit, training_parts, [labels] * len(training_parts))
-        regressions = dict(enumerate(fitted))
+    regressions, vectors = fit_regressions(weighted, runs, labels)
     regression = reduce(
         DataFrame.unionByName,
         [

@@ -118,8 +118,8 @@ def feature_summary(enriched: DataFrame) -> DataFrame:
 
 
 def scored_messages(messages: DataFrame, lists: WordLists = DEFAULT_LISTS) -> DataFrame:
-    """Bare messages to the scored message table, in one projection."""
-    return score(enrich(message_table(messages), lists), lists)
+    """Bare messages to the scored message table; they are dealt by their key once."""
+    return score(enrich(message_table(messages), lists, keep_key=True), lists)
 
 
 def with_predictions(scored: DataFrame, model, modes: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def analyze(
         label_distribution=mood.label_distribution(full),
         top_emojis=terms.top_emojis(full),
         agreement=mood.agreement(full),
-        model_metadata=model_metadata(spark, f"{model_path}/metadata")
+        model_metadata=model_metadata(spark, model_path)
         if model_path is not None and model is not None
         else None,
         training=training,

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatframe.operators import activity, mood, stats, terms
@@ -48,28 +53,78 @@ def sender_split_feed(scored: DataFrame) -> DataFrame:
     )
 
 
+FEEDS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "word_cloud": terms.word_weights,
+    "top_words": terms.top_words,
+    "hourly_activity": hourly_feed,
+    "weekday_activity": weekday_feed,
+    "monthly_activity": activity.monthly_activity,
+    "participation": stats.participation,
+    "top_bigrams": terms.top_bigrams,
+    "sentiment_split": sentiment_split_feed,
+    "sentiment_trend": trend_feed,
+    "sentiment_by_sender": sender_split_feed,
+}
+
+
 def chart_feeds(scored: DataFrame) -> dict[str, DataFrame]:
-    """The data of the ten charts; each is its own lazy table and fails alone."""
-    return {
-        "word_cloud": terms.word_weights(scored),
-        "top_words": terms.top_words(scored),
-        "hourly_activity": hourly_feed(scored),
-        "weekday_activity": weekday_feed(scored),
-        "monthly_activity": activity.monthly_activity(scored),
-        "participation": stats.participation(scored),
-        "top_bigrams": terms.top_bigrams(scored),
-        "sentiment_split": sentiment_split_feed(scored),
-        "sentiment_trend": trend_feed(scored),
-        "sentiment_by_sender": sender_split_feed(scored),
-    }
+    """The data of the ten charts; each is its own lazy table."""
+    return {name: build(scored) for name, build in FEEDS.items()}
+
+
+def save_feeds(
+    scored: DataFrame, path: str, feeds: dict[str, Callable[[DataFrame], DataFrame]] | None = None, at_once: int = 4
+) -> DataFrame:
+    """Write every feed below ``path``, ``at_once`` side by side; a feed that fails stops no other.
+
+    A feed is written to ``feeds/<name>`` and then entered in the ledger, one row per feed:
+    ``(feed, status, rows, error)``.  A feed that fails keeps the result of the run before, and its
+    row says why.  Returns the ledger of this run.
+    """
+    spark = scored.sparkSession
+    feeds = FEEDS if feeds is None else feeds
+    run = uuid.uuid4().hex
+
+    def write(name: str) -> tuple[str, str, int | None, str | None]:
+        try:
+            target = f"{path}/feeds/{name}/{run}"
+            feeds[name](scored).write.parquet(target)
+            return name, "ok", spark.read.parquet(target).count(), None
+        except Exception as problem:  # whatever a feed does, the other nine are written
+            return name, "failed", None, f"{type(problem).__name__}: {problem}".splitlines()[0]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(write), feeds))
+    ledger = spark.createDataFrame(
+        [(run, time.time_ns(), *row) for row in rows], "run string, at long, feed string, status string, rows long, error string"
+    )
+    ledger.coalesce(1).write.mode("append").json(f"{path}/ledger")
+    return ledger.drop("run", "at")
+
+
+def read_feed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The last result of a feed that was written without a failure."""
+    schema = "run string, at long, feed string, status string, rows long, error string"
+    done = spark.read.schema(schema).json(f"{path}/ledger").filter((F.col("feed") == name) & (F.col("status") == "ok"))
+    last = done.orderBy(F.desc("at")).first()
+    if last is None:
+        raise FileNotFoundError(f"no feed {name} under {path}")
+    return spark.read.parquet(f"{path}/feeds/{name}/{last['run']}")
 
 
 # --- dashboard ----------------------------------------------------------------------
 
 
+def _plain(df: DataFrame, column: str) -> Column:
+    """A value as JSON shows it everywhere: fractions with four decimals, keys in the given order."""
+    value = F.col(column)
+    return value.cast("decimal(18,4)").alias(column) if dict(df.dtypes)[column] == "double" else value
+
+
 def _one(df: DataFrame, section: str, order: str, *columns: str) -> DataFrame:
     """One JSON array per chat, for series whose length is fixed by definition."""
-    rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order])))
+    fields = [order, *[c for c in columns if c != order]]
+    rows = F.array_sort(F.collect_list(F.struct(*[_plain(df, c) for c in fields])))
     return df.groupBy("chat_id").agg(F.to_json(rows).alias("payload")).select(
         "chat_id", F.lit(section).alias("section"), F.lit("").alias("key"), "payload"
     )
@@ -79,7 +134,7 @@ def _each(df: DataFrame, section: str, key: str, *columns: str) -> DataFrame:
     """One JSON object per sender or period, for series that grow with the chat."""
     return df.select(
         "chat_id", F.lit(section).alias("section"), F.col(key).cast("string").alias("key"),
-        F.to_json(F.struct(*columns)).alias("payload"),
+        F.to_json(F.struct(*[_plain(df, c) for c in columns])).alias("payload"),
     )
 
 
@@ -87,7 +142,8 @@ def dashboard(scored: DataFrame, metadata: DataFrame | None = None) -> DataFrame
     """``(chat_id, section, key, payload)``: every series of the dashboard as JSON.
 
     Series of fixed length are one document per chat; series with an entry per sender
-    or week are one document per entry, so no chat has to fit one row.
+    or week are one document per entry, so no chat has to fit one row.  Documents are
+    canonical: equal tables give equal bytes.
     """
     keywords = (
         terms.sender_keywords(scored)

@@ -19,6 +19,7 @@ SELECT doc_id AS msg_seq, lang AS chat_id, source AS sender,
          CASE doc_id % 5 WHEN 0 THEN 'I really love this, GREAT work!! '
                          WHEN 1 THEN 'This is not good, terrible. '
                          WHEN 2 THEN 'Meeting at 5pm. '
+                         WHEN 3 THEN 'We all thought it was the bomb, but the end is kind of a kiss of death. '
                          ELSE '' END,
          trim(text), '.',
          CASE WHEN doc_id % 7 = 0

@@ -468,7 +468,7 @@ FROM messages GROUP BY chat_id""",
     "cross_validation_folds": trained("SELECT * FROM folds", "folds"),
     "model_vocabulary": trained(f"SELECT * REPLACE ({rnd('idf', 6)} AS idf, position::INT AS position) FROM vocab", "vocab"),
     "tfidf_features": trained(
-        f"SELECT * EXCLUDE (run) REPLACE ({rnd('weight', 6)} AS weight) FROM weighted WHERE run = 0", "weighted"
+        f"SELECT * REPLACE ({rnd('weight', 6)} AS weight) FROM weighted", "weighted"
     ),
     "naive_bayes_weights": trained(
         f"SELECT * REPLACE ({rnd('weight', 6)} AS weight) FROM bayes", "bayes"
@@ -666,3 +666,95 @@ SELECT section, CASE WHEN length(chat_id) < 20 THEN rpad(chat_id, 20, ' ') ELSE
        || CASE WHEN length(key) < 35 THEN rpad(key, 35, ' ') ELSE key END || ': ' || coalesce(value, '–') AS value
 FROM inner_result""",
 )
+
+ORACLES |= {
+    "senders_by_volume": wrapped("sender_stats", "SELECT chat_id, sender, total_messages FROM inner_result"),
+    "senders_by_mood": wrapped("sentiment_by_sender", "SELECT chat_id, sender, avg_score FROM inner_result"),
+    "saved_model": trained(
+        f"""
+SELECT b.term, b.label, {rnd('v.idf', 6)} AS idf, {rnd('b.weight', 6)} AS weight
+FROM bayes b JOIN vocab v ON v.run = b.run AND v.term = b.term WHERE b.run = 0""",
+        "bayes", "vocab",
+    ),
+    # At the optimum the penalised gradient vanishes; rows and terms are those of each run.
+    "regression_certificate": trained(
+        """
+SELECT run, (SELECT count(*) FROM runs r WHERE r.run = v.run AND part = 'train') AS rows,
+       count(*) + 1 AS terms, true AS optimal
+FROM vocab v GROUP BY run""",
+        "runs", "vocab",
+    ),
+    "live_stream": ORACLES["live_scores"],
+    "trend_stream": wrapped("sentiment_weekly", "SELECT chat_id, date, avg_score, message_count FROM inner_result"),
+    "late_stream": wrapped("sentiment_weekly", "SELECT chat_id, date, message_count AS messages FROM inner_result"),
+}
+
+
+# --- the dashboard's documents, written out by hand -----------------------------------------
+
+
+def document(*fields: tuple[str, str]) -> str:
+    """A JSON object; every field is a name and how its value is written."""
+    parts = [f"'{',' if n else ''}\"{name}\":' || {value}" for n, (name, value) in enumerate(fields)]
+    return "'{' || " + " || ".join(parts) + " || '}'"
+
+
+def whole(name: str) -> tuple[str, str]:
+    return name, f"{name}::VARCHAR"
+
+
+def fraction(name: str) -> tuple[str, str]:
+    return name, f"{name}::DECIMAL(18,4)::VARCHAR"
+
+
+def words(name: str) -> tuple[str, str]:
+    return name, f"to_json({name})::VARCHAR"
+
+
+def one(section: str, name: str, order: str, *fields: tuple[str, str]) -> str:
+    return (
+        f"SELECT chat_id, '{section}' AS section, '' AS key, '[' || string_agg({document(*fields)}, ',' ORDER BY {order}) || ']'"
+        f" AS payload FROM ({ORACLES[name]}) GROUP BY chat_id"
+    )
+
+
+def each(section: str, name: str, key: str, *fields: tuple[str, str]) -> str:
+    return f"SELECT chat_id, '{section}', {key}::VARCHAR, {document(*fields)} FROM ({ORACLES[name]})"
+
+
+KEYWORDS = (
+    "SELECT chat_id, 'tfidf', sender, '{\"terms\":' || to_json(list(term ORDER BY rank))::VARCHAR || '}'"
+    f" FROM ({ORACLES['sender_keywords']}) GROUP BY chat_id, sender"
+)
+ORACLES["dashboard"] = "\nUNION ALL\n".join([
+    one("hourly", "hourly_activity", "hour", whole("hour"), whole("messages")),
+    one("daily", "weekday_activity", "position", whole("position"), words("day_name"), whole("messages")),
+    one("monthly", "monthly_activity", "month", whole("month"), words("month_name"), whole("messages")),
+    one("top_words", "top_words", "rank", whole("rank"), words("word"), whole("count")),
+    one("bigrams", "top_bigrams", "rank", whole("rank"), words("phrase"), whole("count")),
+    one("emojis", "top_emojis", "rank", whole("rank"), words("emoji"), whole("count")),
+    one("sentiment_dist", "label_distribution", "label", words("label"), fraction("share_pct")),
+    KEYWORDS,
+    each("response_times", "reply_times", "sender", fraction("avg_minutes"), fraction("avg_seconds")),
+    each("user_msgs", "participation", "sender", whole("messages"), fraction("share_pct")),
+    each(
+        "monthly_by_sender", "monthly_volume_by_sender", "sender",
+        whole("month"), words("month_name"), whole("messages"),
+    ),
+    each(
+        "sentiment_by_sender", "sentiment_by_sender", "sender",
+        fraction("positive_pct"), fraction("neutral_pct"), fraction("negative_pct"), fraction("avg_score"),
+    ),
+    each("sentiment_trend", "sentiment_weekly", "date", fraction("avg_score"), whole("message_count")),
+])
+
+FEEDS = {
+    "word_cloud": "word_weights", "top_words": "top_words", "hourly_activity": "hourly_feed",
+    "weekday_activity": "weekday_feed", "monthly_activity": "monthly_activity", "participation": "participation",
+    "top_bigrams": "top_bigrams", "sentiment_split": "sentiment_split_feed", "sentiment_trend": "sentiment_trend_feed",
+    "sentiment_by_sender": "sender_split_feed",
+}
+ORACLES["feed_ledger"] = "\nUNION ALL\n".join(
+    [f"SELECT '{feed}' AS feed, 'ok' AS status, count(*) AS rows FROM ({ORACLES[name]})" for feed, name in FEEDS.items()]
+    + ["SELECT 'broken', 'failed', NULL"]
+)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatframe.functions.text import round_half_even
 from chatframe.operators import activity, mood, sampling, scoring, stats, terms, training
-from chatframe.operators.enrich import enrich, message_table, score
+from chatframe.operators.enrich import enrich, message_table
 from chatframe.plans import outputs
-from chatframe.plans.analysis import feature_summary
-from chatframe.plans.store import stored
-from chatframe.sources import exports
+from chatframe.plans.analysis import feature_summary, scored_messages
+from chatframe.plans.store import shared_folder, stored
+from chatframe.sources import exports, models
 from chatframe.sources.tables import chat_messages
 from chatframe.streaming import live
 
@@ -29,7 +31,7 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(enriched(spark, sf_dir))
+    return scored_messages(chat_messages(spark, sf_dir))
 
 
 def over(table: Query, operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
@@ -140,81 +142,149 @@ def parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.parse_report(exports.timed_blocks(exports.split_lines(lines)))
 
 
-# --- training: each table is stored once per session and data set ------------------------
+# --- training: a query stores each table it reads more than once, for itself alone --------
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
+class Training:
+    """The tables of one training run, each built when first asked for."""
 
-def once(name: str, build: Query) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, name)
-        if key not in _STORED:
-            _STORED[key] = stored(build(spark, sf_dir), name)
-        return _STORED[key]
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
-    return query
+    @cached_property
+    def scored(self) -> DataFrame:
+        return stored(scored(self.spark, self.sf_dir), "scored")
+
+    @cached_property
+    def sample(self) -> DataFrame:
+        return stored(training.training_sample(self.scored), "sample")
 
+    @cached_property
+    def runs(self) -> DataFrame:
+        return stored(training.runs_of(self.sample), "runs")
 
-scored_once = once("scored", scored)
-sample_once = once("sample", over(scored_once, training.training_sample))
-runs_once = once("runs", over(sample_once, training.runs_of))
-counts_once = once("counts", over(sample_once, training.term_counts))
+    @cached_property
+    def counts(self) -> DataFrame:
+        return stored(training.term_counts(self.sample), "counts")
 
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        return stored(training.vocabulary(self.counts, self.runs), "vocabulary")
 
-def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.vocabulary(counts_once(spark, sf_dir), runs_once(spark, sf_dir))
+    @cached_property
+    def features(self) -> DataFrame:
+        return stored(training.features(self.counts, self.runs, self.vocabulary), "features")
 
+    @cached_property
+    def weights(self) -> DataFrame:
+        return training.naive_bayes_weights(self.features, self.runs, self.vocabulary)
 
-vocabulary_once = once("vocabulary", _vocabulary)
+    @property
+    def confusion(self) -> DataFrame:
+        return training.confusion(training.naive_bayes_predictions(self.features, self.runs, self.weights))
 
+    @property
+    def report(self) -> DataFrame:
+        return training.class_report(self.confusion)
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = (t(spark, sf_dir) for t in (counts_once, runs_once, vocabulary_once))
-    return training.features(*tables)
+    @cached_property
+    def model(self) -> training.SentimentModel:
+        return training.model_of(self.vocabulary, self.weights, training.class_priors(self.runs))
 
+    @property
+    def predicted(self) -> DataFrame:
+        return scoring.predict_messages(self.scored, self.model)
 
-features_once = once("features", _features)
 
+def of_training(result: Callable[[Training], DataFrame]) -> Query:
+    return lambda spark, sf_dir: result(Training(spark, sf_dir))
 
-def bayes_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = (t(spark, sf_dir) for t in (features_once, runs_once, vocabulary_once))
-    return training.naive_bayes_weights(*tables)
 
+def live_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_messages(spark, sf_dir).select("chat_id", "msg_seq", F.col("message").alias("text"))
 
-def bayes_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted, runs = features_once(spark, sf_dir), runs_once(spark, sf_dir)
-    weights = bayes_weights(spark, sf_dir)
-    return training.confusion(training.naive_bayes_predictions(weighted, runs, weights))
 
+def live_scored(t: Training) -> DataFrame:
+    return live.live_scores(live_texts(t.spark, t.sf_dir), t.model).drop("text")
 
-confusion_once = once("confusion", bayes_confusion)
-report_query = over(confusion_once, training.class_report)
 
-_MODELS: dict[tuple[str, str], training.SentimentModel] = {}
+def regression_certificate(t: Training) -> DataFrame:
+    """Each of the six regressions is at its optimum: no slope of the penalised loss is left."""
+    labels = sorted(r[0] for r in t.sample.select("sentiment_label").distinct().collect())
+    fitted, _ = training.fit_regressions(t.features, t.runs, labels)
+    coefficients = stored(training.regression_coefficients(t.spark, t.vocabulary, fitted, labels), "coefficients")
+    gradient = training.regression_gradient(t.features, t.runs, coefficients)
+    per_run = gradient.groupBy("run").agg(
+        F.count_distinct("term").alias("terms"), (F.max(F.abs("gradient")) < 1e-6).alias("optimal")
+    )
+    rows = t.runs.filter("part = 'train'").groupBy("run").agg(F.count("*").alias("rows"))
+    return per_run.join(rows, "run").select("run", "rows", "terms", "optimal")
 
 
-def bayes_model(spark: SparkSession, sf_dir: str) -> training.SentimentModel:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = training.model_of(
-            vocabulary_once(spark, sf_dir), bayes_weights(spark, sf_dir),
-            training.class_priors(runs_once(spark, sf_dir)),
-        )
-    return _MODELS[key]
+def feed_ledger(t: Training) -> DataFrame:
+    """The ten feeds, written side by side; one more that breaks costs none of them."""
+    path = f"{shared_folder(t.spark)}/feeds-{uuid.uuid4().hex}"
+    feeds = outputs.FEEDS | {"broken": lambda messages: messages.select("no_such_column")}
+    return outputs.save_feeds(t.scored, path, feeds).select("feed", "status", "rows")
+
+
+# --- saved models and streams, over files that the query writes for itself -----------------
+
+
+def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The naive Bayes model, saved as a second version and read back through the manifest."""
+    path = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    models.save_model(spark, training.SentimentModel("empty", ["Neutral"], [0.0], {}), path)
+    models.save_model(spark, Training(spark, sf_dir).model, path)
+    return models.model_terms(spark, path)
+
+
+def _replayed(df: DataFrame, name: str, parts: int) -> DataFrame:
+    """The rows of a table as a stream of files, ``parts`` of them in a micro-batch."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    read = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", parts)
+    return read.parquet(path)
 
 
-def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.predict_messages(scored_once(spark, sf_dir), bayes_model(spark, sf_dir))
+def live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages scored as they come, in several micro-batches; the last run finds nothing new."""
+    texts = live_texts(spark, sf_dir)
+    out = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    models.save_model(spark, Training(spark, sf_dir).model, f"{out}/model")
+    stream = _replayed(texts, "incoming", 2)
+    for _ in range(2):
+        live.start_live_scores(stream, f"{out}/model", f"{out}/scores", f"{out}/checkpoint").awaitTermination()
+    return live.live_results(spark, f"{out}/scores", texts.schema).drop("text", "batch_id", "model_version")
 
 
-def live_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = chat_messages(spark, sf_dir).select("chat_id", "msg_seq", F.col("message").alias("text"))
-    return live.live_scores(texts, bayes_model(spark, sf_dir)).drop("text")
+def trend_replay(spark: SparkSession, sf_dir: str, delay: str, files: int) -> str:
+    """The weekly trend over scored messages that come as files in order of time."""
+    columns = ["chat_id", "datetime", "sentiment_score", "is_media", "is_deleted"]
+    rows = scored(spark, sf_dir).select(*columns).repartitionByRange(4, "datetime")
+    out = f"{shared_folder(spark)}/trend-{uuid.uuid4().hex}"
+    for query in live.start_trend(_replayed(rows, "scored-files", files), out, f"{out}/checkpoint", delay=delay):
+        query.awaitTermination()
+    return out
+
+
+def trend_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No message is late for a trend that waits a hundred years."""
+    return live.trend_so_far(spark, trend_replay(spark, sf_dir, "36500 days", 2))
+
+
+def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by week, taken and late, when the trend waits for a day only: their sums are fixed."""
+    out = trend_replay(spark, sf_dir, "1 day", 1)
+    taken, late = live.trend_so_far(spark, out), live.late_messages(spark, out)
+    both = taken.join(late, ["chat_id", "date"], "full")
+    n = F.coalesce("message_count", F.lit(0)) + F.coalesce("late_messages", F.lit(0))
+    return both.select("chat_id", "date", n.cast("long").alias("messages"))
 
 
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both classifiers on the training sample; logistic regression has no SQL form."""
-    result = training.train_classifier(sample_once(spark, sf_dir))
+    result = training.train_classifier(Training(spark, sf_dir).sample)
     rows = [
         (name, c["accuracy"], c["f1_score"], c["cross_val_mean"], c["cross_val_std"], name == result.model_name)
         for name, c in result.candidates.items()
@@ -234,49 +304,43 @@ def rounded(query: Query, *columns: str) -> Query:
     return run
 
 
-def first_run(query: Query) -> Query:
-    return lambda spark, sf_dir: query(spark, sf_dir).filter("run = 0").drop("run", "position")
-
-
 QUERIES |= {
+    "senders_by_volume": over(enriched, lambda df: stats.by_volume(stats.sender_stats(df)).select("chat_id", "sender", "total_messages")),
+    "senders_by_mood": over(scored, lambda df: mood.by_mood(mood.sentiment_by_sender(df)).select("chat_id", "sender", "avg_score")),
     "parsed_messages": over(exported_lines, exports.parse_lines),
     "parse_report": parse_quality,
     "run_modes": over(messages, training.run_modes, model_exists=False),
-    "training_sample": over(scored_once, training.training_sample),
-    "train_test_split": over(
-        sample_once, lambda df: sampling.split_train_test(df).drop("cleaned_message")
-    ),
-    "cross_validation_folds": over(
-        sample_once, lambda df: sampling.assign_folds(df).drop("cleaned_message")
-    ),
-    "model_vocabulary": rounded(_vocabulary, "idf"),
-    "tfidf_features": rounded(first_run(_features), "weight"),
-    "naive_bayes_weights": rounded(bayes_weights, "weight"),
-    "class_priors": rounded(over(runs_once, training.class_priors), "bias"),
-    "naive_bayes_confusion": bayes_confusion,
-    "class_report": rounded(report_query, "precision", "recall", "f1"),
-    "run_scores": rounded(
-        over(confusion_once, lambda df: training.run_scores(training.class_report(df))),
-        "accuracy", "weighted_f1",
-    ),
-    "cross_validation": over(
-        confusion_once,
-        lambda df: training.cross_validation(training.run_scores(training.class_report(df))),
+    "training_sample": of_training(lambda t: training.training_sample(t.scored)),
+    "train_test_split": of_training(lambda t: sampling.split_train_test(t.sample).drop("cleaned_message")),
+    "cross_validation_folds": of_training(lambda t: sampling.assign_folds(t.sample).drop("cleaned_message")),
+    "model_vocabulary": rounded(of_training(lambda t: training.vocabulary(t.counts, t.runs)), "idf"),
+    "tfidf_features": rounded(
+        of_training(lambda t: training.features(t.counts, t.runs, t.vocabulary).drop("position")), "weight"
     ),
+    "naive_bayes_weights": rounded(of_training(lambda t: t.weights), "weight"),
+    "class_priors": rounded(of_training(lambda t: training.class_priors(t.runs)), "bias"),
+    "naive_bayes_confusion": of_training(lambda t: t.confusion),
+    "class_report": rounded(of_training(lambda t: t.report), "precision", "recall", "f1"),
+    "run_scores": rounded(of_training(lambda t: training.run_scores(t.report)), "accuracy", "weighted_f1"),
+    "cross_validation": of_training(lambda t: training.cross_validation(training.run_scores(t.report))),
+    "regression_certificate": of_training(regression_certificate),
     "model_comparison": model_comparison,
-    "predicted_messages": over(
-        predicted, lambda df: df.select("chat_id", "msg_seq", "predicted_sentiment")
-    ),
-    "agreement": over(predicted, mood.agreement),
-    "live_scores": live_scored,
+    "saved_model": rounded(saved_model, "idf", "weight"),
+    "predicted_messages": of_training(lambda t: t.predicted.select("chat_id", "msg_seq", "predicted_sentiment")),
+    "agreement": of_training(lambda t: mood.agreement(stored(t.predicted, "predicted"))),
+    "live_scores": of_training(live_scored),
+    "live_stream": live_stream,
+    "trend_stream": trend_of_stream,
+    "late_stream": late_stream,
     "feature_summary": over(enriched, feature_summary),
     "hourly_feed": over(messages, outputs.hourly_feed),
     "weekday_feed": over(messages, outputs.weekday_feed),
     "sentiment_split_feed": over(scored, outputs.sentiment_split_feed),
     "sentiment_trend_feed": over(scored, outputs.trend_feed),
     "sender_split_feed": over(scored, outputs.sender_split_feed),
-    "detailed_results": over(scored_once, outputs.detailed_results),
-    "written_report": over(scored_once, outputs.report),
-    "report_lines": over(scored_once, lambda df: outputs.report_lines(outputs.report(df))),
-    "dashboard": over(scored_once, outputs.dashboard),
+    "feed_ledger": of_training(feed_ledger),
+    "detailed_results": of_training(lambda t: outputs.detailed_results(t.scored)),
+    "written_report": of_training(lambda t: outputs.report(t.scored)),
+    "report_lines": of_training(lambda t: outputs.report_lines(outputs.report(t.scored))),
+    "dashboard": of_training(lambda t: outputs.dashboard(t.scored)),
 }

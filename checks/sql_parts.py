@@ -150,6 +150,7 @@ FROM flagged f LEFT JOIN cleaned c USING (chat_id, msg_seq)""",
     "boosters": (
         "SELECT * FROM (" + values(sorted(LISTS.boosters.items())) + ") t(token, delta)", ()
     ),
+    "idioms": ("SELECT * FROM (" + values(sorted(LISTS.idioms.items())) + ") t(phrase, valence)", ()),
     "rule_tokens": (
         f"""
 SELECT chat_id, msg_seq, tok, lower(tok) AS low,
@@ -177,7 +178,7 @@ FROM rule_tokens GROUP BY ALL""",
 SELECT chat_id, msg_seq, pos, low, shouted,
        lag(low, 1) OVER w AS p1, lag(low, 2) OVER w AS p2, lag(low, 3) OVER w AS p3,
        lag(shouted, 1) OVER w AS u1, lag(shouted, 2) OVER w AS u2, lag(shouted, 3) OVER w AS u3,
-       lead(low, 1) OVER w AS n1
+       lead(low, 1) OVER w AS n1, lead(low, 2) OVER w AS n2
 FROM rule_tokens WINDOW w AS (PARTITION BY chat_id, msg_seq ORDER BY pos)""",
         ("rule_tokens",),
     ),
@@ -191,13 +192,30 @@ WITH base AS (
   JOIN token_totals t USING (chat_id, msg_seq)),
 one AS (SELECT base.*, {_step('v0', 1)} AS v1 FROM base LEFT JOIN boosters b1 ON p1 = b1.token),
 two AS (SELECT one.*, {_step('v1', 2)} AS v2 FROM one LEFT JOIN boosters b2 ON p2 = b2.token),
-three AS (SELECT two.*, {_step('v2', 3)} AS v3 FROM two LEFT JOIN boosters b3 ON p3 = b3.token)
+three AS (SELECT two.*, {_step('v2', 3)} AS v3 FROM two LEFT JOIN boosters b3 ON p3 = b3.token),
+-- idioms and weakening phrases look at whole runs of words around the scored one
+phrased AS (
+  SELECT three.*, p3 IS NOT NULL AND p3 NOT IN (SELECT token FROM valence) AS looks,
+         p3 || ' ' || p2 AS q32, p3 || ' ' || p2 || ' ' || p1 AS q321, p2 || ' ' || p1 AS q21,
+         p2 || ' ' || p1 || ' ' || low AS q210, p1 || ' ' || low AS q10, low || ' ' || n1 AS q01,
+         low || ' ' || n1 || ' ' || n2 AS q012
+  FROM three),
+idiomatic AS (
+  SELECT phrased.* EXCLUDE (v3),
+         coalesce(i012.valence, i01.valence, i10.valence, i210.valence, i21.valence, i321.valence, i32.valence, v3)
+         + coalesce(least(w32.delta, w21.delta), 0.0::DOUBLE) AS v3
+  FROM phrased
+  LEFT JOIN idioms i012 ON looks AND q012 = i012.phrase LEFT JOIN idioms i01 ON looks AND q01 = i01.phrase
+  LEFT JOIN idioms i10 ON looks AND q10 = i10.phrase LEFT JOIN idioms i210 ON looks AND q210 = i210.phrase
+  LEFT JOIN idioms i21 ON looks AND q21 = i21.phrase LEFT JOIN idioms i321 ON looks AND q321 = i321.phrase
+  LEFT JOIN idioms i32 ON looks AND q32 = i32.phrase
+  LEFT JOIN boosters w32 ON looks AND q32 = w32.token LEFT JOIN boosters w21 ON looks AND q21 = w21.token)
 SELECT chat_id, msg_seq, pos,
        v3 * CASE WHEN p1 = 'least' AND coalesce(p2 NOT IN ('at', 'very'), true) THEN -0.74 ELSE 1.0 END::DOUBLE
           * CASE WHEN low = 'kind' AND n1 = 'of' THEN 0.0 ELSE 1.0 END::DOUBLE
           * CASE WHEN pos < but_at THEN 0.5 WHEN pos > but_at THEN 1.5 ELSE 1.0 END::DOUBLE AS v
-FROM three""",
-        ("neighbours", "valence", "boosters", "token_totals"),
+FROM idiomatic""",
+        ("neighbours", "valence", "boosters", "idioms", "token_totals"),
     ),
     "rule_scores": (
         f"""

@@ -11,7 +11,7 @@ from chatframe.operators.scoring import predict_texts
 from chatframe.plans.analysis import scored_messages
 from chatframe.plans.outputs import dashboard, detailed_results
 from chatframe.sources.models import model_exists
-from chatframe.streaming.live import live_scores, start_live_scores, trend_stream
+from chatframe.streaming.live import live_results, live_scores, start_live_scores
 
 GOOD = ["great work team, I love it", "what a wonderful happy day", "excellent, best plan ever",
         "thanks, this is awesome and fun"]
@@ -101,9 +101,10 @@ def test_stream_equals_batch(spark, run, tmp_path):
     df = spark.createDataFrame(texts, "id int, text string")
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    start_live_scores(stream, model, str(tmp_path / "out"), str(tmp_path / "cp"), max_chars=500).awaitTermination()
-    got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect()))
-    want = live_scores(df, model, max_chars=500).collect()
+    start_live_scores(stream, run[1], str(tmp_path / "out"), str(tmp_path / "cp"), max_chars=500).awaitTermination()
+    found = live_results(spark, str(tmp_path / "out"), df.schema)
+    got = sorted(map(str, found.drop("batch_id", "model_version").collect()))
+    want = live_scores(df, model, max_chars=500).select(found.drop("batch_id", "model_version").columns).collect()
     assert got == sorted(map(str, want))
     errors = {r["id"]: r["error"] for r in want}
     assert errors[8] == "Text is empty." and errors[9].startswith("Text too long")
@@ -114,26 +115,6 @@ def test_stream_equals_batch(spark, run, tmp_path):
     assert all(abs(r["prob_positive"] + r["prob_negative"] - 1) < 1e-3 for r in both)
 
 
-def test_trend_stream_equals_batch(spark, messages, tmp_path):
-    from chatframe.operators.mood import sentiment_over_time
-
-    bare = messages.filter("chat_id = 'big'")
-    bare.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(bare.schema).parquet(str(tmp_path / "in"))
-    q = (
-        trend_stream(scored_messages(stream), "W")
-        .writeStream.format("memory").queryName("trend").outputMode("append")
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    got = sorted(map(tuple, spark.table("trend").collect()))
-    want = sorted(
-        map(tuple, sentiment_over_time(scored_messages(bare), "W")
-            .select("chat_id", "date", "avg_score", "message_count").collect())
-    )
-    assert got and got == want[: len(got)] and len(want) - len(got) <= 1
-
-
 def test_alone_or_together(spark, messages):
     together = scored_messages(messages.repartition(7)).filter("chat_id = 'big'")
     alone = scored_messages(messages.filter("chat_id = 'big'").coalesce(1))

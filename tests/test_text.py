@@ -176,13 +176,6 @@ def test_weeks_and_months(spark):
         mood.sentiment_over_time(s, "Q")
 
 
-def test_lookup_finds_every_word(spark):
-    words = {f"w{i}é": float(i) for i in range(500)}
-    df = spark.createDataFrame([(w,) for w in words] + [("nope",), (None,)], "w string")
-    rows = df.select("w", tx.lookup(F.col("w"), words), tx.is_in(F.col("w"), words)).collect()
-    assert all(r[1] == words.get(r[0]) and r[2] == (r[0] in words) for r in rows)
-
-
 def test_missing_columns_fail_early(spark):
     with pytest.raises(ValueError, match="message"):
         require_columns(spark.range(1), ["message"])
