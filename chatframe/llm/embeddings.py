@@ -16,8 +16,9 @@ their values); every vector is indexed.  A pair is lost if it is more than ``rad
 apart in every segment; with 6 segments of 10 or 11 bits and radius 1 that is, for bits that
 differ independently, 1 in 100 pairs at cosine 0.9 itself and 1 in 1,000 at 0.95.
 
-Null and zero vectors, and those with null or non-finite components or of another length
-than most, link with nothing and are their own component.  Null ids take part; equal rows
+Vectors of different lengths have no cosine; those of each length are searched by themselves.
+Components are compared as they are, 32-bit floats or doubles.  Null and zero vectors, and those
+with null or non-finite components, link with nothing and are their own component.  Null ids take part; equal rows
 are vectors linked with each other; an empty table gives no rows; other columns, labels
 included, are ignored.
 """
@@ -49,40 +50,43 @@ def fit_rotation(x: np.ndarray, bits: int, rounds: int = 50) -> tuple[np.ndarray
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     x = vectors.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)  # squares of very large values stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of 32-bit floats from a column of their bytes."""
+def matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    """Rows of numbers of a ``kind`` from a column of their bytes."""
     data = b"".join(column.to_pylist())
-    return np.frombuffer(data, "<f4").reshape(len(column), -1)
+    return np.frombuffer(data, kind).reshape(len(column), -1)
 
 
-def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """``(vec_id, node)`` of every row, ``(node, copies, vector)`` of those that can link, their length.
+def kind_of(vectors: DataFrame) -> str:
+    """How components are held: 32-bit floats stay so, all other numbers are doubles."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+
+
+def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(vec_id, node)`` of every row, ``(node, copies, embedding, dim)`` of those that can link.
 
     ``node``: the MD5 of the values; null for vectors that link with nothing.
     """
-    e = F.col("embedding").cast("array<float>")
+    e = F.col("embedding").cast("array<float>" if kind_of(vectors) == "<f4" else "array<double>")
     usable = F.coalesce(
         F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0),
         F.lit(False),
     )
     values = F.when(usable, e)
-    keyed = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.md5(F.array_join(values.cast("array<string>"), ",")).alias("node"),
-        values.alias("embedding"),
-    )
-    sizes = keyed.filter("node is not null").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
-    most = sizes.orderBy(F.desc("n"), "dim").first()
-    dim = most["dim"] if most else 0
     rows = stored(
-        keyed.withColumn("node", F.when(F.size("embedding") == dim, F.col("node"))), "vectors"
+        vectors.select(
+            F.col("vec_id").cast("long").alias("vec_id"), F.md5(F.array_join(values.cast("array<string>"), ",")).alias("node"),
+            values.alias("embedding"),
+        ),
+        "vectors",
     )
     distinct = rows.filter("node is not null").groupBy("node").agg(
         F.count("*").alias("copies"), F.first("embedding").alias("embedding")
     )
-    return rows.select("vec_id", "node"), stored(distinct, "distinct-vectors"), dim
+    return rows.select("vec_id", "node"), stored(distinct.withColumn("dim", F.size("embedding")), "distinct-vectors")
 
 
 def learned(distinct: DataFrame, bits: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,16 +103,16 @@ def learned(distinct: DataFrame, bits: int, sample_rows: int) -> tuple[np.ndarra
     return np.array(rows[0]), np.array(rows[1:]).T
 
 
-def coded(distinct: DataFrame, mean: np.ndarray, projection: np.ndarray) -> DataFrame:
-    """``(node, copies, code, vector)``; vector: its 32-bit floats as bytes."""
+def coded(distinct: DataFrame, mean: np.ndarray, projection: np.ndarray, kind: str) -> DataFrame:
+    """``(node, copies, code, vector)``; vector: the bytes of its components."""
     weights = 1 << np.arange(projection.shape[1], dtype=np.uint64)
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(2).to_pylist(), np.float32).reshape(batch.num_rows, -1)
+            x = np.array(batch.column(2).to_pylist(), kind).reshape(batch.num_rows, -1)
             bits = (unit(x) - mean) @ projection >= 0 if len(x) else np.zeros((0, len(weights)), bool)
             codes = (bits * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
-            rows = pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())
+            rows = pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(codes), rows], ["node", "copies", "code", "vector"]
             )
@@ -118,7 +122,7 @@ def coded(distinct: DataFrame, mean: np.ndarray, projection: np.ndarray) -> Data
     )
 
 
-def compared(meetings: DataFrame, cut: list[tuple[int, int, list[int]]], radius: int, least: float) -> DataFrame:
+def compared(meetings: DataFrame, cut: list[tuple[int, int, list[int]]], radius: int, least: float, kind: str) -> DataFrame:
     """``(node, linked, other)``: per meeting and vector the copies it links with, and a tree link."""
     schema = pa.schema([("node", pa.string()), ("linked", pa.int64()), ("other", pa.string())])
 
@@ -134,7 +138,7 @@ def compared(meetings: DataFrame, cut: list[tuple[int, int, list[int]]], radius:
         own, block = t["own"].to_numpy(), t["block"].to_numpy()
         if t.num_rows < 2 or not own.any():
             return None
-        x, code = unit(matrix(t["vector"])), t["code"].to_numpy().view(np.uint64)
+        x, code = unit(matrix(t["vector"], kind)), t["code"].to_numpy().view(np.uint64)
         mine = np.flatnonzero(own)
         i, j = np.nonzero(x[mine] @ x.T >= least)
         i = mine[i]
@@ -182,23 +186,13 @@ def compared(meetings: DataFrame, cut: list[tuple[int, int, list[int]]], radius:
     return meetings.mapInArrow(run, "node string, linked long, other string")
 
 
-def near_duplicates(
-    vectors: DataFrame,
-    least: float = 0.9,
-    bits: int = 64,
-    segments: int = 6,
-    radius: int = 1,
-    block: int = 1_024,
-    sample_rows: int = 20_000,
+def _links(
+    distinct: DataFrame, bits: int, kind: str, least: float, segments: int, radius: int, block: int, sample_rows: int
 ) -> DataFrame:
-    """``(vec_id, n_links, component_id)`` of every vector; links have a cosine of ``least`` or more."""
-    spark = vectors.sparkSession
-    rows, distinct, dim = nodes_of(vectors)
-    if not dim:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    bits = min(bits, dim)
+    """``(node, linked, other)``, stored: the links between distinct vectors of one length."""
+    spark = distinct.sparkSession
     mean, projection = learned(distinct, bits, sample_rows)
-    codes = stored(coded(distinct, mean, projection), "codes")
+    codes = stored(coded(distinct, mean, projection, kind), "codes")
     cut = split_ball(bits, [radius] * min(segments, bits))
 
     def keys(s: int, at: int, width: int, masks: list[int]):
@@ -228,7 +222,30 @@ def near_duplicates(
     )
     order = ["s", "k", "left", "right"]
     dealt = meetings.repartition(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    found = stored(compared(dealt, cut, radius, least), "links")
+    return stored(compared(dealt, cut, radius, least, kind), "links")
+
+
+def near_duplicates(
+    vectors: DataFrame,
+    least: float = 0.9,
+    bits: int = 64,
+    segments: int = 6,
+    radius: int = 1,
+    block: int = 1_024,
+    sample_rows: int = 20_000,
+) -> DataFrame:
+    """``(vec_id, n_links, component_id)`` of every vector; links have a cosine of ``least`` or more.
+
+    Vectors link with those of their own length; each length has a rotation and tables of its own.
+    """
+    rows, distinct = nodes_of(vectors)
+    lengths = distinct.groupBy("dim").agg(F.count("*").alias("n")).filter("n > 1").orderBy("dim").collect()
+    found = rows.sparkSession.createDataFrame([], "node string, linked long, other string")
+    for dim in (r["dim"] for r in lengths):
+        of_length = distinct.filter(F.col("dim") == dim).drop("dim")
+        found = found.union(
+            _links(of_length, min(bits, dim), kind_of(vectors), least, segments, radius, block, sample_rows)
+        )
     linked = stored(found.groupBy("node").agg(F.sum("linked").alias("linked")), "linked")
     member = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     ids = stored(rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")), "ids")

@@ -3,7 +3,8 @@
 The lines of a page are the texts between its block-level tags, without scripts, styles and
 comments.  For every host and line, the pages that contain the line are divided by the pages
 of the host; lines on at least ``min_pages`` pages and above ``max_share`` of them are
-dropped.
+dropped.  A script, style, comment or tag that is not closed ends with the page.  All patterns read
+a page once, whatever it holds, so a very long one costs in proportion to its length.
 
 A null page has no lines; pages without a host in their address keep all lines; a line that
 a page repeats counts once for the page and is dropped everywhere in it; equal rows are
@@ -18,14 +19,18 @@ from pyspark.sql import functions as F
 
 from chatframe.llm.common import stored
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
-UNSEEN = r"(?is)<script.*?</script[^>]*>|<style.*?</style[^>]*>|<!--.*?-->"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)"
+# Every alternative can end at the end of the page, so no opening is looked at twice.
+UNSEEN = (
+    r"(?is)<script.*?(?:</script[^>]*+(?:>|\z)|\z)|<style.*?(?:</style[^>]*+(?:>|\z)|\z)|<!--.*?(?:-->|\z)"
+)
+TAG = r"<[^>]*+(?:>|\z)"
 BLANK = r"[\x20\x09-\x0D]"
 BLOCK_TAGS = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|"
     "main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul"
 )
-BLOCK = rf"(?i)</?(?:{BLOCK_TAGS})(?:[\x20\x09-\x0D/][^>]*)?>"
+BLOCK = rf"(?i)</?(?:{BLOCK_TAGS})(?:[\x20\x09-\x0D/][^>]*+(?:>|\z)|>)"
 
 
 def host(url: str = "url") -> Column:
@@ -35,7 +40,7 @@ def host(url: str = "url") -> Column:
 def lines_of(html: str = "html") -> Column:
     seen = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, " ")
     blocks = F.regexp_replace(F.regexp_replace(seen, rf"{BLANK}+", " "), BLOCK, "\n")
-    plain = F.regexp_replace(F.regexp_replace(blocks, r"<[^>]*>", ""), " *\n *| {2,}", "\n")
+    plain = F.regexp_replace(F.regexp_replace(blocks, TAG, ""), " *\n *| {2,}", "\n")
     return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 

@@ -12,15 +12,16 @@ passes over its documents and, in the last pass, the documents that have their m
 before the target.
 
 Null texts have no words and are never repeated words; a null source is a source of its
-own, last in order; rows that are equal count one by one; a table without words has
-targets of 0; other columns are ignored.
+own, last in order; rows that are equal count one by one; rows that differ in any column are
+told apart; rows without an id are ordered by a hash of their text; a table without words has
+targets of 0; other columns are kept, never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatframe.llm.common import running_sums, stored
@@ -41,14 +42,27 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size, key)``; key: the random order within a source."""
+    """``(doc_id, source, size, key, row_1, row_2)``, a row per document.
+
+    ``key`` is the random order within a source; ``row_1, row_2`` identify the whole row, so
+    rows that share them are equal in every column.
+    """
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("text").cast("string")))
     return docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
-        F.xxhash64("text").alias("text_key"),
+        "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(id_text).alias("key"), *_row_key(docs)
     )
 
 
+def _row_key(docs: DataFrame) -> list[Column]:
+    """A hash of 128 bits over all columns; nulls count, which hashes by themselves pass over."""
+    values = [
+        F.array_sort(F.map_entries(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`")
+        for f in docs.schema.fields
+    ]
+    values += [F.col(f"`{c}`").isNull() for c in docs.columns]
+    return [F.xxhash64(*values).alias("row_1"), F.xxhash64(F.lit("second"), *values).alias("row_2")]
+
+
 def targets(
     sources: DataFrame, weights: Column, share: float, repeats: float
 ) -> DataFrame:
@@ -105,38 +119,24 @@ def mix_plan(
 ) -> DataFrame:
     """One row per document: its source's size and target, the copies and their positions.
 
-    ``(doc_id, key, text_key, size, source_size, target, copies int, positions array<double>)``.
+    ``(doc_id, key, size, source_size, target, copies int, positions array<double>, row_1, row_2)``.
     ``weights`` is a column over ``rank``, the place of a source in code point order.
-    Sums per source and 4,096th of its order are taken first, so the documents of a
-    source are never in one task.
+    Documents are dealt by ranges of their order and summed range by range, so neither a
+    source nor the copies of a document are ever in one task.
     """
     if weights is None:
         weights = F.element_at(F.array(F.lit(5), F.lit(2), F.lit(1)), (F.col("rank") % 3 + 1).cast("int"))
-    rows = stored(sized(docs), "sized").withColumn("part", F.substring("key", 1, 3))
-    parts = stored(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "parts")
+    rows = stored(sized(docs).withColumn("nth", F.monotonically_increasing_id()), "sized")
     goal = stored(
-        targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, share, repeats),
+        targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats),
         "targets",
     )
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = stored(
-        parts.select(
-            F.col("source").alias("s"), F.col("part").alias("p"),
-            F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("part_begin"),
-        ),
-        "begins",
-    )
-    within = (
-        Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "text_key")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = stored(rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))), "placed")
-    joined = (
-        placed.join(begins, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-        .drop("s", "p")
-        .join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    )
-    begin = F.col("part_begin") + F.col("inside")
+    order = [F.col("source").asc_nulls_last(), *map(F.col, ("key", "doc_id", "size", "row_1", "row_2", "nth"))]
+    placed = stored(running_sums(rows, order, {"before": F.col("size")}), "placed")
+    first = placed.groupBy(F.col("source").alias("s")).agg(F.min("before").alias("first"))
+    goal = stored(goal.join(first, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "goals")
+    joined = placed.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    begin = F.col("before") - F.col("first")
     copies = F.ceil(
         (F.col("target") - begin - F.col("size") / 2) / F.nullif(F.col("source_size"), F.lit(0))
     )
@@ -151,24 +151,18 @@ def mix_plan(
             "positions",
             F.array_compact(F.array(*(F.when(F.col("copies") > k, at(k)) for k in range(repeats)))),
         )
-        .select("doc_id", "key", "text_key", "size", "source_size", "target", "copies", "positions")
+        .select("doc_id", "key", "size", "source_size", "target", "copies", "positions", "row_1", "row_2")
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents with all their columns, a row per copy, range-sorted by training position.
 
-    Equal rows are told apart by counting them, on both sides of the join.
+    The plan's copies are joined with one row for each distinct document row.  Equal rows
+    are interchangeable, so however often a row is repeated, none of its copies is numbered
+    and no task holds them together.
     """
-    keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("text_key")]
-    same = Window.partitionBy("id", "text_key").orderBy("id")
-    nth = F.row_number().over(same)
-    plan = mix_plan(docs, **options).filter("copies > 0").select(*keys, "positions").withColumn("nth", nth)
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.xxhash64("text").alias("text_key"))
-    return (
-        whole.select("doc", *keys).withColumn("nth", nth)
-        .join(plan, ["id", "text_key", "nth"])
-        .select("doc", F.explode("positions").alias("position"))
-        .orderBy("position")
-        .select("doc.*")
-    )
+    key = ["row_1", "row_2"]
+    plan = mix_plan(docs, **options).select(*key, F.explode("positions").alias("position"))
+    distinct = docs.select(F.struct(*docs.columns).alias("doc"), *_row_key(docs)).groupBy(*key).agg(F.first("doc").alias("doc"))
+    return plan.join(distinct, key).orderBy("position", *key).select("doc.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatframe.llm import lines, secrets
+from chatframe.llm import secrets
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -112,12 +112,21 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM documents d LEFT JOIN docs USING (doc_id)
 """
 
-_SEEN = f"regexp_replace(coalesce(html, ''), '{lines.UNSEEN}', ' ', 'g')"
-_BLOCKS = rf"regexp_replace(regexp_replace({_SEEN}, '{lines.BLANK}+', ' ', 'g'), '{lines.BLOCK}', chr(10), 'g')"
-_PLAIN = rf"regexp_replace(regexp_replace({_BLOCKS}, '<[^>]*>', '', 'g'), ' *\n *| {{2,}}', chr(10), 'g')"
+_UNSEEN = r"(?is)<script.*?(?:</script[^>]*(?:>|\z)|\z)|<style.*?(?:</style[^>]*(?:>|\z)|\z)|<!--.*?(?:-->|\z)"
+_TAGS = (
+    "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|"
+    "ol|option|p|pre|section|table|td|th|title|tr|ul"
+)
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)"
+_SEEN = f"regexp_replace(coalesce(html, ''), '{_UNSEEN}', ' ', 'g')"
+_BLOCKS = (
+    rf"regexp_replace(regexp_replace({_SEEN}, '[\x20\x09-\x0D]+', ' ', 'g'), "
+    rf"'(?i)</?(?:{_TAGS})(?:[\x20\x09-\x0D/][^>]*(?:>|\z)|>)', chr(10), 'g')"
+)
+_PLAIN = rf"regexp_replace(regexp_replace({_BLOCKS}, '<[^>]*(?:>|\z)', '', 'g'), ' *\n *| {{2,}}', chr(10), 'g')"
 OP10 = f"""
 WITH p AS (
-  SELECT page_id, lower(coalesce(regexp_extract(url, '{lines.HOST}', 1), '')) AS host,
+  SELECT page_id, lower(coalesce(regexp_extract(url, '{_HOST}', 1), '')) AS host,
          list_filter(list_transform(string_split({_PLAIN}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls
   FROM pages),
 sites AS (SELECT host, count(*) AS host_pages FROM p WHERE host <> '' GROUP BY host),

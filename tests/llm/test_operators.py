@@ -2,6 +2,7 @@
 
 import collections
 import math
+import time
 
 import numpy as np
 import pytest
@@ -81,6 +82,23 @@ def test_mix_takes_whole_documents_near_the_target(odd):
     assert [r["doc_id"] for r in rows.collect()] == [r["doc_id"] for r in mixing.mix(odd).collect()]
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_mix_takes_what_the_plan_says_of_every_source(spark, partitions):
+    """Rows of one id and text in two sources, rows that differ in a column nobody reads, repeated rows."""
+    rows = [(7, "same text in both sources", s, n) for s in ("x", "y") for n in (1, 2)]
+    rows += [(7, "same text in both sources", "x", 1)] * 40 + [(None, "no id", "y", n % 3) for n in range(30)]
+    rows += [(100 + i, "some words " * (i % 9), "xyz"[i % 3], 0) for i in range(60)]
+    schema = "doc_id long, text string, source string, n_chars int"
+    tables = [spark.createDataFrame(rows, schema), spark.createDataFrame(rows[::-1], schema)]
+    mixes = [ordered(mixing.mix(t.repartition(partitions)).collect()) for t in tables]
+    plan = mixing.mix_plan(tables[0].repartition(5))
+    want = plan.groupBy("row_1", "row_2").agg(F.sum("copies").alias("n")).filter("n > 0")
+    keys = tables[0].select("*", *mixing._row_key(tables[0])).distinct().join(want, ["row_1", "row_2"]).collect()
+    copies = collections.Counter({tuple(r[c] for c in ("doc_id", "text", "source", "n_chars")): r["n"] for r in keys})
+    assert mixes[0] == mixes[1] and collections.Counter(mixes[0]) == copies
+    assert mixing.mix(tables[0]).columns == ["doc_id", "text", "source", "n_chars"]
+
+
 def test_position_inverts_the_schedule(spark):
     knots = [(0.0, F.lit(1.5)), (0.9, F.lit(0.5)), (1.0, F.lit(0.5))]
     got = [r[0] for r in spark.range(0, 101).select(mixing.position_of(F.col("id") / 100, knots)).collect()]
@@ -387,16 +405,19 @@ def test_embedding_links(spark):
     assert embeddings.near_duplicates(vectors.filter("false")).count() == 0
 
 
-def test_embedding_recall(spark):
-    """Against all pairs, over the largest of the small tables, with the query's settings."""
-    folder = "/root/testdata/sf0.1"
-    got = {r["vec_id"]: r["n_links"] for r in QUERIES["op9_embeddings"](spark, folder).collect()}
-    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
-    u = np.array([v for _, v in rows], np.float64)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    links = (u @ u.T >= 0.9).sum(axis=1) - 1
-    assert all(got[i] <= n for (i, _), n in zip(rows, links))
-    assert sum(got.values()) >= 0.9 * links.sum()
+def test_embeddings_of_every_length_and_size(spark):
+    """Minority lengths, and doubles whose squares are not finite, link as any other vectors do."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(30)]
+    big = rng.standard_normal(5)
+    rows += [(40, [1.0, 2.0]), (41, [2.0, 4.0]), (42, [2.0, -4.0]), (43, [1.0]), (44, [3.0]), (45, [1.0, 2.0, 0.0])]
+    rows += [(50, (big * 1e200).tolist()), (51, (big * 1e200).tolist()), (52, (big * 2e-200).tolist()), (53, big.tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(vectors, radius=2).collect()}
+    assert [got[i] for i in (40, 41, 42, 43, 44)] == [(1, 40), (1, 40), (0, 42), (1, 43), (1, 43)]
+    assert [got[i] for i in (50, 51, 52, 53)] == [(3, 50)] * 4
+    three = [(i, v) for i, v in rows if len(v) == 3]
+    assert ordered((i, *got[i]) for i, _ in three) == ordered(plain.cosine_links(three))
 
 
 def test_embedding_recall_at_the_threshold(spark, tmp_path):
@@ -433,3 +454,28 @@ def test_boilerplate_of_a_site(spark):
     assert got[(30, "")]["kept"] == got[(30, "")]["lines"] and got[(32, "x.example.com")]["lines"] == []
     assert lines.drop_boilerplate(pages).count() == len(rows)
     assert lines.drop_boilerplate(pages.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("opening", ["<script", "<!--", "<style", "<", "</script", "<div ", "<p><!--<script>"])
+def test_a_page_of_openings_costs_no_more_than_its_length(spark, opening):
+    html = opening * (1_000_000 // len(opening))
+    pages = spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string").cache()
+    pages.count()
+    started = time.time()
+    assert pages.select(F.size(lines.lines_of())).first()[0] <= 1
+    assert time.time() - started < 10
+
+
+def test_hosts(spark):
+    urls = {
+        "http://[::1]:80/x": "[::1]", "https://u:p@[2001:DB8::2]/": "[2001:db8::2]", "http://A.b:8080/c": "a.b",
+        "ftp://a?b@c": "a", "no host": "", None: "", "http://": "",
+    }
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r[0]: r[1] for r in df.select("url", lines.host()).collect()} == urls
+
+
+def test_what_is_not_closed_ends_with_the_page(spark):
+    html = "<p>one</p><script>x</script><p>two <b>bold</b></p><!-- c --><li>three</li><script> never closed <p>four</p>"
+    df = spark.createDataFrame([(html,), ("a<style>b",), ("a<p>b <i c",), ("x < y > z",)], "html string")
+    assert [r[0] for r in df.select(lines.lines_of()).collect()] == [["one", "two bold", "three"], ["a"], ["a", "b"], ["x", "z"]]
