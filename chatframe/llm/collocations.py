@@ -9,8 +9,8 @@ phrase up to a fixed size; two phrases with one bit can only add candidates.
 1. Words are counted in the tasks and added up.
 2. Pairs of frequent words, then triples of frequent pairs, are counted by 64-bit hash.
 3. Phrases whose bits are set are written out once per task: the candidates.
-4. The candidates, at most ``trie_phrases`` at a time, are built into a trie that is sent to the
-   tasks.  numpy moves the states of all words of a batch one level further at a time:
+4. The candidates, at most ``trie_phrases`` at a time, are built into a trie by one task, which
+   writes it to the shared folder; each worker reads it once.  numpy moves the states of all words of a batch one level further at a time:
    ``next = base[state] + word``, kept where ``check[next] == state``; accepting states are
    counted by ``bincount`` and the counts of all tasks are added up.
 
@@ -24,16 +24,20 @@ no more memory; an empty table has no phrase; other columns are never read.
 
 from __future__ import annotations
 
+import io
+import json
 import re
 from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatframe.llm.common import running_sums, shuffle_partitions, stored
+from chatframe.llm.common import fresh_folder, running_sums, shuffle_partitions, stored
+from chatframe.llm.files import existing, new_file
 from chatframe.operators.topn import top_rows
 
 LONGEST = 4
@@ -42,8 +46,9 @@ TOP = 2_000
 BITS = 30
 BLOCK = 10
 FEW, WINDOW = 4, 1 << 14
-TRIE_PHRASES = 1_000_000
+TRIE_PHRASES = 2_000_000
 SLICE = 1 << 20
+HELD_WORDS, HELD_HASHES, BATCH_ROWS = 400_000, 4_000_000, 50_000
 # A-Z in lower case, tabs as blanks, every mark that ends a piece as a full stop.
 _BYTES = bytes(
     ord(".") if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if chr(c) in " \t"
@@ -184,15 +189,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def flushed():
             for lang, c in counts.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())],
-                    ["lang", "phrase", "a"],
+                words = pa.array(list(c), pa.binary()).cast(pa.string())
+                yield from _batches(
+                    ["lang", "phrase", "a"], pa.array([lang] * len(c), pa.string()), words, pa.array(list(c.values()), pa.int64())
                 )
             counts.clear()
 
         for lang, data, known in slices(batches):
             counts.setdefault(lang, Counter()).update(data[known:].replace(b".", b" ").split())
-            if sum(map(len, counts.values())) > 1_000_000:
+            if sum(map(len, counts.values())) > HELD_WORDS:
                 yield from flushed()
         yield from flushed()
 
@@ -209,18 +214,18 @@ def hash_counts(docs: DataFrame, bits, n: int, least: int) -> DataFrame:
         def flushed():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["h", "n"])
+            yield from _batches(["h", "n"], pa.array(values.view(np.int64)), pa.array(counts, pa.int64()))
 
         for lang, data, known in slices(batches):
             for length, _, _, found in levels(lang, data, known, bits.value, n):
                 if length == n:
                     held.append(found)
                     size += len(found)
-            if size > 8_000_000:
-                yield flushed()
+            if size > HELD_HASHES:
+                yield from flushed()
                 size = 0
         if held:
-            yield flushed()
+            yield from flushed()
 
     return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
 
@@ -282,9 +287,8 @@ def candidates(docs: DataFrame, frequent_words: DataFrame, least: int = LEAST) -
 
         def flushed():
             for lang, some in found.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(some), pa.string()), pa.array(list(some), pa.binary()).cast(pa.string())], ["lang", "phrase"]
-                )
+                phrases = pa.array(list(some), pa.binary()).cast(pa.string())
+                yield from _batches(["lang", "phrase"], pa.array([lang] * len(some), pa.string()), phrases)
             found.clear()
 
         for lang, data, known in slices(batches):
@@ -296,7 +300,7 @@ def candidates(docs: DataFrame, frequent_words: DataFrame, least: int = LEAST) -
                 one = np.unique(keys, return_index=True)[1]
                 for a, b in zip(begins[one].tolist(), ends[one].tolist()):
                     seen.add(b" ".join(data[a:b].split()))
-            if sum(map(len, found.values())) > 500_000:
+            if sum(map(len, found.values())) > HELD_WORDS:
                 yield from flushed()
         yield from flushed()
 
@@ -306,17 +310,19 @@ def candidates(docs: DataFrame, frequent_words: DataFrame, least: int = LEAST) -
 class Trie:
     """A trie in double arrays over ``(lang, phrase)``: a root per language, symbols are words by number."""
 
-    def __init__(self, phrases: list[tuple[str, str]]):
+    def __init__(self, langs: pa.Array, phrases: pa.Array):
         self.n_keys = len(phrases)
-        self.roots = {lang: i for i, lang in enumerate(dict.fromkeys(lang for lang, _ in phrases))}
-        split = [phrase.encode().split(b" ") for _, phrase in phrases]
-        self.words = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws), 1)}
+        langs = pa.array(langs, pa.string()).dictionary_encode()
+        self.roots = {lang: i for i, lang in enumerate(langs.dictionary.to_pylist())}
+        split = pc.split_pattern(pa.array(phrases, pa.string()), " ")
+        words = split.flatten().dictionary_encode()
+        self.words = {w: i for i, w in enumerate(words.dictionary.cast(pa.binary()).to_pylist(), 1)}
         span = len(self.words) + 1
-        length = np.array([len(ws) for ws in split], np.int64)
-        table = np.zeros((len(split), LONGEST), np.int64)
-        table[np.arange(LONGEST) < length[:, None]] = [self.words[w] for ws in split for w in ws]
+        length = split.value_lengths().to_numpy()
+        table = np.zeros((self.n_keys, LONGEST), np.int64)
+        table[np.arange(LONGEST) < length[:, None]] = words.indices.to_numpy() + 1
         # Nodes level by level: the distinct pairs of a parent and a symbol.
-        state = np.array([self.roots[lang] for lang, _ in phrases], np.int64)
+        state = langs.indices.to_numpy().astype(np.int64)
         edges, accepting, n_nodes = [], [], len(self.roots)
         for level in range(LONGEST):
             live = np.flatnonzero(length > level)
@@ -332,6 +338,20 @@ class Trie:
         pairs = np.concatenate(edges)
         self._place(pairs // span, pairs % span, n_nodes, span)
 
+    def save(self, stream) -> None:
+        held = {n: getattr(self, n) for n in ("base", "check", "target", "key")}
+        words, roots = b" ".join(self.words), json.dumps(list(self.roots)).encode()
+        np.savez(stream, **held, words=np.frombuffer(words, np.uint8), roots=np.frombuffer(roots, np.uint8))
+
+    @classmethod
+    def load(cls, stream) -> "Trie":
+        trie, held = cls.__new__(cls), np.load(stream)
+        trie.base, trie.check, trie.target, trie.key = (held[n] for n in ("base", "check", "target", "key"))
+        trie.words = {w: i for i, w in enumerate(held["words"].tobytes().split(b" "), 1)}
+        trie.roots = {lang: i for i, lang in enumerate(json.loads(held["roots"].tobytes()))}
+        trie.n_keys = int((trie.key >= 0).sum())
+        return trie
+
     def _place(self, parent: np.ndarray, symbol: np.ndarray, n_nodes: int, span: int) -> None:
         """A base for every node, so that no two children share a cell.
 
@@ -408,32 +428,63 @@ def phrase_counts(docs: DataFrame, phrases: DataFrame, trie_phrases: int = TRIE_
     """``(lang, phrase, a)``: exact numbers of occurrences of the phrases."""
     spark = docs.sparkSession
     placed = running_sums(phrases, [F.col("lang"), F.col("phrase")], {"place": F.lit(1)})
-    placed = stored(placed.withColumn("shard", F.floor(F.col("place") / trie_phrases)), "candidates")
+    placed = stored(placed.withColumn("shard", F.floor(F.col("place") / trie_phrases).cast("int")), "candidates")
+    folder = fresh_folder(spark, "tries")
+
+    def build(batches):
+        """The task of one shard, with a bounded number of phrases."""
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        shards = rows["shard"].to_numpy()
+        for shard in np.unique(shards).tolist():  # shards with one hash of their number share a task
+            some = rows.filter(pa.array(shards == shard)).sort_by("place").combine_chunks()
+            trie = Trie(some["lang"].chunk(0), some["phrase"].chunk(0))
+            held = io.BytesIO()
+            trie.save(held)
+            stream, path = new_file(folder, ".npz")
+            with stream:
+                stream.write(held.getbuffer())
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path]})
+
     shards = (placed.agg(F.max("shard")).first()[0] or 0) + 1
-    parts = []
-    for shard in range(shards):
-        here = placed.filter(F.col("shard") == shard)
-        # In the order of their bytes, as they are numbered.
-        rows = sorted(((r["lang"], r["phrase"]) for r in here.collect()), key=lambda r: (r[0].encode(), r[1].encode()))
-        sent = spark.sparkContext.broadcast(Trie(rows))
-        counted = docs.mapInArrow(_counter(sent), "i long, a long").groupBy("i").agg(F.sum("a").alias("a"))
+    tries = placed.select("shard", "place", "lang", "phrase").repartition(shards, "shard")
+    paths = {r["shard"]: r["path"] for r in stored(tries.mapInArrow(build, "shard int, path string"), "tries").collect()}
+    parts = [phrases.select("lang", "phrase", F.lit(0).cast("long").alias("a")).filter("false")]
+    for shard, path in sorted(paths.items()):
+        counted = docs.mapInArrow(_counter(path), "i long, a long").groupBy("i").agg(F.sum("a").alias("a"))
         counted = counted.withColumn("place", F.col("i") + shard * trie_phrases)
+        here = placed.filter(F.col("shard") == shard)
         parts.append(stored(here.join(counted, "place").select("lang", "phrase", "a"), "phrase-counts"))
     return reduce(DataFrame.union, parts)
 
 
-def _counter(sent):
+_BUILT: dict[str, Trie] = {}
+
+
+def _counter(path: str):
     def run(batches):
-        trie = sent.value
+        if path not in _BUILT:  # one trie per worker process
+            _BUILT.clear()
+            with existing(path) as stream:
+                _BUILT[path] = Trie.load(io.BytesIO(stream.read()))
+        trie = _BUILT[path]
         counts = np.zeros(trie.n_keys, np.int64)
         for lang, data, known in slices(batches):
             trie.count(lang, data, known, counts)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], ["i", "a"])
+        yield from _batches(["i", "a"], pa.array(at, pa.int64()), pa.array(counts[at]))
 
     return run
 
 
+def _batches(names: list[str], *columns: pa.Array):
+    """Record batches of a bounded number of rows."""
+    for a in range(0, len(columns[0]), BATCH_ROWS):
+        yield pa.RecordBatch.from_arrays([c.slice(a, BATCH_ROWS) for c in columns], names)
+
+
 def _cuts(words: Column) -> Column:
     """``(k, first, rest)`` for every way to cut an array of words in two."""
     return F.transform(

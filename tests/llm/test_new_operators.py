@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 
 import numpy as np
 import pytest
@@ -169,7 +170,7 @@ def test_slices_overlap_by_three_words(monkeypatch):
     assert joined == data
     phrases = sorted([("x", p) for p in ("one", "one two", "two three", "four one two", "one one one one", "three", "a", "b")])
     whole, sliced = (np.zeros(len(phrases), np.int64) for _ in range(2))
-    trie = collocations.Trie(phrases)
+    trie = collocations.Trie(*zip(*phrases))
     trie.count("x", data, 0, whole)
     for lang, part, known in collocations._cut("x", data):
         trie.count(lang, part, known, sliced)
@@ -192,7 +193,11 @@ def test_no_cell_of_a_trie_is_used_twice():
     rng = np.random.default_rng(11)
     vocabulary = [f"w{i}" for i in range(300)]
     phrases = sorted({(str(rng.choice(["a", "b"])), " ".join(rng.choice(vocabulary, rng.integers(1, 5)))) for _ in range(3_000)})
-    trie = collocations.Trie(phrases)
+    trie = collocations.Trie(*zip(*phrases))
+    held = io.BytesIO()
+    trie.save(held)
+    held.seek(0)
+    trie = collocations.Trie.load(held)
     counts = np.zeros(len(phrases), np.int64)
     for lang, phrase in phrases:
         trie.count(lang, phrase.encode(), 0, counts)
