@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatframe.llm.common import fresh_folder, running_sums, shuffle_partitions, stored
+from chatframe.llm.common import arrow_batches, fresh_folder, running_sums, shuffle_partitions, stored
 from chatframe.llm.files import existing, new_file
 from chatframe.operators.topn import top_rows
 
@@ -48,7 +48,7 @@ BLOCK = 10
 FEW, WINDOW = 4, 1 << 14
 TRIE_PHRASES = 2_000_000
 SLICE = 1 << 20
-HELD_WORDS, HELD_HASHES, BATCH_ROWS = 400_000, 4_000_000, 50_000
+HELD_WORDS, HELD_HASHES, BATCH_ROWS = 150_000, 1_500_000, 20_000
 # A-Z in lower case, tabs as blanks, every mark that ends a piece as a full stop.
 _BYTES = bytes(
     ord(".") if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if chr(c) in " \t"
@@ -535,10 +535,11 @@ def collocations(
 ) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``top`` phrases of each language."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    words = stored(word_counts(texts), "words")
-    totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    frequent = stored(words.filter(F.col("a") >= least), "frequent-words")
-    found = phrase_counts(texts, stored(candidates(texts, frequent, least), "phrases"), trie_phrases)
+    with arrow_batches(docs.sparkSession, "4m"):  # a task holds counts besides
+        words = stored(word_counts(texts), "words")
+        totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
+        frequent = stored(words.filter(F.col("a") >= least), "frequent-words")
+        found = phrase_counts(texts, stored(candidates(texts, frequent, least), "phrases"), trie_phrases)
     found = stored(found.filter(F.col("a") >= least), "frequent-phrases")
     best = top_rows(scored(frequent, found), ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], top, "phrase")
     return best.join(totals, "lang").select(
