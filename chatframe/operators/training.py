@@ -35,7 +35,7 @@ MIN_DOCUMENTS = 2
 ALPHA = 0.1
 REGRESSION_C = 1.0
 MAX_ITERATIONS = 500
-TOLERANCE = 1e-10
+TOLERANCE = 1e-14
 ROWS_PER_TASK = 20_000
 
 NAIVE_BAYES, LOGISTIC_REGRESSION = "Naive Bayes", "Logistic Regression"

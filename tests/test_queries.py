@@ -15,7 +15,8 @@ NAMES = [
     "enriched_messages", "scored_messages", "chat_summary", "processing_stats", "sender_stats",
     "bigram_frequency", "sender_keywords", "activity_peaks", "reply_gaps", "overall_mood",
     "sentiment_weekly", "parsed_messages", "train_test_split", "naive_bayes_confusion",
-    "predicted_messages", "live_scores", "written_report",
+    "predicted_messages", "live_stream", "written_report", "saved_model", "trend_stream", "dashboard", "feed_ledger",
+    "regression_certificate",
 ]
 
 
