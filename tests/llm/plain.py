@@ -185,3 +185,15 @@ def collocations(docs, least=30, top=2_000):
         for rank, (score, a, phrase, left, right) in enumerate(sorted(rows)[:top], 1):
             out.append((lang, rank, phrase.decode(), -a, left, right, n[lang], -score))
     return out
+
+
+def noisy_or(weights, bias, text):
+    """The probability that a sentence offends, with a word's weight summed over its features."""
+    none = 1.0
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        if sentence:
+            z = bias
+            for word in set(re.findall(r"[^\W\d_]+", sentence.lower())):
+                z += weights.get("=" + word, 0.0) + sum(weights.get(word[:n], 0.0) for n in (3, 4, 5, 6) if len(word) >= n)
+            none *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - none

@@ -167,6 +167,15 @@ def test_toxicity_learns_words_and_finds_sentences(spark):
         assert [r["text"][s["start"] : s["end"]].count("moron") for s in r["_toxicity"]["spans"]] == [1] * r["toxic"]
 
 
+def test_scores_are_those_of_a_plain_noisy_or(odd):
+    weights = {"=stupid": 2.5, "stu": 0.5, "fox": -1.0, "=lazy": 1.5, "lon": 0.25, "tok": -0.75, "ünï": 3.0}
+    model = toxicity.Model(weights, -4.0)
+    rows = toxicity.score(odd.filter("length(coalesce(text, '')) < 1000"), model, keep=["text"]).collect()
+    assert len(rows) == len(TEXTS) - 2
+    for r in rows:
+        assert abs(r["_toxicity"]["score"] - plain.noisy_or(weights, -4.0, r["text"])) < 1e-9, r["text"]
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(11, 1), (1, 0), (3, 0), (3, None), (None, 1), (7, 5)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
