@@ -45,7 +45,7 @@ LEAST = 30
 TOP = 2_000
 BITS = 30
 BLOCK = 10
-FEW, WINDOW = 4, 1 << 14
+FEW, WINDOW, PACKED = 4, 1 << 14, 1 << 14
 TRIE_PHRASES = 2_000_000
 SLICE = 1 << 20
 HELD_WORDS, HELD_HASHES, BATCH_ROWS = 150_000, 1_500_000, 20_000
@@ -453,7 +453,7 @@ def phrase_counts(docs: DataFrame, phrases: DataFrame, trie_phrases: int = TRIE_
     paths = {r["shard"]: r["path"] for r in stored(tries.mapInArrow(build, "shard int, path string"), "tries").collect()}
     parts = [phrases.select("lang", "phrase", F.lit(0).cast("long").alias("a")).filter("false")]
     for shard, path in sorted(paths.items()):
-        counted = docs.mapInArrow(_counter(path), "i long, a long").groupBy("i").agg(F.sum("a").alias("a"))
+        counted = _added(docs.mapInArrow(_counter(path), "part long, counts binary"))
         counted = counted.withColumn("place", F.col("i") + shard * trie_phrases)
         here = placed.filter(F.col("shard") == shard)
         parts.append(stored(here.join(counted, "place").select("lang", "phrase", "a"), "phrase-counts"))
@@ -473,12 +473,31 @@ def _counter(path: str):
         counts = np.zeros(trie.n_keys, np.int64)
         for lang, data, known in slices(batches):
             trie.count(lang, data, known, counts)
-        at = np.flatnonzero(counts)
-        yield from _batches(["i", "a"], pa.array(at, pa.int64()), pa.array(counts[at]))
+        parts = [(k, counts[a : a + PACKED]) for k, a in enumerate(range(0, len(counts), PACKED))]
+        parts = [(k, x.tobytes()) for k, x in parts if x.any()]
+        for k, data in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([data], pa.binary())], ["part", "counts"])
 
     return run
 
 
+def _added(packed: DataFrame) -> DataFrame:
+    """``(i, a)``: the sums over all tasks, of parts of the counts that come one after the other."""
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts = np.frombuffer(data.as_buffer(), np.int64)
+                held[part] = held[part] + counts if part in held else counts
+        for part, counts in held.items():
+            at = np.flatnonzero(counts)
+            yield from _batches(["i", "a"], pa.array(at + part * PACKED, pa.int64()), pa.array(counts[at]))
+
+    dealt = packed.repartition(shuffle_partitions(packed.sparkSession), "part")
+    return dealt.mapInArrow(run, "i long, a long")
+
+
 def _batches(names: list[str], *columns: pa.Array):
     """Record batches of a bounded number of rows."""
     for a in range(0, len(columns[0]), BATCH_ROWS):
