@@ -7,7 +7,8 @@ ones may be.  What "may be frequent" is a set of bits addressed by a hash, 64 fo
 phrase up to a fixed size; two phrases with one bit can only add candidates.
 
 1. Words are counted in the tasks and added up.
-2. Pairs of frequent words, then triples of frequent pairs, are counted by 64-bit hash.
+2. Pairs of frequent words, then triples of frequent pairs, then fours of frequent triples, are
+   counted by 64-bit hash.
 3. Phrases whose bits are set are written out once per task: the candidates.
 4. The candidates, at most ``trie_phrases`` at a time, are built into a trie by one task, which
    writes it to the shared folder; each worker reads it once.  numpy moves the states of all words of a batch one level further at a time:
@@ -276,7 +277,7 @@ def candidates(docs: DataFrame, frequent_words: DataFrame, least: int = LEAST) -
     """``(lang, phrase)`` of 2 to ``LONGEST`` words: all frequent phrases, and few others."""
     spark = docs.sparkSession
     sets = {1: _bits_of(hashes_of(frequent_words))}
-    for n in range(2, LONGEST):  # frequent phrases hold frequent ones only, so one length is enough
+    for n in range(2, LONGEST + 1):  # frequent phrases hold frequent ones only, so one length is enough
         sent = spark.sparkContext.broadcast(Bits({n - 1: sets[n - 1]}))
         sets[n] = _bits_of(stored(hash_counts(docs, sent, n, least), "phrase-hashes"))
     del sets[1]
@@ -294,9 +295,8 @@ def candidates(docs: DataFrame, frequent_words: DataFrame, least: int = LEAST) -
         for lang, data, known in slices(batches):
             seen = found.setdefault(lang, set())
             for n, begins, ends, keys in levels(lang, data, known, sent.value, LONGEST):
-                if n < LONGEST:
-                    often = sent.value.hold(n, keys)
-                    begins, ends, keys = begins[often], ends[often], keys[often]
+                often = sent.value.hold(n, keys)
+                begins, ends, keys = begins[often], ends[often], keys[often]
                 one = np.unique(keys, return_index=True)[1]
                 for a, b in zip(begins[one].tolist(), ends[one].tolist()):
                     seen.add(b" ".join(data[a:b].split()))
