@@ -197,3 +197,68 @@ def noisy_or(weights, bias, text):
                 z += weights.get("=" + word, 0.0) + sum(weights.get(word[:n], 0.0) for n in (3, 4, 5, 6) if len(word) >= n)
             none *= 1 - 1 / (1 + math.exp(-z))
     return 1 - none
+
+
+def pitman_yor(training, texts, discounts, strength, sweeps, burn_in, seed=0):
+    """log10 probabilities of ``texts`` (lists of words, an end each): customers leave and return one by one."""
+    import collections
+    import math
+    import random
+
+    d0, d1 = discounts
+    draw = random.Random(seed).random
+    known = {w for t in training for w in t}
+    uniform = 1 / (len(known) + 1)
+    parent = collections.defaultdict(list)  # dish: customers of each table
+    rooms = collections.defaultdict(lambda: collections.defaultdict(list))
+
+    def below(room, dish, d, base):
+        c = sum(room[dish]) if dish in room else 0
+        t = len(room[dish]) if dish in room else 0
+        n, tables = sum(map(sum, room.values())), sum(map(len, room.values()))
+        return (c - d * t + (strength + d * tables) * base) / (strength + n)
+
+    def unigram(w):
+        return below(parent, w, d0, uniform)
+
+    def enter(room, dish, d, base):
+        """Seat a customer; whether at a new table."""
+        tables = sum(map(len, room.values()))
+        weights = [x - d for x in room[dish]] + [(strength + d * tables) * base]
+        at = draw() * sum(weights)
+        for i, x in enumerate(weights):
+            at -= x
+            if at < 0 or i == len(weights) - 1:
+                break
+        if i == len(room[dish]):
+            room[dish].append(1)
+            return True
+        room[dish][i] += 1
+        return False
+
+    def leave(room, dish):
+        """A customer goes; whether its table goes too."""
+        at, tables = draw() * sum(room[dish]), room[dish]
+        for i, x in enumerate(tables):
+            at -= x
+            if at < 0 or i == len(tables) - 1:
+                break
+        tables[i] -= 1
+        if not tables[i]:
+            del tables[i]
+            return True
+        return False
+
+    pairs = [(u, w) for t in training for u, w in zip(["", *t], t)]
+    wanted = {(u, w) for t in texts for u, w in zip(["", *t], t)}
+    total = dict.fromkeys(wanted, 0.0)
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if sweep and leave(rooms[u], w):
+                leave(parent, w)
+            if enter(rooms[u], w, d1, unigram(w)):
+                enter(parent, w, d0, uniform)
+        if sweep >= burn_in:
+            for u, w in wanted:
+                total[u, w] += below(rooms[u], w, d1, unigram(w)) / (sweeps - burn_in)
+    return [sum(math.log10(total[u, w]) for u, w in zip(["", *t], t)) for t in texts]

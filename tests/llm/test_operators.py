@@ -322,40 +322,86 @@ def test_language_model(spark, odd, none):
     assert language_model.score(none).count() == 0
 
 
-def test_predictions_add_up_to_one():
-    """Over all known words and the unknown one, after any context and in every sweep."""
-    import zlib
-
+def one_bucket(text, unknown="unknown"):
+    """The cells of a text in one bucket, every pair of words asked for."""
     from xxhash import xxh64_intdigest
 
-    text = "a b a c a b d e a b c a a a b".split()
-    contexts, words = 4, [w.encode() for w in dict.fromkeys(text)] + [b"unknown"]
-    before = [b"", *(w.encode() for w in text[:-1])]
-    count = collections.Counter((words.index(w.encode()), zlib.crc32(p) % contexts) for w, p in zip(text, before))
-    pairs = [(w, u) for w in range(len(words)) for u in range(contexts)]
-    bucket = language_model.Bucket({
-        "blocks": ["x"], "words": [len(words)],
-        "word": np.array([xxh64_intdigest(w) for w in words], np.uint64).tobytes(),
-        "local": np.arange(len(words), dtype="<i4").tobytes(), "pairs": np.full(len(words), contexts, "<u2").tobytes(),
-        "context": np.array([u for _, u in pairs], "<u2").tobytes(), "count": np.array([count[p] for p in pairs], "<i4").tobytes(),
-    }, contexts)
-    known = int((bucket.word_count > 0).sum())
-    totals = language_model.Totals(len(text), known, np.bincount(bucket.u, bucket.c, contexts), 1.0)
-    for sweep in range(3):
-        *_, (t1, asked, t0) = language_model.states(bucket, totals)
-        totals.sweeps.append((np.bincount(bucket.u, t1, contexts), int(asked.sum()), int(t0.sum())))
-        assert (t1 <= bucket.c).all() and ((t1 > 0) == (bucket.c > 0)).all()
-        p0 = language_model.parent(totals, sweep, asked, t0)
+    words = [w.encode() for w in dict.fromkeys(["", *text, unknown])]
+    hashes = np.array([xxh64_intdigest(w) for w in words], np.uint64)
+    count = collections.Counter(zip(text, ["", *text[:-1]]))
+    return language_model.Cells(
+        [hashes], [np.full(len(words), len(words))], [np.tile(hashes, len(words))],
+        [np.array([count[w.decode(), u.decode()] for w in words for u in words])], 1,
+    )
+
+
+def test_predictions_add_up_to_one():
+    """Over all known words and the unknown one, after any context and in every sweep."""
+    text = "a b a c a b d e a b c a a a b".split() + [""]
+    cells = one_bucket(text)
+    x = {k: v for k, (v, _) in cells.arrays().items()}
+    n = len(x["hash"])
+    totals = language_model.Totals(cells.facts, 1.0)
+    assert (totals.tokens, totals.words) == (len(text), len(set(text)))
+    state = {"customers": cells.customers, "opened": np.minimum(cells.customers, 1)}
+    t = np.ones(len(x["c"]), np.int64)
+    for sweep in range(4):
+        seated = np.bincount(x["u"], x["c"] - t, len(x["contexts"])).astype(np.int64)
+        tables = x["word_count"].copy()  # of each word as a context
+        at = np.searchsorted(x["hash"], x["contexts"])
+        tables[at] -= seated
+        p0 = totals.parent(sweep, state["customers"], state["opened"])
         assert math.isclose(p0.sum(), 1.0)
-        p = bucket.c - totals.discounts[1] * t1 + (1.0 + totals.discounts[1] * totals.sweeps[sweep][0][bucket.u]) * p0[bucket.w]
-        p = p / (1.0 + totals.customers[bucket.u])
-        assert np.allclose(np.bincount(bucket.u, p, contexts), 1.0)
+        context = np.argsort(np.argsort(np.array([h for h in dict.fromkeys(x["hash"][x["word"]])])))
+        code = x["code"].reshape(n, n)  # of word and context in order of appearance
+        c, ts = np.concatenate([[0, 1], x["c"]])[code], np.concatenate([[0, 1], t])[code]
+        for i, u in enumerate(context):
+            word = x["word"]
+            p = language_model.probability(
+                c[:, i], ts[:, i], None, [state["customers"][word]], [state["opened"][word]], [np.full(n, tables[u])],
+                np.full(n, x["word_count"][u]), totals, sweep,
+            )
+            assert math.isclose(p.sum(), 1.0)
+        t, customers, opened = language_model.sweep_of(x, state, tables[at], totals, sweep)
+        assert ((t >= 1) & (t <= x["c"])).all() and (customers >= opened).all()
+        state = {"customers": customers, "opened": opened}
+        totals.sweeps.append((int(customers.sum()), int(opened.sum())))
+
+
+def test_language_model_against_a_plain_sampler(spark):
+    """Customers that leave and return one by one have the same mean predictions."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    rows, weight = [], 1 / np.arange(1, 41)
+    for i in range(60):
+        at, text = 0, []
+        for _ in range(40):  # a word is likely followed by one of its two neighbours
+            at = int(rng.choice(40, p=weight / weight.sum())) if rng.random() < 0.4 else (at + int(rng.integers(1, 3))) % 40
+            text.append(words[at])
+        rows.append((i, " ".join(text + (["rare"] if i % 9 == 0 else []))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 0
+    got = {r["doc_id"]: r["score"] for r in language_model.score(docs, held, sweeps=12, burn_in=2, buckets=2).collect()}
+    split = [[*t.split(), ""] for _, t in rows]
+    training, texts = [t for i, t in enumerate(split) if i % 5], [t for i, t in enumerate(split) if i % 5 == 0]
+    facts = one_facts(training)
+    want = plain.pitman_yor(training, texts, language_model.Totals(facts, 1.0).discounts, 1.0, 40, 10)
+    for i, score in zip(range(0, 60, 5), want):
+        assert abs(got[i] - score) < 0.015 * abs(score)
+
+
+def one_facts(training):
+    """Sums of the buckets' facts, counted plainly."""
+    cells = collections.Counter((u, w) for t in training for u, w in zip(["", *t], t))
+    customers = collections.Counter(w for _, w in cells)
+    ones = [sum(v == k for v in x.values()) for x in (customers, cells) for k in (1, 2)]
+    return [len(cells), len(customers), sum(cells.values()), *ones]
 
 
 def test_seating_has_the_mean_of_the_process():
     seeds = np.arange(20_000, dtype=np.uint64) * np.uint64(7919)
     opening, discount = 3.0, 0.4
-    for c in (2, 20, 500):
+    for c in (2, 20, 500, 2_000):
         tables = language_model.seat(np.full(20_000, c), np.full(20_000, opening), discount, seeds, 0)
         mean = 1.0  # of the number of tables, customer by customer
         for i in range(1, c):
