@@ -9,8 +9,13 @@ smallest ``page_id`` is a response and the others are revisits of it, without a
 All smaller payloads are responses.
 
 A null payload is an empty one.  A null ``page_id`` is larger than any other and reads back
-as null.  Rows that share the smallest ``page_id`` are all responses.  Equal rows are equal
-records, one each.  An empty table makes no archive.  Other columns are ignored.
+as null.  Rows that share the smallest ``page_id`` are all responses.  Equal rows are
+records of their own.  An empty table makes no archive.  Other columns are ignored.
+
+No two records share a ``WARC-Record-ID``.  That of a response with revisits is a hash of
+its page and digest, which a revisit names; every other one is a hash of file and offset.
+Where several rows share the smallest ``page_id`` of a digest, none of them can be named:
+their revisits carry the digest alone and are resolved by it.
 """
 
 from __future__ import annotations
@@ -36,7 +41,9 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def planned(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
-    """``(page_id, url, payload, size, digest, refers_to, revisit)`` for every page.
+    """``(page_id, url, payload, size, digest, refers_to, revisit, named)`` for every page.
+
+    ``named``: the page is a response that revisits name, or a revisit that names its response.
 
     Only ids and digests are grouped and joined; the group of a digest is reduced to its
     smallest id in the tasks first.  The payloads meet the few columns of the revisits by
@@ -48,24 +55,29 @@ def planned(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
         F.octet_length(payload).cast("long").alias("size"), F.sha2(payload, 256).alias("digest"),
     )
     large = stored(rows.filter(F.col("size") >= min_revisit).select("page_id", "digest", "size"), "digests")
+    copies = large.groupBy("digest", "size", "page_id").agg(F.count("*").alias("n"))
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n"))
     first = stored(
-        large.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
-        .filter("n > 1 and refers_to is not null").drop("n"),
+        copies.groupBy("digest", "size").agg(F.min(known).alias("first"), F.sum("n").alias("n"))
+        .filter("n > 1 and first is not null")
+        .select("digest", "size", F.col("first.page_id").alias("refers_to"), (F.col("first.n") == 1).alias("_named")),
         "responses",
     )
-    revisits = stored(
-        large.join(first, ["digest", "size"])
-        .filter(F.col("page_id").isNull() | (F.col("page_id") > F.col("refers_to")))
-        .select(F.coalesce("page_id", F.lit(-1)).alias("_page"), F.col("page_id").isNull().alias("_none"), F.col("digest").alias("_digest"), "refers_to")
-        .distinct(),
+    later = F.col("page_id").isNull() | (F.col("page_id") > F.col("refers_to"))
+    marks = stored(
+        large.join(first, ["digest", "size"]).filter(later | F.col("_named")).select(
+            F.coalesce("page_id", F.lit(-1)).alias("_page"), F.col("page_id").isNull().alias("_none"),
+            F.col("digest").alias("_digest"), F.when(later, F.col("refers_to")).alias("refers_to"), later.alias("_later"), "_named",
+        ).distinct(),
         "revisits",
     )
     same = (
         (F.coalesce("page_id", F.lit(-1)) == F.col("_page"))
         & (F.col("page_id").isNull() == F.col("_none")) & (F.col("digest") == F.col("_digest"))
     )
-    return rows.join(revisits, same, "left").select(
-        "page_id", "url", "payload", "size", "digest", "refers_to", F.col("_page").isNotNull().alias("revisit")
+    return rows.join(marks, same, "left").select(
+        "page_id", "url", "payload", "size", "digest", "refers_to", F.coalesce("_later", F.lit(False)).alias("revisit"),
+        F.coalesce("_named", F.lit(False)).alias("named"),
     )
 
 
@@ -75,22 +87,24 @@ def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     last = F.greatest(F.ceil(F.octet_length(body) / chunk), F.lit(1)) - 1
     numbers = F.explode(F.sequence(F.lit(0), last.cast("int")))  # one chunk at a time is cut off
     return records.withColumn("chunk_no", numbers).select(
-        "page_id", "url", "size", "digest", "refers_to", "revisit", "chunk_no",
+        "page_id", "url", "size", "digest", "refers_to", "revisit", "named", "chunk_no",
         F.substring(body, F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("chunk"),
     )
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    h = hashlib.md5(f"{page_id} {digest}".encode()).hexdigest()
+def record_id(*parts: object) -> str:
+    h = hashlib.md5(" ".join(map(str, parts)).encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
-def header(page_id: int | None, url: str | None, size: int, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """The head of a record and of the response in it, up to the payload."""
+def header(
+    page_id: int | None, url: str | None, size: int, digest: str, refers_to: int | None, revisit: bool, named: bool, place: tuple, date: str
+) -> bytes:
+    """The head of a record at a ``place`` of its own, and of the response in it, up to the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": record_id(page_id, digest),
+        "WARC-Record-ID": record_id(page_id, digest) if named and not revisit else record_id(*place),
         "WARC-Date": date,
         "WARC-Target-URI": " ".join(url.split()) if url else "",
         "WARC-Payload-Digest": f"sha256:{digest}",
@@ -98,7 +112,7 @@ def header(page_id: int | None, url: str | None, size: int, digest: str, refers_
         "X-Page-ID": "" if page_id is None else str(page_id),
     }
     if revisit:
-        fields |= {"WARC-Profile": IDENTICAL, "WARC-Refers-To": record_id(refers_to, digest)}
+        fields |= {"WARC-Profile": IDENTICAL, "WARC-Refers-To": record_id(refers_to, digest) if named else ""}
     fields["Content-Length"] = str(len(http) + (0 if revisit else size))
     lines = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v)
     return VERSION + b"\r\n" + lines.encode() + b"\r\n" + http
@@ -128,8 +142,8 @@ def write_archives(
             )
 
         for batch in batches:
-            heads = zip(*(batch.column(i).to_pylist() for i in range(7)))
-            for (page_id, url, size, digest, refers_to, revisit, chunk_no), chunk in zip(heads, batch.column(7)):
+            heads = zip(*(batch.column(i).to_pylist() for i in range(8)))
+            for (page_id, url, size, digest, refers_to, revisit, named, chunk_no), chunk in zip(heads, batch.column(8)):
                 if chunk_no == 0:
                     if member is not None:
                         at += stream.write(member.compress(b"\r\n\r\n") + member.flush())
@@ -143,7 +157,7 @@ def write_archives(
                     if stream is None:
                         (stream, path), at, begin = new_file(folder, ".warc.gz"), 0, 0
                     member = zlib.compressobj(5, zlib.DEFLATED, 31)
-                    at += stream.write(member.compress(header(page_id, url, size, digest, refers_to, revisit, date)))
+                    at += stream.write(member.compress(header(page_id, url, size, digest, refers_to, revisit, named, (path, at), date)))
                 at += stream.write(member.compress(chunk.as_py()))
         if member is not None:
             at += stream.write(member.compress(b"\r\n\r\n") + member.flush())
@@ -274,13 +288,21 @@ def records(chunks: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("refers_to"), "record_id",
     )
     revisits = ends.filter("record_type = 'revisit'")
+    named = revisits.filter("refers_to_record is not null")
     referred = stored(
-        responses.join(revisits.select(F.col("refers_to_record").alias("record_id")).distinct(), "record_id", "left_semi")
-        .select("record_id", F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct(),
+        responses.join(named.select(F.col("refers_to_record").alias("record_id")).distinct(), "record_id", "left_semi")
+        .select("record_id", F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest"),
         "referred",
     )
-    resolved = revisits.join(
-        referred.withColumnRenamed("record_id", "_referred"), F.col("refers_to_record") == F.col("_referred"), "left"
+    unnamed = revisits.filter("refers_to_record is null")
+    of_digest = stored(
+        responses.join(unnamed.select(F.col("declared").alias("payload_digest")).distinct(), "payload_digest", "left_semi")
+        .groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.first("payload_bytes").alias("payload_bytes")),
+        "referred-digests",
     )
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return responses.select(columns).union(resolved.select(columns))
+    by_name = named.join(
+        referred.withColumnRenamed("record_id", "_referred"), F.col("refers_to_record") == F.col("_referred"), "left"
+    )
+    by_digest = unnamed.join(of_digest, F.col("declared") == F.col("payload_digest"), "left")
+    return responses.select(columns).union(by_name.select(columns)).union(by_digest.select(columns))

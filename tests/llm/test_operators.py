@@ -140,6 +140,23 @@ def test_chunks_are_cut_off_one_by_one(spark):
     assert got == {1: [(i, data[i * 300 : i * 300 + 300]) for i in range(7)], 2: [(0, b"")]}
 
 
+def test_every_record_has_an_id_of_its_own(spark):
+    rows = [(i, "u", "y" * 200) for i in (5, 6, 6, None, None)] + [(7, "w", "short")] * 3 + PAGES + [(2, "t", "x" * 500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    chunks = warc.read_chunks(warc.write_archives(pages, segment_bytes=200)).cache()
+    assert ordered(warc.records(chunks).collect()) == ordered(plain.warc([(p, h) for p, _, h in rows]))
+    ends = chunks.filter("last").collect()
+    ids = collections.Counter(r["record_id"] for r in ends)
+    assert len(ids) == len(rows)
+    named = {r["page_id"]: r["record_id"] for r in ends if r["record_type"] == "response"}
+    by_page = collections.defaultdict(set)
+    for r in ends:
+        if r["record_type"] == "revisit":
+            by_page[r["page_id"]].add(r["refers_to_record"])
+    assert by_page[6] == {named[5]} and by_page[12] == {named[11]}
+    assert by_page[2] == by_page[3] == {None}  # two rows share page 1
+
+
 def test_archives_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.records(warc.read_chunks(warc.write_archives(pages))).count() == 0
