@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from chatframe.functions import text as tx
 from chatframe.functions.lists import WordLists
 from chatframe.operators.enrich import enrich, message_table, score
 from chatframe.plans.analysis import scored_messages
@@ -42,6 +43,24 @@ def test_scoring_on_the_way_equals_scoring_by_itself(spark):
     assert once.filter("msg_seq = 0").first()["subjectivity"] > 0
 
 
+def test_cleaning_groups_only_the_words_of_a_list(spark):
+    cleaned = enrich(message_table(messages(spark)))
+    assert re.search(r"Filter \(whole#\d+ OR isnotnull\(form#", plan(cleaned))
+    assert "posexplode" not in plan(cleaned)
+    found = {r["msg_seq"]: r["cleaned_message"] for r in cleaned.collect()}
+    assert found[0] == "jogged really love bad" and found[6] == "jogged jogged never good"
+    assert found[1] == found[2] == found[4] == ""
+
+
+def test_no_pattern_looks_for_the_ends_of_a_text(spark):
+    assert "\\s+$" not in plan(messages(spark).select(tx.is_skippable(F.col("message"))))
+    spaces = "".join(chr(c) for c in range(0x3100) if re.fullmatch(r"\s", chr(c)) and c not in range(0x1C, 0x20))
+    rows = spark.createDataFrame([(spaces + "a b" + spaces,), (spaces,), ("\x1ca\u200b",), (None,)], "t string")
+    once = F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("once")
+    assert [r["now"] for r in rows.select(tx.strip(F.col("t")).alias("now")).collect()] == ["a b", "", "\x1ca\u200b", None]
+    assert rows.select(once, tx.strip(F.col("t")).alias("now")).filter("NOT once <=> now").count() == 0
+
+
 def test_lines_are_never_dealt_by_chat_alone(spark):
     lines = [("a", i // 5, i, f"1/1/2024, 10:{i:02d} - A: text {i}") for i in range(20)]
     df = spark.createDataFrame(lines, "chat_id string, block long, line_no long, line string")
