@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chatframe.functions import text as tx
 from chatframe.functions.lists import WordLists
 from chatframe.operators.enrich import enrich, message_table, score
-from chatframe.plans.analysis import scored_messages
+from chatframe.plans.analysis import feature_summary, scored_messages
 from chatframe.sources import exports
 
 TEXTS = ["I jogged and really love this, not bad at all!", "", "ok", "<Media omitted>", None, "We all thought it was the bomb", "jogged jogged never so GOOD"]
@@ -43,6 +43,18 @@ def test_scoring_on_the_way_equals_scoring_by_itself(spark):
     assert once.filter("msg_seq = 0").first()["subjectivity"] > 0
 
 
+def test_feature_summary_cleans_once(spark):
+    summary = feature_summary(enrich(message_table(messages(spark))))
+    assert len(re.findall(r"^.*\[\^a-z\]\+.*$", plan(summary), re.MULTILINE)) == 1
+    row = summary.first()
+    said = [r["cleaned_message"].split() for r in enrich(message_table(messages(spark))).collect()]
+    words = [w for m in said for w in m]
+    pairs = [" ".join(p) for m in said for p in zip(m, m[1:])]
+    most = lambda entries: min(set(entries), key=lambda e: (-entries.count(e), e))
+    assert (row["total_words"], row["unique_words"]) == (len(words), len(set(words)))
+    assert (row["top_word"], row["top_bigram"]) == (most(words), most(pairs))
+
+
 def test_cleaning_groups_only_the_words_of_a_list(spark):
     cleaned = enrich(message_table(messages(spark)))
     assert re.search(r"Filter \(whole#\d+ OR isnotnull\(form#", plan(cleaned))
