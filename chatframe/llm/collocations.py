@@ -7,15 +7,18 @@ ones may be.  What "may be frequent" is a set of bits addressed by a hash, 64 fo
 phrase up to a fixed size; two phrases with one bit can only add candidates.
 
 1. Words are counted in the tasks and added up.
-2. Pairs of frequent words, then triples of frequent pairs, are counted by 64-bit hash.
-3. Phrases whose bits are set are written out once per task: the candidates.
+2. Pairs of frequent words, triples of frequent pairs and their continuations are counted by
+   64-bit hash.  A task's counts leave it packed, by ranges of the hash.
+3. Each frequent hash is dealt to one partition that holds it, whose task writes the phrase: the
+   candidates, once each however many tasks there are.
 4. The candidates, at most ``trie_phrases`` at a time, are built into a trie by one task, which
    writes it to the shared folder; each worker reads it once.  numpy moves the states of all words of a batch one level further at a time:
    ``next = base[state] + word``, kept where ``check[next] == state``; accepting states are
    counted by ``bincount`` and the counts of all tasks are added up.
 
 More candidates than ``trie_phrases`` are split over several tries, with one more reading of the
-texts each.  The rest, scores by the weakest cut and the choice of the best, are joins of counts.
+texts each.  Two phrases with one hash, or partitions that came in another order, show by a
+count below that of the hash; all phrases with such a hash are listed and counted as well.  The rest, scores by the weakest cut and the choice of the best, are joins of counts.
 
 Null texts have no words, a null ``lang`` counts as ``und``; equal rows count each; texts are
 read in slices of about ``SLICE`` bytes that overlap by three words, so a very long text needs
@@ -33,10 +36,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatframe.llm.common import arrow_batches, fresh_folder, running_sums, shuffle_partitions, stored
+from chatframe.llm.common import arrow_batches, fresh_folder, groups_of, running_sums, shuffle_partitions, stored
 from chatframe.llm.files import existing, new_file
 from chatframe.operators.topn import top_rows
 
@@ -46,6 +50,7 @@ TOP = 2_000
 BITS = 30
 BLOCK = 10
 FEW, WINDOW, PACKED = 4, 1 << 14, 1 << 14
+PARTS, PACKETS = 9, 64
 TRIE_PHRASES = 2_000_000
 SLICE = 1 << 20
 HELD_WORDS, HELD_HASHES, BATCH_ROWS = 150_000, 1_500_000, 20_000
@@ -205,16 +210,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def hash_counts(docs: DataFrame, bits, n: int, least: int) -> DataFrame:
-    """``(h)``: hashes of phrases of ``n`` words that occur often enough, or share it with one that does."""
+    """``(h, n, at)``: hashes of phrases of ``n`` words that occur often enough, or share it with one that does.
+
+    ``n`` counts their occurrences, ``at`` is a partition of ``docs`` that holds some.  Tasks
+    write sorted hashes in ``PARTS`` parts of their range, so that a part is added up by itself.
+    """
 
     def run(batches):
         held: list[np.ndarray] = []
-        size = 0
+        size, at = 0, TaskContext.get().partitionId()
 
         def flushed():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            yield from _batches(["h", "n"], pa.array(values.view(np.int64)), pa.array(counts, pa.int64()))
+            parts = (values >> np.uint64(64 - PARTS)).astype(np.int64)
+            edges = np.flatnonzero(np.diff(parts)) + 1
+            packed = [
+                (int(p[0]), v.tobytes(), c.tobytes())
+                for p, v, c in zip(np.split(parts, edges), np.split(values, edges), np.split(counts.astype(np.int64), edges))
+                if len(p)
+            ]
+            for i in range(0, len(packed), PACKETS):
+                part, hashes, numbers = zip(*packed[i : i + PACKETS])
+                columns = [pa.array(part, pa.int32()), pa.array([at] * len(part), pa.int32()), pa.array(hashes, pa.binary()), pa.array(numbers, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "at", "hashes", "counts"])
 
         for lang, data, known in slices(batches):
             for length, _, _, found in levels(lang, data, known, bits.value, n):
@@ -227,7 +246,22 @@ def hash_counts(docs: DataFrame, bits, n: int, least: int) -> DataFrame:
         if held:
             yield from flushed()
 
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
+    def added(batches):
+        for some in groups_of(batches, ["part"]):
+            values, counts = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in some[c]]) for c, t in (("hashes", np.uint64), ("counts", np.int64)))
+            at = np.repeat(some["at"].to_numpy(), [len(x.as_buffer()) // 8 for x in some["hashes"]])
+            order = np.argsort(values, kind="stable")
+            values, counts, at = values[order], counts[order], at[order]
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            total, several = np.add.reduceat(counts, first), np.diff(first, append=len(values))
+            # any of the partitions that hold it, so that each gets its share
+            at = at[first + (values[first] % several.astype(np.uint64)).astype(np.int64)]
+            often = total >= least
+            yield from _batches(["h", "n", "at"], pa.array(values[first][often].view(np.int64)), pa.array(total[often]), pa.array(at[often]))
+
+    packed = docs.mapInArrow(run, "part int, at int, hashes binary, counts binary")
+    dealt = packed.repartition(shuffle_partitions(docs.sparkSession), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(added, "h long, n long, at int")
 
 
 def _bits_of(hashes: DataFrame) -> np.ndarray:
@@ -272,39 +306,133 @@ def hashes_of(words: DataFrame) -> DataFrame:
     return words.select("lang", "phrase").mapInArrow(run, "h long")
 
 
-def candidates(docs: DataFrame, frequent_words: DataFrame, least: int = LEAST) -> DataFrame:
-    """``(lang, phrase)`` of 2 to ``LONGEST`` words: all frequent phrases, and few others."""
+def frequent_hashes(docs: DataFrame, frequent_words: DataFrame, least: int = LEAST) -> DataFrame:
+    """``(h, n, at)`` of :func:`hash_counts` for 2 to ``LONGEST`` words, stored."""
     spark = docs.sparkSession
-    sets = {1: _bits_of(hashes_of(frequent_words))}
-    for n in range(2, LONGEST):  # frequent phrases hold frequent ones only, so one length is enough
-        sent = spark.sparkContext.broadcast(Bits({n - 1: sets[n - 1]}))
-        sets[n] = _bits_of(stored(hash_counts(docs, sent, n, least), "phrase-hashes"))
-    del sets[1]
-    sent = spark.sparkContext.broadcast(Bits(sets))
+    bits, tables = _bits_of(hashes_of(frequent_words)), []
+    for n in range(2, LONGEST + 1):  # frequent phrases hold frequent ones only, so one length is enough
+        sent = spark.sparkContext.broadcast(Bits({n - 1: bits}))
+        tables.append(stored(hash_counts(docs, sent, n, least), "phrase-hashes"))
+        if n < LONGEST:
+            bits = _bits_of(tables[-1].select("h"))
+    return reduce(DataFrame.union, tables)
+
+
+def hash_files(hashes: DataFrame) -> dict[int, str]:
+    """By ``at``, a file with the sorted ``h`` of ``(h, at)``."""
+    spark = hashes.sparkSession
+    folder = fresh_folder(spark, "hashes")
+
+    def write(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            values, at = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for k in np.unique(at).tolist():
+                held.setdefault(k, []).append(values[at == k])
+        for k, some in held.items():
+            stream, path = new_file(folder, ".hashes")
+            with stream:
+                stream.write(np.unique(np.concatenate(some)).tobytes())
+            yield pa.RecordBatch.from_pydict({"at": pa.array([k], pa.int32()), "path": [path]})
+
+    dealt = hashes.select("h", F.col("at").cast("int")).repartition(shuffle_partitions(spark), "at")
+    return {r["at"]: r["path"] for r in stored(dealt.mapInArrow(write, "at int, path string"), "hash-files").collect()}
+
+
+def _few_bits(hashes: np.ndarray) -> Bits:
+    n_bits = min(BITS, max(20, (64 * len(hashes)).bit_length()))
+    cells = np.zeros(1 << n_bits, bool)
+    cells[(hashes >> np.uint64(64 - n_bits)).astype(np.int64)] = True
+    return Bits({0: np.packbits(cells, bitorder="little")})
+
+
+def listed(docs: DataFrame, files: dict[int, str]) -> DataFrame:
+    """``(lang, phrase, h)``: for each hash the first phrase with it in its own partition of ``docs``.
+
+    A phrase is written once, by one task, however many hold it.  What another phrase with the
+    hash, or another order of the partitions, leaves out is found by its count in :func:`frequent_phrases`.
+    """
 
     def run(batches):
-        found: dict[str, set[bytes]] = {}
+        path = files.get(TaskContext.get().partitionId())
+        wanted = _hashes_in(path) if path else np.zeros(0, np.uint64)
+        left, few = np.ones(len(wanted), bool), _few_bits(wanted)
+        rows: list[tuple[str, bytes, int]] = []
+        for lang, data, known in slices(batches):
+            for begins, ends, keys, place in _places(lang, data, known, wanted, few):
+                place, one = np.unique(place, return_index=True)
+                one = one[left[place]]
+                left[place] = False
+                rows += ((lang, b" ".join(data[a:b].split()), h) for a, b, h in zip(begins[one].tolist(), ends[one].tolist(), keys[one].tolist()))
+            if len(rows) > BATCH_ROWS:
+                yield from _rows(rows)
+                rows = []
+        yield from _rows(rows)
+
+    return docs.mapInArrow(run, "lang string, phrase string, h long")
 
-        def flushed():
-            for lang, some in found.items():
-                phrases = pa.array(list(some), pa.binary()).cast(pa.string())
-                yield from _batches(["lang", "phrase"], pa.array([lang] * len(some), pa.string()), phrases)
-            found.clear()
 
+def listed_by_all(docs: DataFrame, path: str) -> DataFrame:
+    """``(lang, phrase, h)``: every phrase with one of the hashes in a file, written by each task that holds it."""
+
+    def run(batches):
+        wanted = _hashes_in(path)
+        few = _few_bits(wanted)
+        rows: set[tuple[str, bytes, int]] = set()
         for lang, data, known in slices(batches):
-            seen = found.setdefault(lang, set())
-            for n, begins, ends, keys in levels(lang, data, known, sent.value, LONGEST):
-                if n < LONGEST:
-                    often = sent.value.hold(n, keys)
-                    begins, ends, keys = begins[often], ends[often], keys[often]
-                one = np.unique(keys, return_index=True)[1]
-                for a, b in zip(begins[one].tolist(), ends[one].tolist()):
-                    seen.add(b" ".join(data[a:b].split()))
-            if sum(map(len, found.values())) > HELD_WORDS:
-                yield from flushed()
-        yield from flushed()
+            for begins, ends, keys, _ in _places(lang, data, known, wanted, few):
+                rows.update((lang, b" ".join(data[a:b].split()), h) for a, b, h in zip(begins.tolist(), ends.tolist(), keys.tolist()))
+            if len(rows) > HELD_WORDS:
+                yield from _rows(list(rows))
+                rows.clear()
+        yield from _rows(list(rows))
+
+    return docs.mapInArrow(run, "lang string, phrase string, h long").distinct()
+
+
+def _hashes_in(path: str) -> np.ndarray:
+    with existing(path) as stream:
+        return np.frombuffer(stream.read(), np.uint64)
 
-    return docs.mapInArrow(run, "lang string, phrase string").distinct()
+
+def _places(lang: str, data: bytes, known: int, wanted: np.ndarray, few: Bits):
+    """``(begins, ends, hashes, places in wanted)`` of the phrases with a wanted hash, by length."""
+    for _, begins, ends, keys in levels(lang, data, known, Bits({}), LONGEST):
+        near = few.hold(0, keys)
+        begins, ends, keys = begins[near], ends[near], keys[near]
+        place = np.searchsorted(wanted, keys)
+        good = np.flatnonzero(place < len(wanted))
+        good = good[wanted[place[good]] == keys[good]]
+        yield begins[good], ends[good], keys[good], place[good]
+
+
+def _rows(rows: list[tuple[str, bytes, int]]):
+    if rows:
+        langs, phrases, keys = zip(*rows)
+        keys = pa.array(np.array(keys, np.uint64).view(np.int64))
+        yield from _batches(["lang", "phrase", "h"], pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), keys)
+
+
+def frequent_phrases(docs: DataFrame, hashes: DataFrame, least: int = LEAST, trie_phrases: int = TRIE_PHRASES) -> DataFrame:
+    """``(lang, phrase, a)`` of all phrases with at least ``least`` occurrences.
+
+    The frequent phrases with one hash occur at most as often as the hash.  Where those that were
+    counted fall short of it, all phrases with the hash are listed, so none is lost.
+    """
+    often = F.col("a") >= least
+    phrases = stored(listed(docs, hash_files(hashes)), "phrases")
+    found = stored(phrase_counts(docs, phrases, trie_phrases).filter(often), "frequent-phrases")
+    seen = found.groupBy("h").agg(F.sum("a").alias("seen"))
+    short = hashes.groupBy("h").agg(F.sum("n").alias("n")).join(seen, "h", "left").filter("coalesce(seen, 0) < n")
+    short = stored(short.select("h"), "short")
+    n = short.count()
+    if n:
+        dealt = short.withColumn("at", F.pmod("h", F.lit(-(-n // trie_phrases))))
+        for path in hash_files(dealt).values():
+            more = listed_by_all(docs, path).join(found, ["lang", "phrase"], "left_anti")
+            more = phrase_counts(docs, stored(more, "phrases"), trie_phrases).filter(often)
+            found = found.union(stored(more, "frequent-phrases"))
+    return found.select("lang", "phrase", "a")
 
 
 class Trie:
@@ -425,7 +553,7 @@ class Trie:
 
 
 def phrase_counts(docs: DataFrame, phrases: DataFrame, trie_phrases: int = TRIE_PHRASES) -> DataFrame:
-    """``(lang, phrase, a)``: exact numbers of occurrences of the phrases."""
+    """``a``, the exact number of occurrences, for each row of ``phrases(lang, phrase, …)``."""
     spark = docs.sparkSession
     placed = running_sums(phrases, [F.col("lang"), F.col("phrase")], {"place": F.lit(1)})
     placed = stored(placed.withColumn("shard", F.floor(F.col("place") / trie_phrases).cast("int")), "candidates")
@@ -451,12 +579,12 @@ def phrase_counts(docs: DataFrame, phrases: DataFrame, trie_phrases: int = TRIE_
     shards = (placed.agg(F.max("shard")).first()[0] or 0) + 1
     tries = placed.select("shard", "place", "lang", "phrase").repartition(shards, "shard")
     paths = {r["shard"]: r["path"] for r in stored(tries.mapInArrow(build, "shard int, path string"), "tries").collect()}
-    parts = [phrases.select("lang", "phrase", F.lit(0).cast("long").alias("a")).filter("false")]
+    parts = [phrases.select("*", F.lit(0).cast("long").alias("a")).filter("false")]
     for shard, path in sorted(paths.items()):
         counted = _added(docs.mapInArrow(_counter(path), "part long, counts binary"))
         counted = counted.withColumn("place", F.col("i") + shard * trie_phrases)
         here = placed.filter(F.col("shard") == shard)
-        parts.append(stored(here.join(counted, "place").select("lang", "phrase", "a"), "phrase-counts"))
+        parts.append(stored(here.join(counted, "place").select(*phrases.columns, "a"), "phrase-counts"))
     return reduce(DataFrame.union, parts)
 
 
@@ -558,8 +686,7 @@ def collocations(
         words = stored(word_counts(texts), "words")
         totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
         frequent = stored(words.filter(F.col("a") >= least), "frequent-words")
-        found = phrase_counts(texts, stored(candidates(texts, frequent, least), "phrases"), trie_phrases)
-    found = stored(found.filter(F.col("a") >= least), "frequent-phrases")
+        found = frequent_phrases(texts, frequent_hashes(texts, frequent, least), least, trie_phrases)
     best = top_rows(scored(frequent, found), ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], top, "phrase")
     return best.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"

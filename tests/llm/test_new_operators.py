@@ -213,3 +213,23 @@ def test_collocations_of_nothing(spark):
     empty = spark.createDataFrame([], DOCUMENT)
     assert collocations.collocations(empty).count() == 0
     assert hashlib.sha256(b"").hexdigest() == conversations.NO_ENDS
+
+
+def odd_hashes(spark, parts):
+    texts = spark.createDataFrame(odd_texts(), DOCUMENT).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").repartition(parts)
+    words = collocations.word_counts(texts).filter("a >= 30")
+    return texts, collocations.frequent_hashes(texts, words, 30)
+
+
+def test_a_candidate_is_listed_by_one_task_only(spark):
+    texts, hashes = odd_hashes(spark, 6)
+    assert hashes.select("at").distinct().count() > 1
+    rows = collocations.listed(texts, collocations.hash_files(hashes)).collect()
+    assert len(rows) == len({(r.lang, r.phrase) for r in rows}) == hashes.count()
+
+
+@pytest.mark.parametrize("change", ["at + 1000 AS at, n", "at, n + 1 AS n"])
+def test_no_phrase_is_lost_if_partitions_move_or_phrases_share_a_hash(spark, change):
+    texts, hashes = odd_hashes(spark, 3)
+    want = sorted(collocations.frequent_phrases(texts, hashes, 30).collect())
+    assert want and sorted(collocations.frequent_phrases(texts, hashes.selectExpr("h", *change.split(", ")), 30).collect()) == want
