@@ -9,7 +9,7 @@ from chatframe import analyze
 from chatframe.functions.lists import WordLists, united
 from chatframe.operators import training as tr
 from chatframe.operators.enrich import enrich, message_table, score
-from chatframe.operators.occurrences import KEY, keyed
+from chatframe.operators.occurrences import KEY, _listed_forms, keyed, rule_hits
 from chatframe.operators.scoring import predict_texts
 from chatframe.plans import catalog, outputs
 from tests.test_analysis import chat_rows
@@ -143,3 +143,20 @@ def test_every_result_is_a_view(spark, analysis):
     assert joined.count() == 3
     catalog.drop_views(spark, names)
     assert not any(t.name.startswith("a_") for t in spark.catalog.listTables())
+
+
+def test_only_words_that_change_a_text_are_grouped(spark):
+    """A short word that stays short is no hit; a short word with a long form is one."""
+    lemmas = spark.createDataFrame([("ux", "design"), ("is", "be"), ("went", "go"), ("ran", "run")], "word string, lemma string")
+    lists = WordLists.from_tables(stopwords=[spark.createDataFrame([("of",), ("the",)], "word string")], lemmas=lemmas)
+    known = {r["word"]: r["form"] for r in _listed_forms(spark, lists, False).collect()}
+    assert known == {"ux": "design", "went": "go", "ran": "run", "the": ""}
+    texts = ["the ux is of ran went home", "of the is", "zzz", "", None, "<Media omitted>", "12 34"]
+    rows = enrich(table(spark, texts), lists).orderBy("msg_seq").collect()
+    assert [r["cleaned_message"] for r in rows] == ["design run home", "", "zzz", "", "", "", ""]
+
+
+def test_hits_of_the_rules_are_not_sorted_for_an_idiom(spark):
+    hits = rule_hits(keyed(table(spark, ["we all thought it was the bomb"]), "message"), "message", WordLists())
+    assert "SortAggregate" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert hits.first()["_values"] == [3.0]
