@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from chatframe import analyze
 from chatframe.functions.lists import WordLists, united
-from chatframe.operators import training as tr
+from chatframe.operators import terms, training as tr
 from chatframe.operators.enrich import enrich, message_table, score
 from chatframe.operators.occurrences import KEY, _listed_forms, keyed, rule_hits
 from chatframe.operators.scoring import predict_texts
 from chatframe.plans import catalog, outputs
+from chatframe.plans.analysis import feature_summary
 from tests.test_analysis import chat_rows
 from tests.test_regression import sample
 
@@ -160,3 +161,12 @@ def test_hits_of_the_rules_are_not_sorted_for_an_idiom(spark):
     hits = rule_hits(keyed(table(spark, ["we all thought it was the bomb"]), "message"), "message", WordLists())
     assert "SortAggregate" not in hits._jdf.queryExecution().executedPlan().toString()
     assert hits.first()["_values"] == [3.0]
+
+
+def test_pairs_give_words_and_phrases(spark):
+    texts = ["cat dog cat dog", "cat", "", None, "bird dog"]
+    df = enrich(table(spark, texts))
+    pairs = {(r["word"], r["next_word"]): r["count"] for r in terms.pair_frequency(df).collect()}
+    assert pairs == {("cat", "dog"): 2, ("dog", "cat"): 1, ("dog", None): 2, ("cat", None): 1, ("bird", "dog"): 1}
+    row = feature_summary(df).first()
+    assert (row["total_words"], row["unique_words"], row["top_word"], row["top_bigram"]) == (7, 3, "cat", "cat dog")
