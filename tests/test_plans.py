@@ -1,6 +1,7 @@
 """What the plans of large jobs may not do; results are compared elsewhere."""
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -88,3 +89,35 @@ def test_lines_are_never_dealt_by_chat_alone(spark):
     dealt = physical.split("\n")
     below = [dealt[i + 1] for i, text in enumerate(dealt) if by_chat.search(text)]
     assert below and not [text for text in below if "line#" in text or "piece" in text]  # counts of blocks only
+
+
+def test_scoring_with_short_lists_moves_no_row(spark):
+    found = scored_messages(messages(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in found and "Join" not in found
+    long = WordLists(stopwords=frozenset(f"w{i}" for i in range(2000)))  # no list is cut: a longer one is joined
+    assert "Join" in plan(scored_messages(messages(spark), long))
+
+
+def test_short_lists_say_the_same_as_tables(spark):
+    """Words looked up in the row against the same lists as tables, which are joined; also mixed."""
+    texts = [
+        *TEXTS, "NOT bad, but I never so LOVED it!!", "we all said the bomb, sort of good, just enough very kind of bad",
+        "it isn't the least good; at least good", "this KISS of death was really extremely good ????", "yeah right, cut the mustard :)",
+        "went gone running LOVES https://a.b/bad www.x.y/good 🔥 great", "\u3000 ", "É İ ΣΑΣ great", "never very good not really bad",
+        "a b c", "kind of kind", "hardly ever this never good", "and he has had never a so good bad ass",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "msg_seq long, message string")
+    when = F.lit("2024-01-01 10:00:00").cast("timestamp_ntz").alias("datetime")
+    rows = rows.union(rows.filter("msg_seq % 3 = 0")).select(F.lit("c").alias("chat_id"), "msg_seq", when, F.lit("A").alias("sender"), "message")
+    seeds = WordLists()
+    names = ("lemmas", "valence", "boosters", "negations", "subjectivity", "idioms")
+    tables = WordLists.from_tables(stopwords=[seeds.table(spark, "stopwords")], **{n: seeds.table(spark, n) for n in names})
+
+    def result(lists):
+        return sorted(map(str, scored_messages(rows, lists).collect()))
+
+    expected = result(tables)
+    assert result(seeds) == expected and len({r.split("sentiment_score=")[1] for r in expected}) > 12
+    assert result(replace(tables, stopwords=seeds.stopwords, lemmas=seeds.lemmas)) == expected
+    assert result(replace(seeds, subjectivity=tables.subjectivity)) == expected
+    assert result(replace(seeds, valence=tables.valence)) == expected
