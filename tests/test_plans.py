@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatframe.functions import text as tx
 from chatframe.functions.lists import WordLists
 from chatframe.operators.enrich import enrich, message_table, score
+from chatframe.operators.occurrences import KEY, keyed, term_counts
 from chatframe.plans.analysis import feature_summary, scored_messages
 from chatframe.sources import exports
 
@@ -121,3 +122,15 @@ def test_short_lists_say_the_same_as_tables(spark):
     assert result(replace(tables, stopwords=seeds.stopwords, lemmas=seeds.lemmas)) == expected
     assert result(replace(seeds, subjectivity=tables.subjectivity)) == expected
     assert result(replace(seeds, valence=tables.valence)) == expected
+
+
+def test_terms_are_counted_by_hash(spark):
+    """Repeated rows have one key, and a count is not that of all of them."""
+    weights = spark.createDataFrame([("cat", [1.0, 2.0]), ("cat dog", [3.0, 4.0]), ("rare", [5.0, 6.0])], "term string, weights array<double>")
+    texts = spark.createDataFrame([("c", 1, "cat dog cat dog cat"), ("c", 2, "bird"), ("c", 3, ""), ("c", 4, None)], "chat_id string, msg_seq long, text string")
+    dealt = keyed(texts.union(texts.filter("msg_seq < 3")).union(texts.filter("msg_seq = 1")), "text")
+    counts = term_counts(dealt, tx.words_of(F.col("text")), weights)
+    assert "collect_set" not in plan(counts)
+    got = dealt.filter("text IS NOT NULL").dropDuplicates(["msg_seq"]).join(counts, KEY, "left").orderBy("msg_seq").collect()
+    entries = [[(e["term"], e["n"], e["weights"]) for e in r["_entries"] or []] for r in got]
+    assert entries == [[("cat", 3, [1.0, 2.0]), ("cat dog", 2, [3.0, 4.0])], [], []]
