@@ -9,8 +9,11 @@ from chatframe.functions import text as tx
 from chatframe.functions.lists import WordLists
 from chatframe.operators.enrich import enrich, message_table, score
 from chatframe.operators.occurrences import KEY, keyed, term_counts
+from chatframe.operators.scoring import predict_texts
+from chatframe.operators.training import SentimentModel, training_sample
 from chatframe.plans.analysis import feature_summary, scored_messages
 from chatframe.sources import exports
+from checks.queries import Training
 
 TEXTS = ["I jogged and really love this, not bad at all!", "", "ok", "<Media omitted>", None, "We all thought it was the bomb", "jogged jogged never so GOOD"]
 
@@ -134,3 +137,24 @@ def test_terms_are_counted_by_hash(spark):
     got = dealt.filter("text IS NOT NULL").dropDuplicates(["msg_seq"]).join(counts, KEY, "left").orderBy("msg_seq").collect()
     entries = [[(e["term"], e["n"], e["weights"]) for e in r["_entries"] or []] for r in got]
     assert entries == [[("cat", 3, [1.0, 2.0]), ("cat dog", 2, [3.0, 4.0])], [], []]
+
+
+def test_live_texts_are_dealt_and_cleaned_in_the_row(spark):
+    model = SentimentModel("m", ["Negative", "Positive"], [0.0, 0.0], {"love": (1.0, -1.0, 1.0)})
+    texts = messages(spark).select("chat_id", "msg_seq", F.col("message").alias("text"))
+    found = predict_texts(texts, model)._jdf.queryExecution().executedPlan().toString().split("\n")
+    cleaned = [i for i, line in enumerate(found) if "[^a-z]+" in line]
+    assert len(cleaned) == 1 and "whole#" not in "".join(found)  # no row for each word of a text
+    assert any("Exchange hashpartitioning(_k1" in line for line in found[cleaned[0] + 1 :])  # a file may be one task
+
+
+def test_training_stores_no_texts_it_does_not_read(spark, tmp_path):
+    when = F.lit("2024-01-01 10:00:00").cast("timestamp")
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("good work").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1).selectExpr("id AS conv_id", "id AS turn", "'u' AS role", "'bad' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    events = spark.range(1).select(F.col("id").alias("event_id"), when.alias("ts"), F.col("id").alias("user_id"), F.lit("click").alias("event_type"), F.lit(9.0).alias("value"), F.lit("{}").alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    t = Training(spark, str(tmp_path))
+    assert t.labelled.count() == 42 and "message" not in t.labelled.columns
+    assert sorted(map(str, t.sample.collect())) == sorted(map(str, training_sample(t.scored).collect()))
