@@ -12,6 +12,7 @@ from chatframe.operators.occurrences import KEY, keyed, term_counts
 from chatframe.operators.scoring import predict_texts
 from chatframe.operators.training import SentimentModel, training_sample
 from chatframe.plans.analysis import feature_summary, scored_messages
+from chatframe.plans.outputs import dashboard
 from chatframe.sources import exports
 from checks.queries import Training
 
@@ -158,3 +159,5 @@ def test_training_stores_no_texts_it_does_not_read(spark, tmp_path):
     t = Training(spark, str(tmp_path))
     assert t.labelled.count() == 42 and "message" not in t.labelled.columns
     assert sorted(map(str, t.sample.collect())) == sorted(map(str, training_sample(t.scored).collect()))
+    assert "message" not in t.shown.columns
+    assert sorted(map(str, dashboard(t.shown).collect())) == sorted(map(str, dashboard(t.scored).collect()))
